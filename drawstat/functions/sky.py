@@ -119,6 +119,6 @@ def bins(located: DataFrame) -> DataFrame:
         aspect_bin(F.col("Mercury"), F.col("Venus")).alias("MercuryVenusAspect"))
 
 
-def date_bins(draws: DataFrame) -> DataFrame:
-    """Bins of the distinct draw dates (bounded by the calendar, whatever the number of series)."""
-    return bins(angles(draws.select("draw_date").distinct()))
+def date_bins(days: DataFrame) -> DataFrame:
+    """Bins of the distinct dates in ``draw_date`` (bounded by the calendar, whatever the number of series)."""
+    return bins(angles(days.select("draw_date").distinct()))

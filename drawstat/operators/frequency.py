@@ -27,14 +27,15 @@ def number_counts(draws: DataFrame, game: Game) -> DataFrame:
 
 
 def uniformity(counts: DataFrame) -> DataFrame:
-    """Pearson statistic, largest deviation and range of a dense count table. The sum runs over an array
+    """Counted numbers, Pearson statistic, largest deviation and range of a dense count table. The sum runs over an array
     in number order, which fixes its floating-point value."""
     per_series = counts.groupBy("series").agg(
         F.sort_array(F.collect_list(F.struct("number", "occurrences", "expected"))).alias("cells"))
     pearson = F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + (c["occurrences"] - c["expected"])
                           * (c["occurrences"] - c["expected"]) / c["expected"])
     return per_series.select(
-        "series", pearson.alias("pearson"),
+        "series", F.aggregate("cells.occurrences", F.lit(0).cast("bigint"), lambda acc, c: acc + c).alias("n_numbers"),
+        pearson.alias("pearson"),
         F.array_max(F.transform("cells", lambda c: F.abs(c["occurrences"] - c["expected"]))).alias("max_deviation"),
         F.array_min("cells.occurrences").alias("min_count"), F.array_max("cells.occurrences").alias("max_count"))
 
@@ -71,15 +72,15 @@ def top_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:
 
 
 def pair_summary(draws: DataFrame, game: Game) -> DataFrame:
-    """Possible pairs, observed pair occurrences, expectation per pair and the largest count."""
+    """Draws, possible pairs, observed pair occurrences, expectation per pair and the largest count."""
     per_draw = choose(game.pick, 2)
     candidates = choose(game.pool, 2)
-    sizes = draws.groupBy("series").agg(F.count("*").alias("draws"))
-    largest = pair_counts(draws).groupBy("series").agg(F.max("occurrences").alias("max_pair_count"))
-    return sizes.join(largest, "series").select(
-        "series", candidates.cast("bigint").alias("candidate_pairs"),
-        (F.col("draws") * per_draw).cast("bigint").alias("pair_occurrences"),
-        (F.col("draws") * per_draw / candidates).alias("expected_per_pair"), "max_pair_count")
+    totals = pair_counts(draws).groupBy("series").agg(
+        F.max("occurrences").alias("max_pair_count"), F.sum("occurrences").alias("pair_occurrences"))
+    return totals.select(
+        "series", (F.col("pair_occurrences") / per_draw).cast("bigint").alias("draws"),
+        candidates.cast("bigint").alias("candidate_pairs"), "pair_occurrences",
+        (F.col("pair_occurrences") / candidates).alias("expected_per_pair"), "max_pair_count")
 
 
 def serial_overlaps(indexed: DataFrame) -> DataFrame:

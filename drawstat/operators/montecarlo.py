@@ -8,6 +8,7 @@ leaves the task. Replica streams depend on (seed, replica) alone: a lost task re
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -18,38 +19,40 @@ from drawstat.functions.prng import uniforms_at, xorshift_starts, xorshift_step
 from drawstat.operators.draws import spread
 from drawstat.settings import AUDIT_SEED, PAIR_SEED_MASK, VERIFY_SEED_MASK, Game
 
-_BATCH = 1024
+_BATCH = 4096
+_BLOCK = 64
 Draw = Callable[[], np.ndarray]
 
 
 def replicas(sizes: DataFrame, count: int) -> DataFrame:
-    """(series, draws) -> one row per series and replica, spread over the cluster."""
-    rows = sizes.select("series", "draws", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("replica"))
+    """(series, draws, observed) -> one row per series and replica, spread over the cluster. The observed
+    statistic travels along, so comparing it needs no second pass over the data."""
+    rows = sizes.select("series", "draws", "observed", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("replica"))
     return spread(rows, "series", "replica")
 
 
 def _simulate(rows: DataFrame, columns: str, statistic: Callable[[int, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for (series, draws), group in batch.groupby(["series", "draws"]):
+            for (series, draws, observed), group in batch.groupby(["series", "draws", "observed"]):
                 for first in range(0, len(group), _BATCH):
                     ids = group["replica"].to_numpy()[first : first + _BATCH]
-                    yield pd.DataFrame({"series": series, "replica": ids, **statistic(int(draws), ids)})
+                    yield pd.DataFrame({"series": series, "observed": observed, "replica": ids, **statistic(int(draws), ids)})
 
-    return rows.mapInPandas(run, f"series string, replica int, {columns}")
+    return rows.mapInPandas(run, f"series string, observed double, replica int, {columns}")
 
 
 # ------------------------------------------------------------------ samplers
 
 
 def floyd_draws(uniform: Draw, size: int, game: Game) -> Iterator[np.ndarray]:
-    """Endless draws of ``pick`` distinct zero-based numbers for ``size`` replicas, ``pick`` uniforms each."""
+    """Endless draws of ``pick`` distinct zero-based numbers (pick x replicas), ``pick`` uniforms each."""
     while True:
-        picks = np.empty((size, game.pick), dtype=np.int64)
+        picks = np.empty((game.pick, size), dtype=np.int32)
         for j, top in enumerate(range(game.pool - game.pick, game.pool)):
-            candidate = (uniform() * (top + 1)).astype(np.int64)
-            taken = (picks[:, :j] == candidate[:, None]).any(axis=1)
-            picks[:, j] = np.where(taken, top, candidate)
+            candidate = (uniform() * (top + 1)).astype(np.int32)
+            taken = (picks[:j] == candidate).any(axis=0)
+            picks[j] = np.where(taken, top, candidate)
         yield picks
 
 
@@ -124,26 +127,28 @@ def pearson_null_verification(sizes: DataFrame, game: Game, count: int, seed: in
 
     def statistic(draws: int, ids: np.ndarray) -> dict[str, np.ndarray]:
         source = floyd_draws(xorshift_uniform(seed, ids, draws * game.pick), len(ids), game)
-        counts = np.zeros((len(ids), game.pool), dtype=np.int32)
-        lanes = np.arange(len(ids))[:, None]
-        for _ in range(draws):
-            counts[lanes, next(source)] += 1
-        return _uniformity(counts, draws, game)
+        counts = np.zeros(len(ids) * game.pool, dtype=np.int64)
+        lanes = np.arange(len(ids)) * game.pool
+        for first in range(0, draws, _BLOCK):
+            block = np.stack([next(source) for _ in range(first, min(first + _BLOCK, draws))])
+            counts += np.bincount((block + lanes).ravel(), minlength=len(counts))
+        return _uniformity(counts.reshape(len(ids), game.pool), draws, game)
 
     return _simulate(replicas(sizes, count), "pearson double, max_deviation double", statistic)
 
 
 def pair_max_null(sizes: DataFrame, game: Game, count: int, seed: int = AUDIT_SEED ^ PAIR_SEED_MASK) -> DataFrame:
     """Largest pair count of each simulated series: the selection-adjusted null of the strongest pair."""
-    first, second = np.triu_indices(game.pick, 1)
+    pairs = list(combinations(range(game.pick), 2))
 
     def statistic(draws: int, ids: np.ndarray) -> dict[str, np.ndarray]:
         source = floyd_draws(xorshift_uniform(seed, ids, draws * game.pick), len(ids), game)
         counts = np.zeros((len(ids), game.pool * game.pool), dtype=np.int32)
-        lanes = np.arange(len(ids))[:, None]
+        cells, lanes = counts.ravel(), np.arange(len(ids)) * counts.shape[1]
         for _ in range(draws):
-            picks = np.sort(next(source), axis=1)
-            counts[lanes, picks[:, first] * game.pool + picks[:, second]] += 1
+            picks = next(source)
+            for a, b in pairs:
+                cells[lanes + np.minimum(picks[a], picks[b]) * game.pool + np.maximum(picks[a], picks[b])] += 1
         return {"max_pair": counts.max(axis=1)}
 
     return _simulate(replicas(sizes, count), "max_pair int", statistic)
@@ -157,7 +162,7 @@ def archive_null(sizes: DataFrame, game: Game, count: int, seed: int, offset: in
         source = floyd_draws(counter_uniform(seed, starts), len(ids), game)
         total = np.zeros(len(ids), dtype=np.int64)
         for _ in range(draws):
-            total += (next(source) < game.pick).sum(axis=1)
+            total += (next(source) < game.pick).sum(axis=0)
         return {"total_hits": total}
 
     return _simulate(replicas(sizes, count), "total_hits bigint", statistic)

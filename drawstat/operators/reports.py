@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawstat.functions.columns import chi_square_tail
+from drawstat.functions.columns import chi_square_tail, overlap
 from drawstat.operators.draws import drawn_numbers
-from drawstat.operators.frequency import number_counts, serial_overlaps, uniformity
+from drawstat.operators.frequency import number_counts, uniformity
 from drawstat.settings import Game
 
 
@@ -52,21 +52,25 @@ def ticket_check(checks: DataFrame, tickets: DataFrame) -> DataFrame:
 def stats_cards(indexed: DataFrame, game: Game, recent: int = 52) -> DataFrame:
     """Distinct numbers, mean sum, mean evens and mean consecutive overlap of the last draws, and the
     uniformity of the whole series with an approximate chi-square p."""
-    last = last_draws(indexed, recent)
-    numbers = drawn_numbers(last)
-    per_number = numbers.groupBy("series", "number").agg(F.count("*").alias("c"))
-    shape = per_number.groupBy("series").agg(
-        F.count("*").alias("distinct_numbers"), F.sum(F.col("number") * F.col("c")).alias("total"),
-        F.sum(F.when(F.pmod("number", F.lit(2)) == 0, F.col("c")).otherwise(0)).alias("evens"))
-    sizes = last.groupBy("series").agg(F.count("*").alias("recent_draws"), F.first("n_draws").cast("bigint").alias("draws"))
-    overlaps = serial_overlaps(last).groupBy("series").agg(F.sum("shared").alias("shared"))
+    window = F.sort_array(F.collect_list(F.when(
+        F.col("draw_idx") >= F.col("n_draws") - recent, F.struct("draw_idx", "numbers"))))["numbers"]
+    last = indexed.groupBy("series").agg(F.count("*").alias("draws"), window.alias("last"))  # at most ``recent`` arrays
+    numbers = F.flatten("last")
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+
+    shared = F.transform(F.sequence(F.lit(1), F.size("last") - 1), lambda i: overlap(F.get("last", i), F.get("last", i - 1)))
+    shape = last.select(
+        "series", "draws", F.size("last").alias("recent_draws"), F.size(F.array_distinct(numbers)).cast("bigint").alias("distinct_numbers"),
+        total(numbers).alias("total"), F.size(F.filter(numbers, lambda n: F.pmod(n, F.lit(2)) == 0)).alias("evens"),
+        F.when(F.size("last") > 1, total(shared)).otherwise(0).alias("shared"))
     fit = uniformity(number_counts(indexed, game))
-    joined = sizes.join(shape, "series").join(overlaps, "series", "left").join(fit, "series")
-    return joined.select(
+    return shape.join(fit, "series").select(
         "series", "draws", "distinct_numbers", (F.col("total") / F.col("recent_draws")).alias("mean_sum"),
         F.lit(game.pick * (game.pool + 1) / 2).alias("expected_sum"),
         (F.col("evens") / F.col("recent_draws")).alias("mean_evens"),
-        (F.coalesce("shared", F.lit(0)) / F.greatest(F.lit(1), F.col("recent_draws") - 1)).alias("mean_overlap"),
+        (F.col("shared") / F.greatest(F.lit(1), F.col("recent_draws") - 1)).alias("mean_overlap"),
         F.col("pearson").alias("chi_square"), chi_square_tail(F.col("pearson"), game.pool - 1).alias("approximate_p"),
         "min_count", "max_count")
 

@@ -40,21 +40,16 @@ def horizon_score(windows: Sequence[int], game: Game) -> Column:
     return score
 
 
-def bin_sizes(featured: DataFrame, features: Sequence[str], window: int = HISTORY_WINDOW) -> DataFrame:
-    """Add ``size_<feature>``: how many of the last ``window`` draws share the current bin. Features become
-    rows, so one window serves them all; with one row per draw and feature a range frame is cheap."""
-    long = featured.select("series", "draw_idx", "draw_date", "numbers", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).alias("bin")) for f in features])).alias("f")).select(
-        "series", "draw_idx", "draw_date", "numbers", "f.*")
+def bin_cells(featured: DataFrame, features: Sequence[str], window: int = HISTORY_WINDOW) -> DataFrame:
+    """Per draw the array ``cells`` of (feature position, bin, size), where size counts the draws among the last
+    ``window`` that share the bin. Features become rows, so one window serves them all; with one row per draw
+    and feature a range frame is cheap."""
+    long = featured.select("series", "draw_idx", "draw_date", "numbers", F.posexplode(F.array(*features)).alias("feature", "bin"))
     frame = Window.partitionBy("series", "feature", "bin").orderBy("draw_idx").rangeBetween(-window, -1)
     sized = long.withColumn("size", F.count("*").over(frame))
-
-    def of(feature: str, column: str) -> Column:
-        return F.max(F.when(F.col("feature") == feature, F.col(column)))
-
     return sized.groupBy("series", "draw_idx").agg(
         F.first("draw_date").alias("draw_date"), F.first("numbers").alias("numbers"),
-        *[of(f, "bin").alias(f) for f in features], *[of(f, "size").alias(f"size_{f}") for f in features])
+        F.collect_list(F.struct("feature", "bin", "size")).alias("cells"))
 
 
 def binned_terms(featured: DataFrame, features: Sequence[str], game: Game, window: int = HISTORY_WINDOW,
@@ -63,30 +58,29 @@ def binned_terms(featured: DataFrame, features: Sequence[str], game: Game, windo
     shrunk score per feature under the feature's name:
     (occurrences in the bin + prior * frequency / window) / (draws in the bin + prior).
 
-    One shuffle by (series, number) serves all features; each costs one local sort and a running total."""
-    sized = bin_sizes(featured, features, window)
-    sizes = [f"size_{f}" for f in features]
+    One shuffle by (series, number) carries the grid. Spreading the features into rows, the running total per
+    bin and the way back to one row per draw and number all stay inside that partitioning."""
     enter = F.transform(F.sequence(F.lit(1), F.lit(game.pool)), lambda n: F.struct(
         n.alias("number"), F.col("draw_idx").alias("at"), F.array_contains("numbers", n).cast("int").alias("delta"),
         F.lit(0).alias("leaving")))
     leave = F.transform("numbers", lambda n: F.struct(
         n.alias("number"), (F.col("draw_idx") + window).alias("at"), F.lit(-1).alias("delta"), F.lit(1).alias("leaving")))
-    moves = sized.select("series", "draw_date", *features, *sizes, F.explode(F.concat(enter, leave)).alias("move")).select(
-        "series", "draw_date", *features, *sizes, "move.*")
-    moves = spread(moves, "series", "number")
+    moves = bin_cells(featured, features, window).select(
+        "series", "draw_date", "cells", F.explode(F.concat(enter, leave)).alias("move")).select(
+        "series", "draw_date", "cells", "move.*")
 
     def total(*keys: str) -> Column:
-        window_spec = Window.partitionBy("series", "number", *keys).orderBy("at", "leaving")
-        return F.coalesce(F.sum("delta").over(window_spec.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-    out = moves.withColumn("frequency", total())
-    for feature in features:
-        score = (total(feature) + prior * F.col("frequency") / window) / (F.col(f"size_{feature}") + prior)
-        # the bin is no longer needed once its score is known: overwrite it and drop its size
-        out = out.withColumn(feature, score).drop(f"size_{feature}")
-    return out.filter((F.col("leaving") == 0) & (F.col("at") >= window)).select(
-        "series", F.col("at").alias("draw_idx"), "draw_date", "number", F.col("delta").alias("hit"),
-        F.col("frequency").cast("double").alias("frequency"), *features)
+        in_order = Window.partitionBy("series", "number", *keys).orderBy("at", "leaving")
+        return F.coalesce(F.sum("delta").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    counted = spread(moves, "series", "number").withColumn("frequency", total())
+    cells = counted.select("series", "number", "at", "leaving", "delta", "draw_date", "frequency", F.inline("cells")).withColumn(
+        "in_bin", total("feature", "bin")).filter((F.col("leaving") == 0) & (F.col("at") >= window))
+    score = (F.col("in_bin") + prior * F.col("frequency") / window) / (F.col("size") + prior)
+    return cells.withColumn("score", score).groupBy("series", "number", F.col("at").alias("draw_idx")).agg(
+        F.first("draw_date").alias("draw_date"), F.first("delta").alias("hit"),
+        F.first("frequency").cast("double").alias("frequency"),
+        *[F.max(F.when(F.col("feature") == i, F.col("score"))).alias(f) for i, f in enumerate(features)])
 
 
 def model_scores(terms: DataFrame, models: dict[str, tuple[str, ...]] = BINNED_MODELS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawstat.functions import sky
@@ -12,7 +12,7 @@ from drawstat.operators import montecarlo as mc
 from drawstat.operators.draws import (coverage, dedup_by_date, require_coverage, require_no_conflict, require_valid,
                                       with_index, with_violations)
 from drawstat.operators.shifts import shift_list, shifted_totals
-from drawstat.operators.stats import empirical_tails, holm, order_statistics, upper_tail_count_p
+from drawstat.operators.stats import holm
 from drawstat.settings import (BINNED_MODELS, HISTORY_WINDOW, NULL_REPLICATES, PAIR_REPLICATES, SHIFT_REPLICATES, SHIFT_SEED,
                                SHRINKAGE_DRAWS, SINGLE_GAME, Game)
 
@@ -30,37 +30,49 @@ def prepared(raw: DataFrame, game: Game = SINGLE_GAME, keep: str = "first", seri
 
 
 def sizes_of(indexed: DataFrame, skip: int = 0) -> DataFrame:
-    """(series, draws): simulated series have the length of the observed ones."""
-    return indexed.groupBy("series").agg((F.count("*") - skip).cast("int").alias("draws"))
+    """(series, draws, observed): simulated series have the length of the observed ones; nothing observed yet."""
+    return indexed.groupBy("series").agg((F.count("*") - skip).cast("int").alias("draws"), F.lit(0.0).alias("observed"))
 
 
-def null_summary(null: DataFrame, observed: DataFrame, value: str, column: str) -> DataFrame:
-    """Quantiles of a replicate statistic and the empirical tails of the observed one, per series."""
-    at = order_statistics(null, value, ["series"], [0.05, 0.5, 0.95])
+def fit_sizes(indexed: DataFrame, game: Game) -> DataFrame:
+    """Series length with the observed Pearson statistic, from one pass over the draws."""
+    fit = fq.uniformity(fq.number_counts(indexed, game))
+    return fit.select("series", (F.col("n_numbers") / game.pick).cast("int").alias("draws"), F.col("pearson").alias("observed"))
+
+
+def pair_sizes(indexed: DataFrame, game: Game) -> DataFrame:
+    """Series length with the observed largest pair count, from one pass over the draws."""
+    return fq.pair_summary(indexed, game).select("series", F.col("draws").cast("int").alias("draws"),
+                                                 F.col("max_pair_count").cast("double").alias("observed"))
+
+
+def null_summary(null: DataFrame, value: str) -> DataFrame:
+    """Quantiles of a replicate statistic and the empirical tails of the observed one, per series.
 
-    def quantile(p: float) -> F.Column:
-        return F.max(F.when(F.col("probability") == p, F.col("quantile")))
+    The simulation is read once: the replicates of a series, whose number is a parameter, become one sorted
+    array, and quantiles and tails are looked up in it."""
+    gathered = null.groupBy("series", "observed").agg(F.sort_array(F.collect_list(value)).alias("sorted"))
+    n = F.size("sorted")
 
-    quantiles = at.groupBy("series").agg(quantile(0.05).alias("p05"), quantile(0.5).alias("median"), quantile(0.95).alias("p95"))
-    joined = null.join(observed.select("series", F.col(column).alias("observed")), "series")
-    tails = empirical_tails(joined, F.col("observed"), value, ["series", "observed"])
-    return tails.join(quantiles, "series")
+    def quantile(p: float) -> Column:
+        return F.get("sorted", F.floor((n - 1) * p).cast("int"))
+
+    lower = (F.size(F.filter("sorted", lambda v: v <= F.col("observed") + 1e-12)) + 1) / (n + 1)
+    upper = (F.size(F.filter("sorted", lambda v: v >= F.col("observed") - 1e-12)) + 1) / (n + 1)
+    return gathered.select("series", "observed", n.alias("replicates"), lower.alias("lower_p"), upper.alias("upper_p"),
+                           F.least(F.lit(1.0), 2 * F.least(lower, upper)).alias("two_sided_p"),
+                           quantile(0.05).alias("p05"), quantile(0.5).alias("median"), quantile(0.95).alias("p95"))
 
 
 def audit_tests(indexed: DataFrame, game: Game = SINGLE_GAME, simulations: int = NULL_REPLICATES,
                 pair_simulations: int = PAIR_REPLICATES) -> DataFrame:
     """The three omnibus tests of a series (marginal, serial, pair) with Holm correction."""
-    sizes = sizes_of(indexed)
-    fit = fq.uniformity(fq.number_counts(indexed, game))
-    marginal = null_summary(mc.pearson_null(sizes, game, simulations), fit, "pearson", "pearson").select(
-        "series", F.lit("marginal_frequency").alias("test"), F.col("observed").cast("double").alias("statistic"),
-        F.col("two_sided_p").alias("raw_p"))
+    marginal = null_summary(mc.pearson_null(fit_sizes(indexed, game), game, simulations), "pearson").select(
+        "series", F.lit("marginal_frequency").alias("test"), F.col("observed").alias("statistic"), F.col("two_sided_p").alias("raw_p"))
     serial = fq.serial_test(indexed, game).select(
         "series", F.lit("serial_overlap").alias("test"), F.col("pairs_at_least_two").cast("double").alias("statistic"), "raw_p")
-    pairs = fq.pair_summary(indexed, game)
-    null = mc.pair_max_null(sizes, game, pair_simulations).join(pairs.select("series", "max_pair_count"), "series")
-    pair = upper_tail_count_p(null, "max_pair_count", "max_pair", ["series"]).select(
-        "series", F.lit("pair_maximum").alias("test"), F.col("observed").cast("double").alias("statistic"), "raw_p")
+    pair = null_summary(mc.pair_max_null(pair_sizes(indexed, game), game, pair_simulations), "max_pair").select(
+        "series", F.lit("pair_maximum").alias("test"), F.col("observed").alias("statistic"), F.col("upper_p").alias("raw_p"))
     return holm(marginal.unionByName(serial).unionByName(pair), ["series"])
 
 
@@ -95,10 +107,14 @@ def archive_null_summary(indexed: DataFrame, game: Game = SINGLE_GAME, replicate
                          window: int = HISTORY_WINDOW) -> DataFrame:
     """Mean and 5-95 % band of total hits over simulated series."""
     null = mc.archive_null(sizes_of(indexed, window), game, replicates, seed, offset=SHIFT_REPLICATES)
-    mean = null.groupBy("series").agg(F.count("*").alias("replicates"), F.avg("total_hits").alias("mean_total_hits"))
-    band = order_statistics(null, "total_hits", ["series"], [0.05, 0.95], rule="n")
-    ends = band.groupBy("series").agg(F.min("quantile").alias("p05"), F.max("quantile").alias("p95"))
-    return mean.join(ends, "series")
+    gathered = null.groupBy("series").agg(F.sort_array(F.collect_list("total_hits")).alias("sorted"), F.avg("total_hits").alias("mean"))
+    n = F.size("sorted")
+
+    def quantile(p: float) -> Column:
+        return F.get("sorted", F.floor(n * p).cast("int"))
+
+    return gathered.select("series", n.alias("replicates"), F.col("mean").alias("mean_total_hits"),
+                           quantile(0.05).alias("p05"), quantile(0.95).alias("p95"))
 
 
 def walk_forward_document(indexed: DataFrame, game: Game = SINGLE_GAME, warmup: int = HISTORY_WINDOW) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from drawstat.functions import sky
@@ -24,7 +24,7 @@ from drawstat.settings import (AUDIT_SEED, BINNED_MODELS, HISTORY_WINDOW, NULL_R
 from drawstat.sources.archive import parse_lines, to_lines
 from drawstat.sources.documents import nested_document
 from drawstat.sources.pages import extract_cells, parse_draw_tables
-from drawstat.sources.tables import priority_series, raw_announcements, single_series, table
+from drawstat.sources.tables import order_days, priority_series, raw_announcements, single_series, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,8 +58,12 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dr.with_index(priority_series(spark, sf_dir))
 
 
-def featured(indexed: DataFrame) -> DataFrame:
-    return bt.attach_features(indexed, sky.date_bins(indexed))
+def featured_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bt.attach_features(daily(spark, sf_dir), sky.date_bins(order_days(spark, sf_dir)))
+
+
+def featured_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bt.attach_features(weekly(spark, sf_dir), sky.date_bins(order_days(spark, sf_dir, "week")))
 
 
 # ------------------------------------------------- ingest, validation, duplicates
@@ -135,12 +139,12 @@ def number_frequencies(spark, sf_dir):
 
 @register
 def uniformity(spark, sf_dir):
-    return rounded(fq.uniformity(fq.number_counts(single_series(spark, sf_dir), SINGLE_GAME)))
+    return rounded(fq.uniformity(fq.number_counts(single_series(spark, sf_dir), SINGLE_GAME)).drop("n_numbers"))
 
 
 @register
 def uniformity_weekly(spark, sf_dir):
-    return rounded(fq.uniformity(fq.number_counts(priority_series(spark, sf_dir), WHEEL_GAME)))
+    return rounded(fq.uniformity(fq.number_counts(priority_series(spark, sf_dir), WHEEL_GAME)).drop("n_numbers"))
 
 
 @register
@@ -165,7 +169,7 @@ def top_pairs(spark, sf_dir):
 
 @register
 def pair_summary(spark, sf_dir):
-    return rounded(fq.pair_summary(single_series(spark, sf_dir), SINGLE_GAME))
+    return rounded(fq.pair_summary(single_series(spark, sf_dir), SINGLE_GAME).drop("draws"))
 
 
 @register
@@ -220,40 +224,38 @@ def exact_null(spark, sf_dir):
 
 @register
 def draw_instants(spark, sf_dir):
-    days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("draw_date")).distinct()
-    return days.select("draw_date", draw_instant(F.col("draw_date")).alias("utc"))
+    return order_days(spark, sf_dir).select("draw_date", draw_instant(F.col("draw_date")).alias("utc"))
 
 
 @register
 def sky_angles(spark, sf_dir):
-    days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("draw_date")).distinct()
-    return rounded(sky.angles(days), 6)
+    return rounded(sky.angles(order_days(spark, sf_dir)), 6)
 
 
 @register
 def sky_bins(spark, sf_dir):
-    return sky.date_bins(single_series(spark, sf_dir))
+    """Feature bins of the draw dates."""
+    return sky.date_bins(order_days(spark, sf_dir)).join(single_series(spark, sf_dir), "draw_date", "left_semi")
 
 
 @register
 def binned_backtest(spark, sf_dir):
-    return rounded(bt.long_rows(bt.binned_backtest(featured(daily(spark, sf_dir)), SINGLE_GAME), BINNED))
+    return rounded(bt.long_rows(bt.binned_backtest(featured_daily(spark, sf_dir), SINGLE_GAME), BINNED))
 
 
 @register
 def binned_totals(spark, sf_dir):
     """Totals of every model, their difference from the trailing-frequency baseline and the exact tests."""
-    totals = bt.method_totals(bt.binned_backtest(featured(daily(spark, sf_dir)), SINGLE_GAME), BINNED, SINGLE_GAME)
-    models = totals.filter(F.col("method") != "frequency")
-    baseline = totals.filter(F.col("method") == "frequency").select("series", F.col("total_hits").alias("baseline"))
-    tested = bt.method_tests(models, SINGLE_GAME).join(baseline, "series")
-    return rounded(tested.withColumn("difference", F.col("total_hits") - F.col("baseline")))
+    totals = bt.method_totals(bt.binned_backtest(featured_daily(spark, sf_dir), SINGLE_GAME), BINNED, SINGLE_GAME)
+    baseline = F.max(F.when(F.col("method") == "frequency", F.col("total_hits"))).over(Window.partitionBy("series"))
+    models = totals.withColumn("baseline", baseline).withColumn("difference", F.col("total_hits") - F.col("baseline"))
+    return rounded(bt.method_tests(models.filter(F.col("method") != "frequency"), SINGLE_GAME))
 
 
 @register
 def rotated_totals(spark, sf_dir):
     """The backtest with every feature taken 37 draws later in the cycle."""
-    rotated = bt.rotate_features(featured(daily(spark, sf_dir)), 37)
+    rotated = bt.rotate_features(featured_daily(spark, sf_dir), 37)
     return rounded(bt.method_totals(bt.binned_backtest(rotated, SINGLE_GAME), BINNED, SINGLE_GAME))
 
 
@@ -269,12 +271,13 @@ def shift_values_weekly(spark, sf_dir):
 
 @register
 def shift_tests(spark, sf_dir):
-    return ex.binned_tests(daily(spark, sf_dir))
+    return ex.binned_tests(daily(spark, sf_dir), features=sky.date_bins(order_days(spark, sf_dir)))
 
 
 @register
 def shift_tests_weekly(spark, sf_dir):
-    return ex.binned_tests(weekly(spark, sf_dir), WHEEL_GAME, WHEEL_SHIFT_REPLICATES, WHEEL_SHIFT_SEED, distinct=False, pooled=True)
+    return ex.binned_tests(weekly(spark, sf_dir), WHEEL_GAME, WHEEL_SHIFT_REPLICATES, WHEEL_SHIFT_SEED, distinct=False, pooled=True,
+                           features=sky.date_bins(order_days(spark, sf_dir, "week")))
 
 
 # ---------------------------------------------------------------------- many series
@@ -282,31 +285,31 @@ def shift_tests_weekly(spark, sf_dir):
 
 @register
 def weekly_backtest(spark, sf_dir):
-    return rounded(bt.long_rows(bt.binned_backtest(featured(weekly(spark, sf_dir)), WHEEL_GAME), BINNED))
+    return rounded(bt.long_rows(bt.binned_backtest(featured_weekly(spark, sf_dir), WHEEL_GAME), BINNED))
 
 
 @register
 def weekly_rollup(spark, sf_dir):
-    return bt.series_rollup(bt.binned_backtest(featured(weekly(spark, sf_dir)), WHEEL_GAME), BINNED)
+    return bt.series_rollup(bt.binned_backtest(featured_weekly(spark, sf_dir), WHEEL_GAME), BINNED)
 
 
 @register
 def weekly_tests(spark, sf_dir):
-    backtest = bt.binned_backtest(featured(weekly(spark, sf_dir)), WHEEL_GAME)
+    backtest = bt.binned_backtest(featured_weekly(spark, sf_dir), WHEEL_GAME)
     totals = bt.method_totals(backtest, tuple(BINNED_MODELS), WHEEL_GAME, by_series=False)
     return rounded(bt.method_tests(totals, WHEEL_GAME, []))
 
 
 @register
 def weekly_last_predictions(spark, sf_dir):
-    return bt.last_predictions(bt.binned_backtest(featured(weekly(spark, sf_dir)), WHEEL_GAME), tuple(BINNED_MODELS))
+    return bt.last_predictions(bt.binned_backtest(featured_weekly(spark, sf_dir), WHEEL_GAME), tuple(BINNED_MODELS))
 
 
 @register
 def weekly_saved_matches(spark, sf_dir):
     """Saved tickets (those of the last draw) against the drawn numbers, per method and series."""
     indexed = weekly(spark, sf_dir)
-    rows = bt.binned_backtest(featured(indexed), WHEEL_GAME)
+    rows = bt.binned_backtest(featured_weekly(spark, sf_dir), WHEEL_GAME)
     saved = bt.last_predictions(rows, tuple(BINNED_MODELS)).withColumn("ticket", F.split("ticket", ",").cast("array<int>"))
     actual = rp.latest_draw(indexed).select("series", "numbers")
     return rounded(bt.match_saved(saved.drop("draw_date"), actual))
@@ -350,7 +353,7 @@ def stats_cards(spark, sf_dir):
 
 @register
 def leaderboard(spark, sf_dir):
-    backtest = bt.binned_backtest(featured(weekly(spark, sf_dir)), WHEEL_GAME)
+    backtest = bt.binned_backtest(featured_weekly(spark, sf_dir), WHEEL_GAME)
     tested = bt.method_tests(bt.method_totals(backtest, tuple(BINNED_MODELS), WHEEL_GAME, by_series=False), WHEEL_GAME, [])
     return rounded(rp.leaderboard(tested, list(BINNED_MODELS)))
 
@@ -395,25 +398,20 @@ def random_tickets(spark, sf_dir):
 
 @register
 def mc_pearson(spark, sf_dir):
-    draws = daily(spark, sf_dir)
-    fit = fq.uniformity(fq.number_counts(draws, SINGLE_GAME))
-    return ex.null_summary(mc.pearson_null(ex.sizes_of(draws), SINGLE_GAME, NULL_REPLICATES), fit, "pearson", "pearson")
+    sizes = ex.fit_sizes(daily(spark, sf_dir), SINGLE_GAME)
+    return ex.null_summary(mc.pearson_null(sizes, SINGLE_GAME, NULL_REPLICATES), "pearson")
 
 
 @register
 def mc_pearson_verification(spark, sf_dir):
-    draws = daily(spark, sf_dir)
-    fit = fq.uniformity(fq.number_counts(draws, SINGLE_GAME))
-    null = mc.pearson_null_verification(ex.sizes_of(draws), SINGLE_GAME, NULL_REPLICATES)
-    return ex.null_summary(null, fit, "pearson", "pearson")
+    sizes = ex.fit_sizes(daily(spark, sf_dir), SINGLE_GAME)
+    return ex.null_summary(mc.pearson_null_verification(sizes, SINGLE_GAME, NULL_REPLICATES), "pearson")
 
 
 @register
 def mc_pair_max(spark, sf_dir):
-    draws = daily(spark, sf_dir)
-    null = mc.pair_max_null(ex.sizes_of(draws), SINGLE_GAME, PAIR_REPLICATES)
-    observed = fq.pair_summary(draws, SINGLE_GAME)
-    return ex.null_summary(null, observed, "max_pair", "max_pair_count")
+    sizes = ex.pair_sizes(daily(spark, sf_dir), SINGLE_GAME)
+    return ex.null_summary(mc.pair_max_null(sizes, SINGLE_GAME, PAIR_REPLICATES), "max_pair")
 
 
 @register

@@ -66,6 +66,13 @@ def priority_series(spark: SparkSession, sf_dir: str, game: Game = WHEEL_GAME) -
     return complete_dates(draws, draws.agg(F.countDistinct("series").alias("n_series")))
 
 
+def order_days(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
+    """Distinct order days (or the Mondays of their weeks) from one pruned column, the calendar the features
+    are computed for. Cheaper than deriving the draws a second time just for their dates."""
+    day = F.date_trunc(unit, F.col("o_orderdate")).cast("date")
+    return table(spark, sf_dir, "orders").select(day.alias("draw_date")).distinct()
+
+
 def complete_dates(draws: DataFrame, series_count: DataFrame) -> DataFrame:
     """Keep the dates on which every series has a draw."""
     per_date = draws.groupBy("draw_date").agg(F.count("*").alias("n_present"))
