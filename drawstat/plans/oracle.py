@@ -440,6 +440,24 @@ ORACLE["forward_next"] = with_(
 SELECT i.series, i.draw_idx, i.ticket AS integrated_ticket, f.ticket AS frequency52_ticket, rt.ticket AS random_ticket
 FROM tk i JOIN tk f USING (series, draw_idx) JOIN rt ON rt.series = i.series WHERE i.method = 'integrated' AND f.method = 'frequency52'"""
 
+FIRST_VALID = RAW + """,
+firsts AS (SELECT source AS series, draw_date, nums, numbers, bonus, row_number() OVER (PARTITION BY source, draw_date ORDER BY source_ord) AS r
+    FROM chk WHERE numbers_ok AND bonus_ok),
+dr AS (SELECT series, draw_date, nums, numbers, bonus, CAST(row_number() OVER (PARTITION BY series ORDER BY draw_date) - 1 AS INTEGER) AS draw_idx,
+    CAST(count(*) OVER (PARTITION BY series) AS INTEGER) AS n_draws FROM firsts WHERE r = 1),
+dd AS (SELECT series, draw_date, draw_idx, n_draws FROM dr),
+hits AS (SELECT series, draw_idx, n_draws, draw_date, unnest(nums) AS number FROM dr)"""
+ORACLE["stream_ledger"] = with_(
+    FIRST_VALID, SCORES, tickets("scores", ("integrated", "frequency52"), 6,
+                                 f"draw_idx >= {LEDGER_START} AND draw_idx < {LEDGER_START + FORWARD_TARGET} AND draw_idx < n_draws"),
+    random_tickets(FORWARD_SEED, "series, draw_idx", f"(SELECT * FROM dd WHERE draw_idx BETWEEN {LEDGER_START} AND {LEDGER_START + FORWARD_TARGET - 1})",
+                   f"draw_idx - {LEDGER_START}"), """
+held AS (SELECT series, draw_idx, method, ticket, ticket_nums FROM tk UNION ALL SELECT series, draw_idx, 'random', ticket, ticket_nums FROM rt)""") + f"""
+SELECT d.series, d.draw_date, h.method, h.ticket AS prediction, d.numbers AS actual, d.bonus,
+CAST(len(list_intersect(h.ticket_nums, d.nums)) AS INTEGER) AS main_hits, d.draw_idx - {LEDGER_START - 1} AS processed_draws,
+CASE WHEN d.draw_idx - {LEDGER_START - 1} >= {FORWARD_TARGET} THEN 'COMPLETE' ELSE 'ACTIVE' END AS status
+FROM held h JOIN dr d ON d.series = h.series AND d.draw_idx = h.draw_idx"""
+
 # ---------------------------------------------------------------- text and documents
 
 SPACE = "[\\t\\n\\x{0B}\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"

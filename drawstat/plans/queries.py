@@ -25,6 +25,8 @@ from drawstat.sources.archive import parse_lines, to_lines
 from drawstat.sources.documents import nested_document
 from drawstat.sources.pages import extract_cells, parse_draw_tables
 from drawstat.sources.tables import order_days, priority_series, raw_announcements, single_series, table
+from drawstat.streaming.ledger_stream import LedgerRules, ledger_stream, run_available, scored
+from drawstat.streaming.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -441,6 +443,22 @@ def forward_next(spark, sf_dir):
         "series", "draw_idx", "integrated_ticket", "frequency52_ticket", "random_ticket"))
 
 
+@register
+def stream_ledger(spark, sf_dir):
+    """Orders as a stream of announcements per priority, scored by the stateful ledger; the result table is
+    what the stream wrote."""
+    schema = table(spark, sf_dir, "orders").schema
+    # the order numbers are a static side; only the arriving orders are streamed
+    numbers = raw_announcements(spark, sf_dir).select(F.col("source_ord").alias("o_orderkey"), "numbers", "bonus")
+    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    announced = orders.join(numbers, "o_orderkey").select(
+        F.col("o_orderpriority").alias("series"), F.col("o_orderdate").cast("date").alias("draw_date"), F.lit(None).cast("int").alias("contest"),
+        "numbers", "bonus", (F.col("o_orderkey") % 90 + 1).cast("int").alias("superstar"), F.col("o_orderkey").alias("source_ord"))
+    folder = shared_folder(spark, "stream-ledger")
+    run_available(ledger_stream(announced, LedgerRules(consecutive=False)), f"{folder}/table", f"{folder}/checkpoint")
+    return rounded(scored(spark.read.parquet(f"{folder}/table")).drop("contest"))
+
+
 # ------------------------------------------------------------------- text and documents
 
 
