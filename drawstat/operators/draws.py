@@ -138,7 +138,7 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
 
 def number_grid(indexed: DataFrame, game: Game) -> DataFrame:
     """Dense form: every number of the pool for every draw, with ``hit`` 0/1. A narrow generator."""
-    keep = [c for c in indexed.columns if c not in ("numbers", "bonus", "number")]
+    keep = [c for c in indexed.columns if c not in ("numbers", "number")]
     return indexed.select("*", F.explode(F.sequence(F.lit(1), F.lit(game.pool))).alias("number")).select(
         *keep, "number",
         F.coalesce(F.array_contains("numbers", F.col("number")), F.lit(False)).cast("int").alias("hit"))

@@ -27,7 +27,7 @@ def frozen_tickets(indexed: DataFrame, game: Game, start_idx: int, target: int =
     reach = indexed.filter((F.col("draw_idx") >= start_idx - HISTORY_WINDOW) & (F.col("draw_idx") < start_idx + target))
     extended = with_next_draw(reach)
     scored = horizon_scores(extended, game).filter(F.col("draw_idx") >= start_idx)
-    tickets = capped_tickets(scored, METHODS[:2], game)
+    tickets = capped_tickets(scored, METHODS[:2], game, carry=("draw_date", "bonus"))
     return tickets.withColumn("random_ticket", random_ticket(seed, F.col("draw_idx") - start_idx, game))
 
 
@@ -37,9 +37,7 @@ def ledger(indexed: DataFrame, game: Game, start_idx: int, target: int = FORWARD
 
     ``indexed`` carries ``bonus``; the contest number is the draw position plus one."""
     tickets = frozen_tickets(indexed, game, start_idx, target, seed).filter(F.col("draw_date").isNotNull())
-    facts = indexed.filter((F.col("draw_idx") >= start_idx) & (F.col("draw_idx") < start_idx + target)).select(
-        "series", "draw_idx", "bonus")
-    rows = tickets.join(facts, ["series", "draw_idx"]).select(
+    rows = tickets.select(
         "series", "draw_idx", "draw_date", "bonus", "actual",
         F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"{m}_ticket").alias("prediction")) for m in METHODS])).alias("m"))
     hits = overlap(F.col("prediction"), F.col("actual"))

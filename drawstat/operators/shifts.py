@@ -9,6 +9,7 @@ instead of one per draw, shift, number and feature.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ def shift_list(n_draws: Column, replicates: int, seed: int = SHIFT_SEED, distinc
 
     @F.pandas_udf("array<int>")
     def shifts(sizes: pd.Series) -> pd.Series:
+        @cache
         def draw(n: int) -> list[int]:
             if n < 2 or (distinct and n - 1 < replicates):
                 raise ValueError(f"{n} draws cannot give {replicates} shifts")
@@ -48,24 +50,23 @@ def shift_list(n_draws: Column, replicates: int, seed: int = SHIFT_SEED, distinc
 def shifted_totals(featured: DataFrame, game: Game, replicates: int, seed: int = SHIFT_SEED, distinct: bool = True,
                    models: dict[str, tuple[str, ...]] = BINNED_MODELS, window: int = HISTORY_WINDOW,
                    prior: int = SHRINKAGE_DRAWS) -> DataFrame:
-    """Total hits per series, replicate, shift and model. Shift 0 is the observed backtest and comes as replicate 0,
+    """Tested draws and total hits per series, replicate, shift and model. Shift 0 is the observed backtest and comes as replicate 0,
     so observed and shifted totals share one evaluation."""
     features = tuple(dict.fromkeys(f for names in models.values() for f in names))
     plan = [[features.index(f) for f in names] for names in models.values()]
     names = list(models)
-    series = featured.select("series", "n_draws").distinct().select(
-        "series", F.posexplode(F.concat(F.array(F.lit(0)), shift_list(F.col("n_draws"), replicates, seed, distinct))).alias(
-            "replicate", "shift"))
-    rows = featured.select("series", "draw_idx", "numbers", F.array(*features).alias("bins")).join(series, "series")
+    # every draw emits itself once per replicate, so the draws are read in one pass
+    rotations = F.posexplode(F.concat(F.array(F.lit(0)), shift_list(F.col("n_draws"), replicates, seed, distinct)))
+    rows = featured.select("series", "draw_idx", "numbers", F.array(*features).alias("bins"), rotations.alias("replicate", "shift"))
 
     def evaluate(group: pd.DataFrame) -> pd.DataFrame:
         totals = rotated_hits(group, int(group["shift"].iloc[0]), plan, game, window, prior)
         head = group.iloc[0]
         return pd.DataFrame({"series": head["series"], "replicate": head["replicate"], "shift": head["shift"],
-                             "model": names, "total_hits": totals})
+                             "model": names, "trials": max(0, len(group) - window), "total_hits": totals})
 
     return spread(rows, "series", "replicate", "shift").groupBy("series", "replicate", "shift").applyInPandas(
-        evaluate, "series string, replicate int, shift int, model string, total_hits bigint")
+        evaluate, "series string, replicate int, shift int, model string, trials bigint, total_hits bigint")
 
 
 def rotated_hits(group: pd.DataFrame, shift: int, plan: Sequence[Sequence[int]], game: Game, window: int, prior: int) -> list[int]:

@@ -86,16 +86,14 @@ def binned_tests(indexed: DataFrame, game: Game = SINGLE_GAME, replicates: int =
     featured = bt.attach_features(indexed, sky.date_bins(indexed) if features is None else features)
     keys = ["model"] if pooled else ["series", "model"]
     totals = shifted_totals(featured, game, replicates, seed, distinct, models, window, prior)
-    totals = totals.groupBy(*keys, "replicate").agg(F.sum("total_hits").alias("total_hits"))
-    trials = indexed.filter(F.col("draw_idx") >= window).groupBy(*([] if pooled else ["series"])).agg(F.count("*").alias("trials"))
+    totals = totals.groupBy(*keys, "replicate").agg(F.sum("trials").alias("trials"), F.sum("total_hits").alias("total_hits"))
     # one small array of replicate totals per model, bounded by the number of replicates
     grouped = totals.groupBy(*keys).agg(
-        F.max(F.when(F.col("replicate") == 0, F.col("total_hits"))).alias("total_hits"),
+        F.max("trials").alias("trials"), F.max(F.when(F.col("replicate") == 0, F.col("total_hits"))).alias("total_hits"),
         F.collect_list(F.when(F.col("replicate") > 0, F.col("total_hits"))).alias("shifted"))
     at_least = F.size(F.filter("shifted", lambda t: t >= F.col("total_hits")))
-    counted = grouped.withColumn("shift_p", (1 + at_least) / (F.size("shifted") + 1))
-    with_trials = counted.join(F.broadcast(trials)) if pooled else counted.join(trials, "series")  # pooled: one row
-    tested = with_trials.filter(F.col("trials") > 0).withColumn("tails", bt.hit_tails(F.col("trials"), F.col("total_hits"), game))
+    counted = grouped.filter(F.col("trials") > 0).withColumn("shift_p", (1 + at_least) / (F.size("shifted") + 1))
+    tested = counted.withColumn("tails", bt.hit_tails(F.col("trials"), F.col("total_hits"), game))
     tests = tested.select(*keys, "trials", "total_hits", F.explode(F.array(
         F.struct(F.lit("exact_uniform_upper").alias("test"), F.col("tails.upper_p").alias("raw_p")),
         F.struct(F.lit("circular_shift_upper").alias("test"), F.col("shift_p").alias("raw_p")))).alias("t")).select(

@@ -7,7 +7,7 @@ one small row per map task, and the join reuses that shuffle. Everything after t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from drawstat.settings import SINGLE_GAME, WHEEL_GAME, Game
@@ -63,7 +63,8 @@ def priority_series(spark: SparkSession, sf_dir: str, game: Game = WHEEL_GAME) -
     """One series per order priority and one draw per week; weeks that lack a series are left out."""
     draws = _draws(order_numbers(spark, sf_dir), F.col("o_orderpriority"),
                    F.date_trunc("week", F.col("order_date")).cast("date"), game)
-    return complete_dates(draws, draws.agg(F.countDistinct("series").alias("n_series")))
+    known = table(spark, sf_dir, "orders").agg(F.countDistinct("o_orderpriority").alias("n_series"))
+    return complete_dates(draws, known)
 
 
 def order_days(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
@@ -74,7 +75,7 @@ def order_days(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame
 
 
 def complete_dates(draws: DataFrame, series_count: DataFrame) -> DataFrame:
-    """Keep the dates on which every series has a draw."""
-    per_date = draws.groupBy("draw_date").agg(F.count("*").alias("n_present"))
-    full = per_date.join(series_count, per_date.n_present == series_count.n_series).select("draw_date")
-    return draws.join(full, "draw_date", "left_semi")
+    """Keep the dates on which every series has a draw; ``series_count`` is one row with ``n_series``."""
+    present = F.count("*").over(Window.partitionBy("draw_date"))
+    counted = draws.withColumn("n_present", present)
+    return counted.join(F.broadcast(series_count), counted.n_present == series_count.n_series).drop("n_present", "n_series")
