@@ -128,11 +128,12 @@ def drawn_numbers(draws: DataFrame) -> DataFrame:
     return draws.select(*keep, F.explode("numbers").alias("number"))
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
+def spread(rows: DataFrame, *keys: str, per_slot: int = 1) -> DataFrame:
     """Shuffle by keys into a fixed number of partitions. For stages that work far harder per row than their
-    byte size shows, so that the adaptive coalescing by size must not merge them."""
+    byte size shows, so that the adaptive coalescing by size must not merge them. With few heavy keys several
+    partitions ``per_slot`` even out how they hash."""
     spark = rows.sparkSession
-    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * per_slot)
     return rows.repartition(slots, *keys)
 
 

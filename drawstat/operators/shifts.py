@@ -1,9 +1,9 @@
 """Circular-shift replicates of the date-conditioned backtest.
 
-A replicate rotates the features of a series against its draws and repeats the backtest. One replicate of
-one series is an independent group bounded by the calendar, so Spark spreads (series, shift) groups and each
-group is evaluated with prefix sums over a draws x numbers array. That shuffles one row per draw and shift
-instead of one per draw, shift, number and feature.
+A replicate rotates the features of a series against its draws and repeats the backtest. Replicates are
+independent, so the draws of a series (bounded by the calendar) are sent to a few groups that share the
+replicates between them, and each group evaluates its rotations with prefix sums over a draws x numbers
+array. That shuffles one row per draw and group instead of one per draw, shift, number and feature.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from drawstat.functions.prng import uniforms_at
 from drawstat.operators.draws import spread
 from drawstat.settings import BINNED_MODELS, HISTORY_WINDOW, SHIFT_SEED, SHRINKAGE_DRAWS, Game
 
+_GROUPS = 32  # groups that share the replicates of one series
+
 
 def shift_list(n_draws: Column, replicates: int, seed: int = SHIFT_SEED, distinct: bool = True) -> Column:
     """``replicates`` shifts in 1..n-1 in stream order; with ``distinct`` repeated values are drawn again."""
@@ -55,52 +57,66 @@ def shifted_totals(featured: DataFrame, game: Game, replicates: int, seed: int =
     features = tuple(dict.fromkeys(f for names in models.values() for f in names))
     plan = [[features.index(f) for f in names] for names in models.values()]
     names = list(models)
-    # every draw emits itself once per replicate, so the draws are read in one pass
-    rotations = F.posexplode(F.concat(F.array(F.lit(0)), shift_list(F.col("n_draws"), replicates, seed, distinct)))
-    rows = featured.select("series", "draw_idx", "numbers", F.array(*features).alias("bins"), rotations.alias("replicate", "shift"))
+    # every draw emits itself once per group of replicates, so the draws are read in one pass
+    groups = min(_GROUPS, replicates + 1)
+    shifts = F.concat(F.array(F.lit(0)), shift_list(F.col("n_draws"), replicates, seed, distinct))
+    numbered = featured.select("series", "draw_idx", "numbers", F.array(*features).alias("bins"), shifts.alias("shifts"))
+    rows = numbered.select("series", "draw_idx", "numbers", "bins", "shifts",
+                           F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
 
     def evaluate(group: pd.DataFrame) -> pd.DataFrame:
-        totals = rotated_hits(group, int(group["shift"].iloc[0]), plan, game, window, prior)
-        head = group.iloc[0]
-        return pd.DataFrame({"series": head["series"], "replicate": head["replicate"], "shift": head["shift"],
-                             "model": names, "trials": max(0, len(group) - window), "total_hits": totals})
-
-    return spread(rows, "series", "replicate", "shift").groupBy("series", "replicate", "shift").applyInPandas(
+        series, part, shifts = group["series"].iloc[0], int(group["part"].iloc[0]), group["shifts"].iloc[0]
+        mine = range(part, len(shifts), groups)
+        hits = rotated_hits(group, [int(shifts[r]) for r in mine], plan, game, window, prior)
+        return pd.DataFrame([(series, r, int(shifts[r]), model, max(0, len(group) - window), total)
+                             for r, totals in zip(mine, hits) for model, total in zip(names, totals)],
+                            columns=["series", "replicate", "shift", "model", "trials", "total_hits"])
+
+    return spread(rows, "series", "part", per_slot=4).groupBy("series", "part").applyInPandas(
         evaluate, "series string, replicate int, shift int, model string, trials bigint, total_hits bigint")
 
 
-def rotated_hits(group: pd.DataFrame, shift: int, plan: Sequence[Sequence[int]], game: Game, window: int, prior: int) -> list[int]:
-    """Total hits of each model for one series with its features rotated by ``shift``."""
+def rotated_hits(group: pd.DataFrame, shifts: Sequence[int], plan: Sequence[Sequence[int]], game: Game, window: int,
+                 prior: int) -> list[list[int]]:
+    """Total hits of each model for one series, per rotation of its features."""
     group = group.sort_values("draw_idx")
     n = len(group)
-    drawn = np.zeros((n, game.pool), dtype=np.int32)
-    numbers = np.stack(group["numbers"].to_numpy())
-    drawn[np.arange(n)[:, None], numbers - 1] = 1
-    bins = np.roll(np.stack(group["bins"].to_numpy()), -shift, axis=0)
     tested = np.arange(window, n)
     if not len(tested):
-        return [0] * len(plan)
-    prefix = np.vstack([np.zeros((1, game.pool), dtype=np.int32), np.cumsum(drawn, axis=0)])
+        return [[0] * len(plan) for _ in shifts]
+    drawn = np.zeros((n, game.pool), dtype=np.int32)
+    drawn[np.arange(n)[:, None], np.stack(group["numbers"].to_numpy()) - 1] = 1
+    fixed_bins = np.stack(group["bins"].to_numpy()).astype(np.int64)
+    prefix = _prefix(drawn)
     shrunk = prior * (prefix[tested] - prefix[tested - window]) / window
+    outcome = drawn[tested]
 
-    def term(feature: int) -> np.ndarray:
+    def term(column: np.ndarray) -> np.ndarray:
         # prefix sums in (bin, position) order; both ends of the window are found by binary search
-        column = bins[:, feature].astype(np.int64)
         order = np.argsort(column, kind="stable")
         keys = column[order] * n + order
-        in_bin = np.vstack([np.zeros((1, game.pool), dtype=np.int32), np.cumsum(drawn[order], axis=0)])
+        in_bin = _prefix(drawn[order])
         end = np.searchsorted(keys, column[tested] * n + tested)
         start = np.searchsorted(keys, column[tested] * n + tested - window)
         return (in_bin[end] - in_bin[start] + shrunk) / ((end - start)[:, None] + prior)
 
-    terms = {f: term(f) for f in sorted({f for names in plan for f in names})}
-    totals = []
-    for names in plan:
-        score = np.zeros((len(tested), game.pool))
-        for f in names:
-            score = score + terms[f]
-        totals.append(_ticket_hits(score / len(names), drawn[tested], game))
-    return totals
+    def totals(shift: int) -> list[int]:
+        bins = np.roll(fixed_bins, -shift, axis=0)
+        hits = []
+        for features in plan:
+            score = np.zeros_like(shrunk)
+            for f in features:
+                score += term(bins[:, f])
+            hits.append(_ticket_hits(score / len(features), outcome, game))
+        return hits
+
+    return [totals(s) for s in shifts]
+
+
+def _prefix(rows: np.ndarray) -> np.ndarray:
+    sums = np.zeros((len(rows) + 1, rows.shape[1]), dtype=np.int32)
+    np.cumsum(rows, axis=0, out=sums[1:])
+    return sums
 
 
 def _ticket_hits(scores: np.ndarray, drawn: np.ndarray, game: Game) -> int:

@@ -37,17 +37,37 @@ def upper_tail_count_p(replicates: DataFrame, observed: str, value: str, keys: S
 
 
 def order_statistics(values: DataFrame, value: str, keys: Sequence[str], probabilities: Sequence[float],
-                     rule: str = "n_minus_one") -> DataFrame:
+                     rule: str = "n_minus_one", slices: int = 16) -> DataFrame:
     """Exact sorted-array quantiles, one row per key and probability.
 
-    ``n_minus_one`` takes position floor((n-1)*p), ``n`` takes floor(p*n). Equal values are counted before
-    the shuffle and the running count streams through the sorted distinct values, so no array is built."""
-    counted = values.groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("c"))
+    ``n_minus_one`` takes position floor((n-1)*p), ``n`` takes floor(p*n). No group is sorted as a whole:
+    equal values are counted, the distinct ones are cut into ``slices`` ranges at approximate percentiles, and
+    only the slices that hold a wanted position are ordered. The edges only steer the work; the result is exact."""
+    keys = list(keys)
+    clean = values.select(*keys, F.col(value).alias("value")).filter("value IS NOT NULL")
+    edges = clean.groupBy(*keys).agg(F.percentile_approx("value", [i / slices for i in range(1, slices)], slices * 8).alias("edges"))
+    # comparisons with the edges added up: compiled code, unlike a search with a lambda over the array
+    above = sum((F.when(F.col("value") > F.get("edges", i), 1).otherwise(0) for i in range(slices - 1)), F.lit(0))
+    placed = _join_small(clean, edges, keys).select(*keys, "value", above.alias("slice")).groupBy(*keys, "slice", "value").agg(
+        F.count("*").alias("c"))
+    # at most ``slices`` rows per key from here on
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    running = group.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("upto", F.sum("c").over(running)).withColumn("n", F.sum("c").over(group))
-    wanted = ranked.withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    sizes = placed.groupBy(*keys, "slice").agg(F.sum("c").alias("in_slice")).withColumn("n", F.sum("in_slice").over(group))
+    before = F.sum("in_slice").over(group.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("in_slice")
     span = F.col("n") - 1 if rule == "n_minus_one" else F.col("n")
-    position = F.floor(span * F.col("probability")).cast("bigint")
-    return wanted.filter((F.col("upto") > position) & (F.col("upto") - F.col("c") <= position)).select(
+    wanted = sizes.withColumn("before", before).withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    wanted = wanted.withColumn("position", F.floor(span * F.col("probability")).cast("bigint")).filter(
+        (F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("in_slice")))
+    held = wanted.groupBy(*keys, "slice", "before").agg(F.collect_list(F.struct("probability", "position")).alias("wanted"))
+    inside = placed.join(held, [*keys, "slice"])
+    running = Window.partitionBy(*keys, "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = inside.withColumn("upto", F.col("before") + F.sum("c").over(running))
+    found = ranked.select(*keys, "value", "c", "upto", F.inline("wanted"))
+    return found.filter((F.col("upto") > F.col("position")) & (F.col("upto") - F.col("c") <= F.col("position"))).select(
         *keys, "probability", F.col("value").alias("quantile"))
+
+
+def _join_small(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach one row per key. Without keys it is a single row, so its broadcast has a fixed size; with keys
+    the join is left to the optimizer, which knows the size."""
+    return rows.join(per_key, keys) if keys else rows.join(F.broadcast(per_key))

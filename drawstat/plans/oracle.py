@@ -408,10 +408,10 @@ least({FORWARD_TARGET}, greatest(0, count(*) - {HISTORY_WINDOW})) AS processed,
 
 # ---------------------------------------------------------------------- statistics
 
-ORACLE["order_statistics"] = """WITH s AS (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS i,
+ORACLE["order_statistics"] = """WITH s AS (SELECT l_returnflag, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS i,
 count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem), p AS (SELECT unnest([0.05, 0.3, 0.5, 0.95])::DOUBLE AS probability)
-SELECT l_returnflag, probability, l_quantity AS quantile, 'n_minus_one' AS rule FROM s, p WHERE i = CAST(floor((n - 1) * probability) AS BIGINT)
-UNION ALL SELECT l_returnflag, probability, l_quantity, 'n' FROM s, p WHERE i = CAST(floor(n * probability) AS BIGINT)"""
+SELECT l_returnflag, probability, l_extendedprice AS quantile, 'n_minus_one' AS rule FROM s, p WHERE i = CAST(floor((n - 1) * probability) AS BIGINT)
+UNION ALL SELECT l_returnflag, probability, l_extendedprice, 'n' FROM s, p WHERE i = CAST(floor(n * probability) AS BIGINT)"""
 ORACLE["empirical_tails"] = """SELECT l_returnflag, n AS replicates, round((below + 1) / (n + 1)::DOUBLE, 9) AS lower_p,
 round((above + 1) / (n + 1)::DOUBLE, 9) AS upper_p, round(least(1.0, 2 * least(below + 1, above + 1) / (n + 1)::DOUBLE), 9) AS two_sided_p FROM (
 SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_extendedprice <= 20000 + 1e-12) AS below, count(*) FILTER (l_extendedprice >= 20000 - 1e-12) AS above

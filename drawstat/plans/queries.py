@@ -374,8 +374,8 @@ def header_cards(spark, sf_dir):
 
 @register
 def order_statistics(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity")
-    parts = [st.order_statistics(lines, "l_quantity", ["l_returnflag"], [0.05, 0.3, 0.5, 0.95], rule).withColumn("rule", F.lit(rule))
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
+    parts = [st.order_statistics(lines, "l_extendedprice", ["l_returnflag"], [0.05, 0.3, 0.5, 0.95], rule).withColumn("rule", F.lit(rule))
              for rule in ("n_minus_one", "n")]
     return parts[0].unionByName(parts[1])
 
