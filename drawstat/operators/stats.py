@@ -29,13 +29,6 @@ def empirical_tails(replicates: DataFrame, observed: Column, value: str, keys: S
                          F.least(F.lit(1.0), 2 * F.least(lower, upper)).alias("two_sided_p"))
 
 
-def upper_tail_count_p(replicates: DataFrame, observed: str, value: str, keys: Sequence[str]) -> DataFrame:
-    """(1 + #{value >= observed}) / (R + 1) per group; ``observed`` is a column of the replicate rows."""
-    return replicates.groupBy(*keys).agg(
-        F.max(observed).alias("observed"), F.count("*").alias("replicates"),
-        ((1 + F.count_if(F.col(value) >= F.col(observed))) / (F.count("*") + 1)).alias("raw_p"))
-
-
 def order_statistics(values: DataFrame, value: str, keys: Sequence[str], probabilities: Sequence[float],
                      rule: str = "n_minus_one", slices: int = 16) -> DataFrame:
     """Exact sorted-array quantiles, one row per key and probability.

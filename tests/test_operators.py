@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -15,6 +15,7 @@ from drawstat.operators.shifts import shift_list, shifted_totals
 from drawstat.operators.tickets import capped_tickets
 from drawstat.plans import experiments as ex
 from drawstat.settings import SINGLE_GAME, WHEEL_GAME, Game
+from drawstat.sources.sinks import overwrite_json
 from tests import reference_forms as rf
 
 RAW = "source string, source_ord bigint, draw_date date, numbers array<int>, bonus int"
@@ -73,6 +74,23 @@ def test_walk_forward_equals_brute_force(make_draws):
     assert upcoming["frequency52_ticket"] == rf.trailing_ticket(draws, 52)
 
 
+def test_whole_experiment_from_raw_rows(spark, tmp_path):
+    draws = rf.random_draws(215, seed=12)
+    start = date(2023, 1, 1)
+    rows = [("x", i, start + timedelta(days=i), d, next(n for n in range(1, 91) if n not in d)) for i, d in enumerate(draws)]
+    raw = spark.createDataFrame(rows + rows[:3], RAW)
+    last = start + timedelta(days=214)
+    indexed = ex.prepared(raw, first_date=start, last_date=last, draws=215, duplicate_rows=3)
+    document = ex.walk_forward_document(indexed)
+    overwrite_json(document, str(tmp_path / "experiment"))
+    saved = spark.read.json(str(tmp_path / "experiment")).first()
+    assert saved["coverage"]["draws"] == 215 and saved["evaluation"]["testedDraws"] == 7 and len(saved["rows"]) == 7
+    assert saved["nextPrediction"] == rf.horizon_ticket(draws) and saved["rows"][0]["integrated_ticket"] == rf.horizon_ticket(draws[:208])
+    assert {m["method"] for m in saved["methods"]} == {"integrated", "frequency52", "random"}
+    with pytest.raises(dr.DataError, match="coverage"):
+        ex.prepared(raw, duplicate_rows=0)
+
+
 def test_short_history_has_no_backtest(make_draws):
     indexed = make_draws(rf.random_draws(207))
     assert bt.walk_forward(indexed, SINGLE_GAME).count() == 0
