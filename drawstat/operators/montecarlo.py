@@ -1,8 +1,9 @@
 """Monte Carlo null distributions over whole simulated series.
 
-Replicas are rows. Each task receives a range of them and simulates its batch together, one draw at a time,
-so memory is (replicas in a batch) x pool whatever the series length, and only one statistic row per replica
-leaves the task. Replica streams depend on (seed, replica) alone: a lost task recomputes the same values.
+A row is a block of replicas of one series, and the blocks are spread over the cluster. A block is simulated
+together, one draw at a time, so memory is (replicas in a block) x pool whatever the series length, and only
+one statistic row per replica leaves the task. Replica streams depend on (seed, replica) alone: a lost task
+recomputes the same values, and neither block size nor partitioning changes a result.
 """
 
 from __future__ import annotations
@@ -19,27 +20,26 @@ from drawstat.functions.prng import uniforms_at, xorshift_starts, xorshift_step
 from drawstat.operators.draws import spread
 from drawstat.settings import AUDIT_SEED, PAIR_SEED_MASK, VERIFY_SEED_MASK, Game
 
-_BATCH = 4096
+_REPLICAS = 1250  # wide enough for array operations, small enough to share out
 _BLOCK = 64
 Draw = Callable[[], np.ndarray]
 
 
-def replicas(sizes: DataFrame, count: int) -> DataFrame:
-    """(series, draws, observed) -> one row per series and replica, spread over the cluster. The observed
-    statistic travels along, so comparing it needs no second pass over the data."""
-    rows = sizes.select("series", "draws", "observed", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("replica"))
-    return spread(rows, "series", "replica")
+def replica_blocks(sizes: DataFrame, count: int) -> DataFrame:
+    """(series, draws, observed) -> one row per series and block of replicas. The observed statistic travels
+    along, so comparing it needs no second pass over the data."""
+    firsts = F.explode(F.sequence(F.lit(0), F.lit(count - 1), F.lit(_REPLICAS))).alias("first")
+    return spread(sizes.select("series", "draws", "observed", firsts), "series", "first", per_slot=4)
 
 
-def _simulate(rows: DataFrame, columns: str, statistic: Callable[[int, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+def _simulate(sizes: DataFrame, count: int, columns: str, statistic: Callable[[int, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for (series, draws, observed), group in batch.groupby(["series", "draws", "observed"]):
-                for first in range(0, len(group), _BATCH):
-                    ids = group["replica"].to_numpy()[first : first + _BATCH]
-                    yield pd.DataFrame({"series": series, "observed": observed, "replica": ids, **statistic(int(draws), ids)})
+            for row in batch.itertuples():
+                ids = np.arange(row.first, min(row.first + _REPLICAS, count))
+                yield pd.DataFrame({"series": row.series, "observed": row.observed, "replica": ids, **statistic(row.draws, ids)})
 
-    return rows.mapInPandas(run, f"series string, observed double, replica int, {columns}")
+    return replica_blocks(sizes, count).mapInPandas(run, f"series string, observed double, replica int, {columns}")
 
 
 # ------------------------------------------------------------------ samplers
@@ -69,36 +69,36 @@ def xorshift_uniform(seed: int, ids: np.ndarray, outputs: int) -> Draw:
 
 
 def counter_uniform(seed: int, starts: np.ndarray) -> Draw:
-    """Uniforms of the counter stream from given positions on."""
-    position = starts.astype(np.uint64)
+    """Uniforms of the counter stream from given positions on, computed ``_BLOCK`` steps at a time."""
+    def rows() -> Iterator[np.ndarray]:
+        positions = starts.astype(np.uint64) + np.arange(_BLOCK, dtype=np.uint64)[:, None]
+        while True:
+            yield from uniforms_at(seed, positions)
+            positions = positions + np.uint64(_BLOCK)
 
-    def draw() -> np.ndarray:
-        nonlocal position
-        out = uniforms_at(seed, position)
-        position = position + np.uint64(1)
-        return out
-
-    return draw
+    return rows().__next__
 
 
 def rejection_counts(draws: int, uniform: Draw, size: int, game: Game) -> np.ndarray:
     """Occurrence counts when a repeated number inside a draw is drawn again. Replicas advance on their own:
     one output per replica and step, until every replica has all its draws."""
     counts = np.zeros((size, game.pool), dtype=np.int32)
-    last_draw = np.full((size, game.pool), -1, dtype=np.int32)
+    last_draw = np.full(size * game.pool, -1, dtype=np.int32)
     accepted = np.zeros(size, dtype=np.int32)
-    lanes = np.arange(size)
+    lanes = np.arange(size) * game.pool
+    wanted = draws * game.pick
     while True:
-        open_lanes = accepted < draws * game.pick
+        open_lanes = accepted < wanted
         if not open_lanes.any():
             return counts
         number = (uniform() * game.pool).astype(np.int64)
+        cell = lanes + number
         current = accepted // game.pick
-        fresh = open_lanes & (last_draw[lanes, number] != current)
-        rows = lanes[fresh]
-        last_draw[rows, number[fresh]] = current[fresh]
-        counts[rows, number[fresh]] += 1
-        accepted[rows] += 1
+        fresh = open_lanes & (last_draw[cell] != current)
+        chosen = cell[fresh]
+        last_draw[chosen] = current[fresh]
+        counts.ravel()[chosen] += 1
+        accepted += fresh
 
 
 # ---------------------------------------------------------------- statistics
@@ -119,7 +119,7 @@ def pearson_null(sizes: DataFrame, game: Game, count: int, seed: int = AUDIT_SEE
         uniform = counter_uniform(seed, ids.astype(np.uint64) * np.uint64(stretch))
         return _uniformity(rejection_counts(draws, uniform, len(ids), game), draws, game)
 
-    return _simulate(replicas(sizes, count), "pearson double, max_deviation double", statistic)
+    return _simulate(sizes, count, "pearson double, max_deviation double", statistic)
 
 
 def pearson_null_verification(sizes: DataFrame, game: Game, count: int, seed: int = AUDIT_SEED ^ VERIFY_SEED_MASK) -> DataFrame:
@@ -134,7 +134,7 @@ def pearson_null_verification(sizes: DataFrame, game: Game, count: int, seed: in
             counts += np.bincount((block + lanes).ravel(), minlength=len(counts))
         return _uniformity(counts.reshape(len(ids), game.pool), draws, game)
 
-    return _simulate(replicas(sizes, count), "pearson double, max_deviation double", statistic)
+    return _simulate(sizes, count, "pearson double, max_deviation double", statistic)
 
 
 def pair_max_null(sizes: DataFrame, game: Game, count: int, seed: int = AUDIT_SEED ^ PAIR_SEED_MASK) -> DataFrame:
@@ -151,7 +151,7 @@ def pair_max_null(sizes: DataFrame, game: Game, count: int, seed: int = AUDIT_SE
                 cells[lanes + np.minimum(picks[a], picks[b]) * game.pool + np.maximum(picks[a], picks[b])] += 1
         return {"max_pair": counts.max(axis=1)}
 
-    return _simulate(replicas(sizes, count), "max_pair int", statistic)
+    return _simulate(sizes, count, "max_pair int", statistic)
 
 
 def archive_null(sizes: DataFrame, game: Game, count: int, seed: int, offset: int = 0) -> DataFrame:
@@ -165,4 +165,4 @@ def archive_null(sizes: DataFrame, game: Game, count: int, seed: int, offset: in
             total += (next(source) < game.pick).sum(axis=0)
         return {"total_hits": total}
 
-    return _simulate(replicas(sizes, count), "total_hits bigint", statistic)
+    return _simulate(sizes, count, "total_hits bigint", statistic)
