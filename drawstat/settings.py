@@ -54,8 +54,10 @@ BINNED_MODELS: dict[str, tuple[str, ...]] = {
 }
 FEATURES: tuple[str, ...] = tuple(f for features in BINNED_MODELS.values() for f in features)
 
-# Column headers of a draw archive and series names of the multi-series pages.
+# Column headers of a draw archive, link text that marks a draw row of the multi-series pages,
+# and the series names of those pages.
 ARCHIVE_DATE = "data"
 ARCHIVE_BONUS = "jolly"
+PAGE_LINK = "estrazione.php"
 PAGE_SERIES = ("Bari", "Cagliari", "Firenze", "Genova", "Milano", "Napoli", "Palermo", "Roma",
                "Torino", "Venezia", "Nazionale")

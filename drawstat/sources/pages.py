@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawstat.functions.columns import clean_html, iso_from_slashes
-from drawstat.settings import PAGE_SERIES
+from drawstat.settings import PAGE_LINK, PAGE_SERIES
 
 
 def read_pages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -24,7 +24,7 @@ def extract_cells(html: Column, row_tag: str, cell_tag: str) -> Column:
         F.regexp_extract_all(block, F.lit(f"(?is)<{cell_tag}[^>]*>(.*?)</{cell_tag}>"), 1), lambda cell: clean_html(cell)).alias("cells")))
 
 
-def parse_draw_tables(pages: DataFrame, link: str = "estrazione.php", names: Sequence[str] = PAGE_SERIES) -> DataFrame:
+def parse_draw_tables(pages: DataFrame, link: str = PAGE_LINK, names: Sequence[str] = PAGE_SERIES) -> DataFrame:
     """Long draws (series, draw_date, contest, numbers) from table rows that link to a draw and show a date.
     Cell 0 holds the contest, cell 1 the date, the next ones the numbers of each series."""
     rows = pages.select(F.explode(extract_cells(F.col("html"), "tr", "td")).alias("row")).filter(
