@@ -7,16 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawstat.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from drawstat.llm import (decontaminate, embedding_forest, hilbert, line_dedup, packing, simhash, token_counts, toxicity, warc,
+                          wavelet)
 from drawstat.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written to archives and read back."""
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as wavelet matrices and read back."""
+    return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that later occurrences of three-line windows cover."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, cosine at least 0.93 within a label."""
+    return embedding_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; links join fingerprints at most three bits apart."""
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -37,6 +54,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= F.col("threshold")).alias("flagged"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token that crosses lines goes to the one with most of it."""
+    return token_counts.count_sections(table(spark, sf_dir, "documents"))
+
+
+def op9_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 runs of the Hilbert curve over language, source and length."""
+    placed = hilbert.shard_rows(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or a window of 20 of its tokens, up to a fifth of tokens replaced."""
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -44,14 +73,44 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_wavelet": op2_wavelet,
     "op3_line_dedup": op3_line_dedup,
+    "op4_forest": op4_forest,
     "op5_simhash": op5_simhash,
     "op6_best_fit": op6_best_fit,
     "op7_toxicity": op7_toxicity,
+    "op8_token_counts": op8_token_counts,
+    "op9_hilbert": op9_hilbert,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS stored FROM p),
+b AS (SELECT *, array_to_string([['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100',
+                                  '1101', '1110', '1111'][instr('0123456789abcdef', c)] FOR c IN string_split(x, '')], '') AS bits FROM d)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * bits[5 * i + 1]::INTEGER + 8 * bits[5 * i + 2]::INTEGER
+                        + 4 * bits[5 * i + 3]::INTEGER + 2 * bits[5 * i + 4]::INTEGER + bits[5 * i + 5]::INTEGER] FOR i IN range(0, 32)], '') AS payload_digest,
+       CASE WHEN page_id = stored THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> stored THEN stored END AS refers_to
+FROM b
+""",
+    "op4_forest": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r(n, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.n = l.a),
+c AS (SELECT n, min(c) AS component_id FROM r GROUP BY n),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN k ON k.a = vec_id JOIN c ON c.n = vec_id
+""",
     "op3_line_dedup": """
 WITH lines AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
