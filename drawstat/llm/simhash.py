@@ -89,8 +89,7 @@ def ball_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = distinct.sparkSession
     masks, core = flip_masks(radius)
     parts = max(slots(spark), distinct.count() * len(masks) // _VARIANTS_PER_TASK + 1)
-    buckets = parts * 8  # so that hashing bucket numbers fills the partitions evenly
-    shift, most = np.uint64(32), np.uint64(buckets)
+    shift, most = np.uint64(32), np.uint64(parts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +137,7 @@ def ball_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     packed = distinct.select("fp").repartition(slots(spark), "fp").mapInArrow(emit, "bucket int, blob binary")
-    return packed.repartition(parts, "bucket").mapInArrow(meet, "a bigint, b bigint").distinct()
+    return packed.repartitionById(parts, F.col("bucket")).mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int = SHINGLE) -> DataFrame:
