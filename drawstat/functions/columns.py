@@ -132,11 +132,13 @@ def draw_instant(day: Column, hour: int = 20, zone: str = "Europe/Rome") -> Colu
 
 
 def wrap_degrees(angle: Column) -> Column:
-    return angle - 360 * F.floor(angle / 360)
+    """Into [0, 360). A tiny negative angle rounds up to 360 and is the same direction as 0."""
+    wrapped = angle - 360 * F.floor(angle / 360)
+    return F.when(wrapped >= 360, F.lit(0.0)).otherwise(wrapped)
 
 
 def angle_bin(angle: Column, width: int) -> Column:
-    return F.floor(angle / width).cast("int")
+    return F.pmod(F.floor(angle / width), F.lit(360 // width)).cast("int")
 
 
 def aspect_bin(first: Column, second: Column) -> Column:

@@ -53,9 +53,9 @@ def next_tickets(indexed: DataFrame, game: Game, warmup: int = HISTORY_WINDOW) -
 
 
 def attach_features(indexed: DataFrame, features: DataFrame) -> DataFrame:
-    """Feature bins of each draw's own date. ``features`` holds one short row per calendar date (36,525 a century,
-    about 2 MB), so it is broadcast; a shuffle by date would gather all series of a date in one task."""
-    return indexed.join(F.broadcast(features), "draw_date")
+    """Feature bins of each draw's own date. ``features`` may be any table; the optimizer broadcasts it when its
+    size allows and shuffles it otherwise."""
+    return indexed.join(features, "draw_date")
 
 
 def rotate_features(featured: DataFrame, shift: Column | int, names: Sequence[str] = FEATURES) -> DataFrame:

@@ -20,11 +20,13 @@ from drawstat.settings import FORWARD_SEED, FORWARD_TARGET, HISTORY_WINDOW, Game
 METHODS = ("integrated", "frequency52", "random")
 
 
-def frozen_tickets(indexed: DataFrame, game: Game, start_idx: int, target: int = FORWARD_TARGET,
+def frozen_tickets(indexed: DataFrame, game: Game, start_idx: int, target: int | None = FORWARD_TARGET,
                    seed: int = FORWARD_SEED) -> DataFrame:
     """Tickets held before each ledger draw, the next one (NULL date) included. Draws that no horizon of the
-    ledger reaches are left out before the grid is built."""
-    reach = indexed.filter((F.col("draw_idx") >= start_idx - HISTORY_WINDOW) & (F.col("draw_idx") < start_idx + target))
+    ledger reaches are left out before the grid is built. Without a target the ledger has no end."""
+    reach = indexed.filter(F.col("draw_idx") >= start_idx - HISTORY_WINDOW)
+    if target is not None:
+        reach = reach.filter(F.col("draw_idx") < start_idx + target)
     extended = with_next_draw(reach)
     scored = horizon_scores(extended, game).filter(F.col("draw_idx") >= start_idx)
     tickets = capped_tickets(scored, METHODS[:2], game, carry=("draw_date", "bonus"))

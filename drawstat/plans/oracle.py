@@ -39,7 +39,7 @@ dr AS (SELECT series, draw_idx, n_draws, draw_date, list(number ORDER BY number)
 
 
 DAILY = draws_cte("'all'", "o_orderdate", 6, False)
-WEEKLY = draws_cte("o_orderpriority", "date_trunc('week', o_orderdate)", 5, True)
+WEEKLY = draws_cte("coalesce(o_orderpriority, '(none)')", "date_trunc('week', o_orderdate)", 5, True)
 POOL = "pool AS (SELECT CAST(unnest(range(1, 91)) AS INTEGER) AS number)"
 GRID = f"""{POOL},
 steps AS (SELECT series, draw_idx, draw_date, n_draws FROM dd
@@ -472,7 +472,7 @@ def cleaned(text: str, amp: bool = False) -> str:
 
 
 ORACLE["csv_roundtrip"] = with_(DAILY) + """SELECT CAST(draw_date AS VARCHAR) AS date_text, draw_date, numbers, bonus
-FROM dr JOIN bonus USING (series, draw_date)"""
+FROM dr LEFT JOIN bonus USING (series, draw_date)"""
 ORACLE["html_draw_tables"] = with_(WEEKLY) + "SELECT series, draw_date, draw_idx + 1 AS contest, numbers FROM dr"
 ORACLE["html_clean"] = f"SELECT page_id, {cleaned('html')} AS text, {cleaned('html', True)} AS text_amp FROM pages"
 ORACLE["html_cells"] = f"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(block, '(?is)<a[^>]*>(.*?)</a>', 1), lambda c: {cleaned('c')}), ',') AS cells

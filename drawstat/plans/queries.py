@@ -438,7 +438,7 @@ def forward_ledger(spark, sf_dir):
 def forward_next(spark, sf_dir):
     """The tickets frozen after the last processed draw, for a ledger that has not reached its target."""
     indexed = daily(spark, sf_dir)
-    frozen = lg.frozen_tickets(indexed, SINGLE_GAME, LEDGER_START, target=10**6)
+    frozen = lg.frozen_tickets(indexed, SINGLE_GAME, LEDGER_START, target=None)
     return rounded(frozen.filter(F.col("draw_date").isNull()).select(
         "series", "draw_idx", "integrated_ticket", "frequency52_ticket", "random_ticket"))
 
@@ -450,7 +450,8 @@ def stream_ledger(spark, sf_dir):
     schema = table(spark, sf_dir, "orders").schema
     # the order numbers are a static side; only the arriving orders are streamed
     numbers = raw_announcements(spark, sf_dir).select(F.col("source_ord").alias("o_orderkey"), "numbers", "bonus")
-    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    # a pattern matches the table whether it is one file or a folder of parts; a plain path must be a folder
+    orders = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.[p]arquet")
     announced = orders.join(numbers, "o_orderkey").select(
         F.col("o_orderpriority").alias("series"), F.col("o_orderdate").cast("date").alias("draw_date"), F.lit(None).cast("int").alias("contest"),
         "numbers", "bonus", (F.col("o_orderkey") % 90 + 1).cast("int").alias("superstar"), F.col("o_orderkey").alias("source_ord"))
@@ -465,7 +466,7 @@ def stream_ledger(spark, sf_dir):
 @register
 def csv_roundtrip(spark, sf_dir):
     """Draws written as archive lines and parsed back, strictly."""
-    lines = to_lines(single_series(spark, sf_dir).filter("bonus IS NOT NULL")).select("line")
+    lines = to_lines(single_series(spark, sf_dir)).select("line")
     return rounded(parse_lines(lines, "data,n1,n2,n3,n4,n5,n6,jolly"))
 
 
@@ -473,7 +474,8 @@ def csv_roundtrip(spark, sf_dir):
 def html_draw_tables(spark, sf_dir):
     """Weekly draws rendered as an HTML table row per week and scraped back."""
     draws = weekly(spark, sf_dir)
-    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    # the columns of the table: one per series, as many as the game has wheels
+    names = [r["series"] for r in draws.select("series").distinct().orderBy("series").collect()]
     cell = F.array_join(F.transform("numbers", lambda n: F.format_string("<b>%d</b>", n)), "&nbsp;")
     rows = draws.groupBy("draw_date").agg(F.max("draw_idx").alias("idx"), F.map_from_entries(F.collect_list(
         F.struct("series", cell.alias("cell")))).alias("cells"))

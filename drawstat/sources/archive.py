@@ -26,10 +26,14 @@ def to_draws(rows: DataFrame, game: Game = SINGLE_GAME, bonus: bool = True) -> D
                F.array(*[number(f"n{i}") for i in range(1, game.pick + 1)]).alias("numbers")]
     if bonus:
         columns.append(number(ARCHIVE_BONUS).alias("bonus"))
-    kept = [c for c in rows.columns if c in ("source", "source_ord")]
+    kept = [c for c in rows.columns if c in ("source", "source_ord", *_PLACE)]
     return rows.select(*kept, *columns)
 
 
+# Where a row stands in its file, whatever the split into tasks: file, start of the block, row within the block.
+_PLACE = ("_place_file", "_place_block", "_place_row")
+
+
 def read_archive(spark: SparkSession, path: str, game: Game = SINGLE_GAME, strict: bool = True, bonus: bool = True) -> DataFrame:
     """One archive as text rows turned into draws. Columns are matched by header name, a byte-order mark is
     ignored. ``strict`` refuses a missing column at once and a row of the wrong width when it is read."""
@@ -40,16 +44,19 @@ def read_archive(spark: SparkSession, path: str, game: Game = SINGLE_GAME, stric
     if strict and missing:
         raise DataError(f"{path} lacks columns {missing}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
-    rows = spark.read.options(**options).schema(schema).csv(path).toDF(*names)
+    read = spark.read.options(**options).schema(schema).csv(path)
+    place = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = read.select(*[F.col(f"`{c.name}`") for c in schema], *[p.alias(n) for p, n in zip(place, _PLACE)]).toDF(*names, *_PLACE)
     for name in missing:
         rows = rows.withColumn(name, F.lit(None).cast("string"))
     return to_draws(rows.withColumn("source", F.lit(path)), game, bonus)
 
 
 def read_archives(spark: SparkSession, paths: list[str], game: Game = SINGLE_GAME, strict: bool = True, bonus: bool = True) -> DataFrame:
-    """Concatenate archives; ``source_ord`` follows the order of ``paths`` and decides which duplicate wins."""
-    parts = [read_archive(spark, p, game, strict, bonus).withColumn("source_ord", F.lit(i).cast("bigint"))
-             for i, p in enumerate(paths)]
+    """Concatenate archives. ``source_ord`` orders the rows by the position of their file in ``paths``, then by
+    their place in the file, and so decides which duplicate wins."""
+    parts = [read_archive(spark, p, game, strict, bonus).withColumn(
+        "source_ord", F.struct(F.lit(i).alias("source"), *[F.col(c) for c in _PLACE])).drop(*_PLACE) for i, p in enumerate(paths)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -71,7 +78,7 @@ def parse_lines(lines: DataFrame, header: str, game: Game = SINGLE_GAME, bonus:
 
 
 def to_lines(draws: DataFrame) -> DataFrame:
-    """Draws back to archive lines (date, numbers, bonus)."""
+    """Draws back to archive lines (date, numbers, bonus). A missing bonus is an empty field, read back as NULL."""
     return draws.withColumn("line", F.concat_ws(",", F.date_format("draw_date", "yyyy-MM-dd"),
                                                  F.array_join(F.col("numbers").cast("array<string>"), ","),
-                                                 F.col("bonus").cast("string")))
+                                                 F.coalesce(F.col("bonus").cast("string"), F.lit(""))))

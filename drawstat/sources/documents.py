@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +40,13 @@ def nested_document(text: Column, schema: str) -> Column:
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
     """Path, length, SHA-256 and text of every file under ``path``; no rows when it does not exist."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if not exists:
+    try:
+        files = spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "path string, length bigint, sha256 string, text string")
-    return spark.read.format("binaryFile").load(path).select(
+    return files.select(
         "path", "length", F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
 
 

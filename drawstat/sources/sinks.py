@@ -41,13 +41,28 @@ def file_hashes(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def same_document(spark: SparkSession, path: str, document: DataFrame, keys: tuple[str, ...]) -> dict[str, bool]:
-    """Compare top-level keys of a saved document with a new one, as JSON text of each key.
-    The saved one is read with the schema of the new one, so both render alike."""
+    """Compare top-level keys of a saved document with a new one, as JSON text of each key. The saved one is
+    read with the schema of the new one, so both render alike.
+
+    A document may have a row per series, in any order: rows meet by ``series`` (or by their whole content
+    where there is none) and are compared on the cluster; only one boolean per key comes back. A series that is
+    missing on one side, or there more often, makes every key differ."""
     saved = spark.read.schema(document.schema).json(path)
     present = [k for k in keys if k in document.columns]
-    render = [F.to_json(F.struct(F.col(k)), {"ignoreNullFields": "false"}).alias(k) for k in present]
-    before, after = saved.select(*render).first(), document.select(*render).first()
-    return {k: before[k] == after[k] for k in present}
+
+    def rendered(rows: DataFrame, side: str) -> DataFrame:
+        texts = [F.to_json(F.struct(F.col(k)), {"ignoreNullFields": "false"}).alias(f"{k}_text") for k in present]
+        series = F.col("series").cast("string") if "series" in document.columns else F.lit(None).cast("string")
+        # equal rows of a series are counted, so that the order of rows does not matter
+        counted = rows.select(series.alias("series"), *texts).groupBy("series", *[f"{k}_text" for k in present]).agg(F.count("*").alias("n"))
+        return counted.groupBy("series").agg(
+            F.sum("n").alias("n"), *[F.sort_array(F.collect_list(F.struct(f"{k}_text", "n"))).alias(k) for k in present]).select(
+            F.col("series").alias(f"{side}_series"), F.lit(True).alias(side), F.col("n").alias(f"{side}_n"), *[F.col(k).alias(f"{side}_{k}") for k in present])
+
+    both = rendered(saved, "before").join(rendered(document, "after"), F.col("before_series").eqNullSafe(F.col("after_series")), "full")
+    met = F.col("before").isNotNull() & F.col("after").isNotNull() & (F.col("before_n") == F.col("after_n"))
+    row = both.agg(*[F.coalesce(F.bool_and(met & F.col(f"before_{k}").eqNullSafe(F.col(f"after_{k}"))), F.lit(True)).alias(k) for k in present]).first()
+    return {k: row[k] for k in present}
 
 
 def save_experiment(spark: SparkSession, evaluation: DataFrame, forward: DataFrame, paths: dict[str, str]) -> dict:
@@ -58,7 +73,7 @@ def save_experiment(spark: SparkSession, evaluation: DataFrame, forward: DataFra
     before = {name: file_hashes(spark, paths[name]) for name in ("evaluation", "forward", "baseline_forward")}
     if before["forward"]:
         same = same_document(spark, paths["forward"], forward, ("model", "startsAfterDrawDate", "nextPrediction"))
-        processed = spark.read.schema(forward.schema).json(paths["forward"]).first()["processedDraws"]
+        processed = spark.read.schema(forward.schema).json(paths["forward"]).agg(F.max("processedDraws").alias("n")).first()["n"]
         if not (same["model"] and same["startsAfterDrawDate"]):
             raise DataError("the model differs from the frozen protocol; nothing was written")
         if processed == 0 and not same["nextPrediction"]:

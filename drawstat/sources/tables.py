@@ -13,19 +13,30 @@ from pyspark.sql import functions as F
 from drawstat.settings import SINGLE_GAME, WHEEL_GAME, Game
 
 
+NO_PRIORITY = "(none)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def order_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order that has lines: key, customer, date, priority and its sorted distinct numbers."""
-    number = (F.col("l_partkey") % 90 + 1).cast("int")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", number.alias("number"))
-    sets = lines.groupBy("l_orderkey").agg(F.collect_set("number").alias("numbers"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 90).alias("n"))
+    # a set of 90 numbers is two bit masks, which are combined in fixed memory before the shuffle
+    one, half = F.lit(1).cast("bigint"), 45
+    sets = lines.groupBy("l_orderkey").agg(
+        F.bit_or(F.when(F.col("n") < half, F.call_function("shiftleft", one, F.col("n").cast("int")))).alias("low"),
+        F.bit_or(F.when(F.col("n") >= half, F.call_function("shiftleft", one, (F.col("n") - half).cast("int")))).alias("high"))
+
+    def listed(mask: str, base: int) -> list[Column]:
+        return [F.when(F.getbit(F.col(mask), F.lit(i)) == 1, base + i).otherwise(0) for i in range(half)]
+
+    numbers = F.array_remove(F.array(*listed("low", 1), *listed("high", 1 + half)), 0)
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("order_date"))
     return orders.join(sets, orders.o_orderkey == sets.l_orderkey).select(
-        "o_orderkey", "o_custkey", "o_orderpriority", "order_date", F.array_sort("numbers").alias("numbers"))
+        "o_orderkey", "o_custkey", "o_orderpriority", "order_date", numbers.alias("numbers"))
 
 
 def raw_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +71,11 @@ def single_series(spark: SparkSession, sf_dir: str, game: Game = SINGLE_GAME) ->
 
 
 def priority_series(spark: SparkSession, sf_dir: str, game: Game = WHEEL_GAME) -> DataFrame:
-    """One series per order priority and one draw per week; weeks that lack a series are left out."""
-    draws = _draws(order_numbers(spark, sf_dir), F.col("o_orderpriority"),
+    """One series per order priority (orders without one make up a series of their own) and one draw per week;
+    weeks that lack a series are left out."""
+    draws = _draws(order_numbers(spark, sf_dir), F.coalesce(F.col("o_orderpriority"), F.lit(NO_PRIORITY)),
                    F.date_trunc("week", F.col("order_date")).cast("date"), game)
-    known = table(spark, sf_dir, "orders").agg(F.countDistinct("o_orderpriority").alias("n_series"))
-    return complete_dates(draws, known)
+    return complete_dates(draws)
 
 
 def order_days(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
@@ -74,8 +85,9 @@ def order_days(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame
     return table(spark, sf_dir, "orders").select(day.alias("draw_date")).distinct()
 
 
-def complete_dates(draws: DataFrame, series_count: DataFrame) -> DataFrame:
-    """Keep the dates on which every series has a draw; ``series_count`` is one row with ``n_series``."""
+def complete_dates(draws: DataFrame) -> DataFrame:
+    """Keep the dates on which every series that has a draw at all has one."""
+    series_count = draws.select("series").distinct().agg(F.count("*").alias("n_series"))  # one row
     present = F.count("*").over(Window.partitionBy("draw_date"))
     counted = draws.withColumn("n_present", present)
     return counted.join(F.broadcast(series_count), counted.n_present == series_count.n_series).drop("n_present", "n_series")

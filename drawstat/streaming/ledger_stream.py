@@ -2,8 +2,9 @@
 
 Each series is one keyed state: its last draws (as many as the longest horizon), the processed draws of the
 ledger (at most its target) and the last date and contest. Announcements must arrive in date order across
-triggers; a late, skipped, conflicting or invalid one is not dropped but comes out with its outcome, and an
-equal repetition changes nothing.
+triggers (within one trigger they are put in order); a late, skipped, conflicting or invalid one is not dropped but comes out with its outcome, and an
+equal repetition changes nothing. Every accepted draw, the warm-up included, is recognised again as REPEATED or
+CONFLICT whatever its age.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def ledger_stream(announcements: DataFrame, rules: LedgerRules = LedgerRules())
     game = rules.game
 
     def valid(numbers: tuple[int, ...], bonus: int | None, superstar: int | None) -> bool:
-        return (len(numbers) == game.pick == len(set(numbers)) and all(1 <= n <= game.pool for n in numbers)
+        return (len(numbers) == game.pick == len(set(numbers)) and all(n is not None and 1 <= n <= game.pool for n in numbers)
                 and bonus is not None and 1 <= bonus <= game.pool and bonus not in numbers
                 and superstar is not None and 1 <= superstar <= game.pool)
 
@@ -87,7 +88,7 @@ def ledger_stream(announcements: DataFrame, rules: LedgerRules = LedgerRules())
                     pd.to_datetime(frame["draw_date"]), frame["contest"], frame["numbers"], frame["bonus"], frame["superstar"],
                     frame["source_ord"]):
                 content = (None if pd.isna(day) else day.toordinal(), None if pd.isna(contest) else int(contest),
-                           tuple(int(n) for n in (numbers if numbers is not None else ())),
+                           tuple(None if pd.isna(n) else int(n) for n in (numbers if numbers is not None else ())),
                            None if pd.isna(bonus) else int(bonus), None if pd.isna(superstar) else int(superstar))
                 entry = seen.setdefault(content, [int(order), 0])
                 entry[0] = min(entry[0], int(order))
@@ -132,10 +133,7 @@ def ledger_stream(announcements: DataFrame, rules: LedgerRules = LedgerRules())
                     report(content, "REPEATED", times - 1)
                 history = np.vstack([history, np.array(numbers, dtype=int)])[-reach:]
                 held, last_day, last_contest = held + 1, day, contest
-                known[day] = (contest, numbers, bonus, superstar)
-                # only the ledger's own draws and the current history need to be recognised again
-                while len(known) > rules.target + reach:
-                    known.pop(min(known))
+                known[day] = (contest, numbers, bonus, superstar)  # at most warmup + target entries
         items = sorted(known.items())
         state.update((history.ravel().tolist(), held, last_day, last_contest, [d for d, _ in items], [v[0] for _, v in items],
                       [n for _, v in items for n in v[1]], [v[2] for _, v in items], [v[3] for _, v in items]))
