@@ -29,35 +29,43 @@ def empirical_tails(replicates: DataFrame, observed: Column, value: str, keys: S
                          F.least(F.lit(1.0), 2 * F.least(lower, upper)).alias("two_sided_p"))
 
 
+RULES = ("n_minus_one", "n")
+
+
 def order_statistics(values: DataFrame, value: str, keys: Sequence[str], probabilities: Sequence[float],
-                     rule: str = "n_minus_one", slices: int = 16) -> DataFrame:
-    """Exact sorted-array quantiles, one row per key and probability.
+                     rules: str | Sequence[str] = RULES, accuracy: int = 10_000) -> DataFrame:
+    """Exact sorted-array quantiles, one row per key, probability and rule.
 
-    ``n_minus_one`` takes position floor((n-1)*p), ``n`` takes floor(p*n). No group is sorted as a whole:
-    equal values are counted, the distinct ones are cut into ``slices`` ranges at approximate percentiles, and
-    only the slices that hold a wanted position are ordered. The edges only steer the work; the result is exact."""
-    keys = list(keys)
+    ``n_minus_one`` takes position floor((n-1)*p), ``n`` takes floor(p*n). A wanted position is bracketed by two
+    approximate percentiles; one aggregate counts what lies below the bracket, and only the values inside, about
+    4 / ``accuracy`` of a group, are counted by value and put in order. Should the counts show that a bracket
+    missed its position, all brackets are widened, up to the whole range, so the result is always exact."""
+    keys, rules = list(keys), [rules] if isinstance(rules, str) else list(rules)
     clean = values.select(*keys, F.col(value).alias("value")).filter("value IS NOT NULL")
-    edges = clean.groupBy(*keys).agg(F.percentile_approx("value", [i / slices for i in range(1, slices)], slices * 8).alias("edges"))
-    # comparisons with the edges added up: compiled code, unlike a search with a lambda over the array
-    above = sum((F.when(F.col("value") > F.get("edges", i), 1).otherwise(0) for i in range(slices - 1)), F.lit(0))
-    placed = _join_small(clean, edges, keys).select(*keys, "value", above.alias("slice")).groupBy(*keys, "slice", "value").agg(
-        F.count("*").alias("c"))
-    # at most ``slices`` rows per key from here on
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    sizes = placed.groupBy(*keys, "slice").agg(F.sum("c").alias("in_slice")).withColumn("n", F.sum("in_slice").over(group))
-    before = F.sum("in_slice").over(group.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("in_slice")
-    span = F.col("n") - 1 if rule == "n_minus_one" else F.col("n")
-    wanted = sizes.withColumn("before", before).withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-    wanted = wanted.withColumn("position", F.floor(span * F.col("probability")).cast("bigint")).filter(
-        (F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("in_slice")))
-    held = wanted.groupBy(*keys, "slice", "before").agg(F.collect_list(F.struct("probability", "position")).alias("wanted"))
-    inside = placed.join(held, [*keys, "slice"])
-    running = Window.partitionBy(*keys, "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.withColumn("upto", F.col("before") + F.sum("c").over(running))
-    found = ranked.select(*keys, "value", "c", "upto", F.inline("wanted"))
-    return found.filter((F.col("upto") > F.col("position")) & (F.col("upto") - F.col("c") <= F.col("position"))).select(
-        *keys, "probability", F.col("value").alias("quantile"))
+    probabilities, margin = [float(p) for p in probabilities], 2 / accuracy
+    while True:
+        cuts = [max(0.0, p - margin) for p in probabilities] + [min(1.0, p + margin) for p in probabilities]
+        edges = clean.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("value", cuts, accuracy).alias("edges"))
+        placed = _join_small(clean, edges, keys)
+        low, high = ([F.get("edges", i + k) for i in range(len(probabilities))] for k in (0, len(probabilities)))
+        below = placed.groupBy(*keys, "n").agg(*[F.count_if(F.col("value") < e).alias(f"below{i}") for i, e in enumerate(low)],
+                                               *[F.count_if(F.col("value") <= e).alias(f"upto{i}") for i, e in enumerate(high)])
+        # from here on one row per key, probability and rule
+        wanted = below.select(*keys, F.explode(F.array(*[F.struct(
+            F.lit(p).alias("probability"), F.lit(r).alias("rule"), F.lit(i).alias("bracket"), F.col(f"below{i}").alias("below"), F.col(f"upto{i}").alias("upto"),
+            F.floor((F.col("n") - 1 if r == "n_minus_one" else F.col("n")) * F.lit(p)).cast("bigint").alias("position"))
+            for i, p in enumerate(probabilities) for r in rules])).alias("w")).select(*keys, "w.*")
+        if margin >= 1 or wanted.filter("NOT (below <= position AND position < upto)").isEmpty():
+            break
+        margin *= 8
+    inside = placed.select(*keys, "value", F.explode(F.array(*[F.when(F.col("value").between(a, b), F.lit(i)) for i, (a, b) in enumerate(zip(low, high))])).alias("bracket"))
+    counted = inside.filter("bracket IS NOT NULL").groupBy(*keys, "bracket", "value").agg(F.count("*").alias("c"))
+    running = Window.partitionBy(*keys, "bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("seen", F.sum("c").over(running))
+    found = ranked.join(wanted, [*keys, "bracket"])
+    upto = F.col("below") + F.col("seen")
+    return found.filter((upto > F.col("position")) & (upto - F.col("c") <= F.col("position"))).select(
+        *keys, "probability", "rule", F.col("value").alias("quantile"))
 
 
 def _join_small(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:

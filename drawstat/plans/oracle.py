@@ -121,13 +121,14 @@ SERIAL = """
 shared AS (SELECT x.series, x.draw_idx, x.draw_date, count(y.number) AS shared FROM hits x
     LEFT JOIN hits y ON y.series = x.series AND y.draw_idx = x.draw_idx - 1 AND y.number = x.number WHERE x.draw_idx > 0 GROUP BY 1, 2, 3)"""
 ORACLE["serial_overlaps"] = with_(DAILY, SERIAL) + "SELECT series, draw_idx, draw_date, CAST(shared AS INTEGER) AS shared FROM shared"
-ORACLE["serial_test"] = with_(DAILY, SERIAL, """
+SERIAL_TEST = SERIAL + "," + """
 tot AS (SELECT series, count(*) AS m, CAST(sum(shared) AS BIGINT) AS s, count(*) FILTER (shared >= 2) AS k FROM shared GROUP BY 1),
 nullp AS (SELECT 1 - (exp(lgamma(85) - lgamma(79)) + 6 * 6 * exp(lgamma(85) - lgamma(80))) / exp(lgamma(91) - lgamma(85)) AS p),
 masses AS (SELECT series, k AS seen, j, lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1) + j * ln(p) + (m - j) * ln(1 - p) AS lm
     FROM (SELECT *, unnest(range(0, m + 1)) AS j FROM tot, nullp)),
 pv AS (SELECT x.series, least(1.0, sum(exp(x.lm))) AS p_value FROM masses x JOIN masses o ON o.series = x.series AND o.j = o.seen
-    WHERE x.lm <= o.lm + 1e-9 GROUP BY 1)""") + """
+    WHERE x.lm <= o.lm + 1e-9 GROUP BY 1)"""
+ORACLE["serial_test"] = with_(DAILY, SERIAL_TEST) + """
 SELECT series, m AS adjacent_pairs, s AS overlap_total, round(s / m::DOUBLE, 9) AS mean_overlap, k AS pairs_at_least_two,
 round(p, 9) AS null_probability, round(m * p, 9) AS expected_pairs, round(p_value, 9) AS raw_p FROM tot JOIN pv USING (series), nullp"""
 
@@ -403,6 +404,16 @@ SELECT series, CAST(n AS BIGINT) AS draws, k AS distinct_numbers, round(s / m::D
 round(shared / greatest(1, m - 1)::DOUBLE, 8) AS mean_overlap, round(x2, 8) AS chi_square,
 abs(round(greatest(0.0, least(1.0, CASE WHEN z >= 0 THEN p ELSE 1 - p END)), 8)) AS approximate_p, lo AS min_count, hi AS max_count
 FROM rec JOIN pp USING (series) JOIN ov USING (series)"""
+ORACLE["audit_tests"] = with_(DAILY, FREQ, SERIAL_TEST, """
+fit AS (SELECT series, sum((occurrences - expected) * (occurrences - expected) / expected) AS x2 FROM freq GROUP BY 1),
+zz AS (SELECT *, (pow(x2 / 89, 1::DOUBLE / 3) - (1 - 2::DOUBLE / 801)) / sqrt(2::DOUBLE / 801) AS z FROM fit),
+tt AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS t, 0.3989423::DOUBLE * exp(-z * z / 2) AS d FROM zz),
+pp AS (SELECT *, d * t * (0.3193815::DOUBLE + t * (-0.3565638::DOUBLE + t * (1.781478::DOUBLE + t * (-1.821256::DOUBLE + t * 1.330274::DOUBLE)))) AS p FROM tt),
+tests AS (SELECT series, 'marginal_frequency' AS test, x2 AS statistic, greatest(0.0, least(1.0, CASE WHEN z >= 0 THEN p ELSE 1 - p END)) AS raw_p FROM pp
+    UNION ALL SELECT series, 'serial_overlap', k::DOUBLE, p_value FROM tot JOIN pv USING (series)),
+steps AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY raw_p) - 1 AS step, count(*) OVER (PARTITION BY series) AS m FROM tests)""") + """
+SELECT series, test, round(statistic, 7) AS statistic, round(raw_p, 7) AS raw_p,
+round(max(least(1.0, (m - step) * raw_p)) OVER (PARTITION BY series ORDER BY raw_p ROWS UNBOUNDED PRECEDING), 7) AS holm_p FROM steps"""
 ORACLE["header_cards"] = with_(DAILY) + f"""SELECT series, count(*) AS draws, min(draw_date) AS first_date, max(draw_date) AS last_date,
 least({FORWARD_TARGET}, greatest(0, count(*) - {HISTORY_WINDOW})) AS processed, {FORWARD_TARGET} AS target FROM dd GROUP BY 1"""
 
@@ -452,11 +463,25 @@ ORACLE["stream_ledger"] = with_(
                                  f"draw_idx >= {LEDGER_START} AND draw_idx < {LEDGER_START + FORWARD_TARGET} AND draw_idx < n_draws"),
     random_tickets(FORWARD_SEED, "series, draw_idx", f"(SELECT * FROM dd WHERE draw_idx BETWEEN {LEDGER_START} AND {LEDGER_START + FORWARD_TARGET - 1})",
                    f"draw_idx - {LEDGER_START}"), """
-held AS (SELECT series, draw_idx, method, ticket, ticket_nums FROM tk UNION ALL SELECT series, draw_idx, 'random', ticket, ticket_nums FROM rt)""") + f"""
-SELECT d.series, d.draw_date, h.method, h.ticket AS prediction, d.numbers AS actual, d.bonus,
+held AS (SELECT series, draw_idx, method, ticket, ticket_nums FROM tk UNION ALL SELECT series, draw_idx, 'random', ticket, ticket_nums FROM rt),
+content AS (SELECT source AS series, draw_date, numbers, bonus, source_ord % 90 AS superstar, count(*) AS n, min(source_ord) AS ord,
+    bool_and(numbers_ok AND bonus_ok) AS ok FROM chk GROUP BY 1, 2, 3, 4, 5),
+placed AS (SELECT c.*, d.draw_idx, row_number() OVER (PARTITION BY c.series, c.draw_date, ok ORDER BY ord) AS nth
+    FROM content c LEFT JOIN dd d ON d.series = c.series AND d.draw_date = c.draw_date)""") + f"""
+SELECT series, draw_date, CAST(NULL AS INTEGER) AS contest, outcome, times, CAST(NULL AS VARCHAR) AS method, CAST(NULL AS VARCHAR) AS prediction,
+numbers AS actual, bonus, CAST(NULL AS INTEGER) AS main_hits, CAST(NULL AS INTEGER) AS processed_draws, CAST(NULL AS VARCHAR) AS status FROM (
+SELECT *, unnest(CASE WHEN NOT ok THEN [{{'outcome': 'INVALID', 'times': n}}]
+    WHEN draw_idx >= {LEDGER_START + FORWARD_TARGET} THEN [{{'outcome': 'TARGET_REACHED', 'times': n}}]
+    WHEN nth > 1 THEN [{{'outcome': 'CONFLICT', 'times': n}}]
+    WHEN draw_idx < {LEDGER_START} AND n > 1 THEN [{{'outcome': 'HISTORY', 'times': n}}, {{'outcome': 'REPEATED', 'times': n - 1}}]
+    WHEN draw_idx < {LEDGER_START} THEN [{{'outcome': 'HISTORY', 'times': n}}]
+    WHEN n > 1 THEN [{{'outcome': 'REPEATED', 'times': n - 1}}] ELSE [] END, recursive := true) FROM placed)
+UNION ALL
+SELECT d.series, d.draw_date, NULL, 'SCORED', p.n, h.method, h.ticket AS prediction, d.numbers AS actual, d.bonus,
 CAST(len(list_intersect(h.ticket_nums, d.nums)) AS INTEGER) AS main_hits, d.draw_idx - {LEDGER_START - 1} AS processed_draws,
 CASE WHEN d.draw_idx - {LEDGER_START - 1} >= {FORWARD_TARGET} THEN 'COMPLETE' ELSE 'ACTIVE' END AS status
-FROM held h JOIN dr d ON d.series = h.series AND d.draw_idx = h.draw_idx"""
+FROM held h JOIN dr d ON d.series = h.series AND d.draw_idx = h.draw_idx
+JOIN placed p ON p.series = d.series AND p.draw_date = d.draw_date AND p.ok AND p.nth = 1"""
 
 # ---------------------------------------------------------------- text and documents
 

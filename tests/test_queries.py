@@ -4,12 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from drawstat.plans.oracle import ORACLE
+from drawstat.plans.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "date": "DATE", "boolean": "BOOLEAN",
          "timestamp_ntz": "TIMESTAMP"}
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
-ROWS_ONLY = {"shift_tests", "shift_tests_weekly", "mc_pearson", "mc_pearson_verification", "mc_pair_max", "mc_archive", "audit_tests"}
+SQL = {name: sql for name, sql in ORACLE.items() if name in QUERIES}
+ROWS_ONLY = {"shift_tests", "shift_tests_weekly"}
 
 
 # the smallest tables hold two complete weeks, fewer than the warm-up of a weekly backtest
@@ -35,6 +37,7 @@ def ordered(rows):
 
 def test_only_simulations_lack_sql():
     assert set(QUERIES) - set(SQL) == ROWS_ONLY
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
