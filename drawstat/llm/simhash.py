@@ -10,7 +10,8 @@ exceed (2,081 for radius 3). Those within h flips of the variant (the core) are
 other member; linking all members to the smallest core member keeps every link's two ends connected and
 emits no pair outside the radius. Edges are linear in the members, never all pairs.
 
-Variants travel packed: one row per (batch, bucket) with ten bytes a variant instead of one row each.
+Variants travel packed: one row per (batch, bucket) instead of one row each. They are mixed by an odd factor,
+sorted and laid out byte by byte, so that their leading bytes and the walk numbers compress.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,8 @@ SHINGLE = 3
 # shingles hashed before their bits are added up, and variants a task of the meeting stage holds
 _CHUNK = 1 << 18
 _VARIANTS_PER_TASK = 2_000_000
-_FINGERPRINTS_PER_BATCH = 2048
+_FINGERPRINTS_PER_BATCH = 4096
+_FACTOR = 0x9E3779B97F4A7C15  # odd, so mixing can be undone
 
 
 def fingerprint(text: bytes, words_per_shingle: int = SHINGLE) -> int:
@@ -84,12 +87,23 @@ def flip_masks(radius: int) -> tuple[np.ndarray, int]:
     return np.array(core + extra, dtype=np.uint64), len(core)
 
 
+def _pack(mixed: np.ndarray, codes: np.ndarray) -> bytes:
+    planes = mixed.view(np.uint8).reshape(-1, 8).T.tobytes() + codes.view(np.uint8).reshape(-1, 2).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(10, -1)
+    return np.ascontiguousarray(planes[:8].T).view(np.uint64)[:, 0], np.ascontiguousarray(planes[8:].T).view(np.uint16)[:, 0]
+
+
 def ball_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b) edges among distinct fingerprints ``fp`` whose components are those of the links within ``radius``."""
     spark = distinct.sparkSession
     masks, core = flip_masks(radius)
     parts = max(slots(spark), distinct.count() * len(masks) // _VARIANTS_PER_TASK + 1)
     shift, most = np.uint64(32), np.uint64(parts)
+    factor, back = np.uint64(_FACTOR), np.uint64(pow(_FACTOR, -1, 1 << 64))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,22 +114,21 @@ def ball_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 variants = np.concatenate([(fps[:, None] ^ masks[None, :core]).ravel(), (even[:, None] ^ masks[None, core:]).ravel()])
                 codes = np.concatenate([np.tile(np.arange(core, dtype=np.uint16), len(fps)),
                                         np.tile(np.arange(core, len(masks), dtype=np.uint16), len(even))])
-                mixed = variants * np.uint64(0x9E3779B97F4A7C15)
-                bucket = ((mixed >> shift) % most).astype(np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                bucket, variants, codes = bucket[order], variants[order], codes[order]
+                mixed = variants * factor
+                order = np.argsort(mixed)
+                mixed, codes = mixed[order], codes[order]
+                bucket = ((mixed >> shift) * most) >> shift  # in the order of the mixed variants
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-                blobs = [variants[a:b].tobytes() + codes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+                blobs = [_pack(mixed[a:b], codes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, c = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)]
         for batch in batches:
             for value in batch.column(1):
-                blob = value.as_py()
-                n = len(blob) // 10
-                z.append(np.frombuffer(blob, np.uint64, n))
-                c.append(np.frombuffer(blob, np.uint16, n, 8 * n))
+                mixed, codes = _unpack(value.as_py())
+                z.append(mixed)
+                c.append(codes)
         z, c = np.concatenate(z), np.concatenate(c)
         order = np.argsort(z)
         z = z[order]
@@ -124,7 +137,7 @@ def ball_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         z, c = z[shared], c[order[shared]]
         if not len(z):
             return
-        fps = (z ^ masks[c]).view(np.int64)
+        fps = ((z * back) ^ masks[c]).view(np.int64)
         starts = np.concatenate([[0], np.flatnonzero(np.diff(z)) + 1])
         none = np.iinfo(np.int64).max
         centre = np.minimum.reduceat(np.where(c < core, fps, none), starts)
