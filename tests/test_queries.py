@@ -19,10 +19,10 @@ WEEKLY = {"weekly_backtest", "weekly_rollup", "weekly_tests", "weekly_last_predi
           "shift_tests_weekly"}
 
 
-def engine_on(folder):
+def engine_on(folder, names=TABLES, parts=""):
     connection = duckdb.connect()
-    for name in TABLES:
-        connection.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    for name in names:
+        connection.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet{parts}'")
     return connection
 
 

@@ -9,7 +9,7 @@ from drawstat.settings import SINGLE_GAME
 from drawstat.sources.archive import parse_lines, read_archive, read_archives, to_lines
 from drawstat.sources.documents import LEDGER, LIVE_DRAW, PROTOCOL, RECEIPT, nested_document, predictions_long, read_document, snapshot
 from drawstat.sources.pages import parse_draw_tables, read_pages
-from drawstat.sources.sinks import create_json, file_hashes, overwrite_json, save_experiment, summary_lines
+from drawstat.sources.sinks import create_json, file_hashes, overwrite_json, same_document, save_experiment, summary_lines
 
 HEADER = "data,n1,n2,n3,n4,n5,n6,jolly"
 
@@ -18,7 +18,7 @@ def test_archive_by_header_name_with_bom(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(("﻿jolly,data,n1,n2,n3,n4,n5,n6\r\n9,2024-01-01,1,2,3,4,5,6\r\n").encode())
     (tmp_path / "b.csv").write_text(f"{HEADER}\n2024-01-01,1,2,3,4,5,6,9\n2024-01-02,1,2,3,4,5,x,9\n")
     rows = read_archives(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
-    first = rows.filter("source_ord = 0").first()
+    first = rows.filter("source_ord.source = 0").first()
     assert (first["draw_date"], first["numbers"], first["bonus"]) == (date(2024, 1, 1), [1, 2, 3, 4, 5, 6], 9)
     bad = with_violations(rows, SINGLE_GAME, "date_text").filter(F.size("violations") > 0).collect()
     assert [(r["date_text"], r["violations"]) for r in bad] == [("2024-01-02", ["numbers"])]
@@ -68,10 +68,10 @@ def test_documents_and_nested_strings(spark, tmp_path):
     receipt = read_document(spark, str(tmp_path / "receipt.json"), RECEIPT)
     inner = receipt.select(nested_document(F.col("before.integrated"), LEDGER).alias("l")).first()["l"]
     assert inner["model"]["windows"] == [12, 52] and inner["results"] == [] and inner["processedDraws"] == 0
-    (tmp_path / "draw.json").write_text(json.dumps({"date": "2026-10-01", "contest": 157, "numbers": [5, 12, 28, 41, 56, 66], "jolly": 73,
-                                                    "superstar": 42, "source": {"type": "t", "officialQuota": None}}))
+    (tmp_path / "draw.json").write_text(json.dumps({"date": "2024-02-29", "contest": 12, "numbers": [3, 9, 27, 31, 62, 81], "jolly": 1,
+                                                    "superstar": 2, "source": {"type": "t", "officialQuota": None}}))
     draw = read_document(spark, str(tmp_path / "draw.json"), LIVE_DRAW).first()
-    assert draw["numbers"][-1] == 66 and draw["source"]["officialQuota"] is None
+    assert draw["numbers"][-1] == 81 and draw["source"]["officialQuota"] is None
     (tmp_path / "protocol.json").write_text(json.dumps({"historyWindow": 208, "models": [{"name": "a", "features": ["Sun"], "bins": 12}], "seed": 1}))
     assert read_document(spark, str(tmp_path / "protocol.json"), PROTOCOL).first()["models"][0]["features"] == ["Sun"]
     saved = spark.createDataFrame([({"Bari": {"m": [1, 2]}, "Roma": {"m": [3, 4]}},)], "predictionsByWheel map<string,map<string,array<int>>>")
@@ -82,10 +82,10 @@ def test_snapshot_of_missing_path_is_empty(spark, tmp_path):
     assert snapshot(spark, str(tmp_path / "none")).count() == 0
 
 
-def documents(spark, processed=0, windows=(12, 52), ticket=(1, 2), hits=1):
-    evaluation = spark.createDataFrame([("t", {"draws": 796}, list(ticket), [{"date": "d", "hits": hits}])],
+def documents(spark, processed=0, windows=(5, 21), ticket=(1, 2), hits=1):
+    evaluation = spark.createDataFrame([("t", {"draws": 31}, list(ticket), [{"date": "d", "hits": hits}])],
                                        "generatedAt string, coverage map<string,int>, nextPrediction array<int>, rows array<struct<date:string,hits:int>>")
-    forward = spark.createDataFrame([("READY", processed, "2026-09-29", (list(windows),), list(ticket))],
+    forward = spark.createDataFrame([("READY", processed, "2024-02-29", (list(windows),), list(ticket))],
                                     "status string, processedDraws int, startsAfterDrawDate string, model struct<windows:array<int>>, nextPrediction array<int>")
     return evaluation, forward
 
@@ -114,7 +114,7 @@ def test_changed_model_or_ticket_is_refused_before_any_write(spark, tmp_path):
     paths = paths_in(tmp_path)
     evaluation, forward = documents(spark)
     create_json(forward, paths["forward"])
-    for other in (documents(spark, windows=(26, 52))[1], documents(spark, ticket=(3, 4))[1]):
+    for other in (documents(spark, windows=(5, 22))[1], documents(spark, ticket=(3, 4))[1]):
         with pytest.raises(DataError):
             save_experiment(spark, evaluation, other, paths)
     assert not (tmp_path / "evaluation").exists() and not (tmp_path / "rerun").exists()
@@ -131,6 +131,43 @@ def test_active_ledger_may_have_moved_on(spark, tmp_path):
     assert file_hashes(spark, paths["forward"]) == before
 
 
+@pytest.mark.parametrize("keep, bonus", [("first", 40), ("last", 59)])
+@pytest.mark.parametrize("block", ["64", "1g"])
+def test_a_date_repeated_inside_one_file_keeps_its_place(spark, tmp_path, keep, bonus, block):
+    """Twenty rows of one date in one file, read whole or in many blocks: the place in the file decides."""
+    (tmp_path / "a.csv").write_text(HEADER + "\n" + "".join(f"2024-01-01,1,2,3,4,5,6,{40 + i}\n" for i in range(20)))
+    (tmp_path / "b.csv").write_text(f"{HEADER}\n2024-01-02,1,2,3,4,5,6,9\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        rows = read_archives(spark, [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")])
+        unique = {r["draw_date"]: r for r in dedup_by_date(rows, keep).collect()}
+        narrow = {r["draw_date"]: r["conflict"] for r in dedup_by_date(rows, keep, compare=("numbers",)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    row = unique[date(2024, 1, 1)]
+    assert (row["bonus"], row["n_rows"], row["conflict"]) == (bonus, 20, True) and not unique[date(2024, 1, 2)]["conflict"]
+    assert narrow == {date(2024, 1, 1): False, date(2024, 1, 2): False}
+
+
+def test_documents_of_several_series_are_compared_row_by_row(spark, tmp_path):
+    schema, path = "series string, rows array<int>, model string", str(tmp_path / "d")
+    saved = [("a", [1, 2], "m"), ("b", [2], "m"), (None, [3], None)]
+    create_json(spark.createDataFrame(saved, schema), path)
+
+    def same(rows):
+        return same_document(spark, path, spark.createDataFrame(rows, schema), ("rows", "model", "absent"))
+
+    assert same(saved[::-1]) == {"rows": True, "model": True}
+    assert same([saved[0], ("b", [999], "m"), saved[2]]) == {"rows": False, "model": True}
+    assert same(saved[:2]) == {"rows": False, "model": False} == same([*saved, ("c", [1], "m")])
+    assert same([*saved, saved[0]]) == {"rows": False, "model": False}
+
+
+def test_lines_without_bonus_come_back(spark):
+    draws = parse_lines(spark.createDataFrame([("2024-01-01,1,2,3,4,5,6,",)], "line string"), HEADER)
+    assert draws.first()["bonus"] is None and to_lines(draws).first()["line"] == "2024-01-01,1,2,3,4,5,6,"
+
+
 def test_summary_lines_keep_nulls(spark):
     line = summary_lines(spark.createDataFrame([(1, None)], "a int, b string")).first()["line"]
     assert json.loads(line) == {"a": 1, "b": None}

@@ -71,6 +71,24 @@ def test_violations_come_out_and_repetitions_change_nothing(spark, run):
     assert {r["processed_draws"] for r in last} == {2} and {r["status"] for r in last} == {"COMPLETE"} and len(last) == 3
 
 
+def test_missing_numbers_are_invalid_and_stop_nothing(spark, run):
+    rules = LedgerRules(windows=(2,), baseline=2, warmup=2, target=5)
+    draws = rf.random_draws(3, seed=8)
+    bad = (*announcement(1, draws[1])[:3], [1, None, 3, 4, 5, 6], None, None, 7)
+    table = run([announcement(0, draws[0]), bad, announcement(2, draws[2], contest=2), (*announcement(3, draws[1])[:3], None, 5, 6, 8)], rules)
+    assert sorted(r["outcome"] for r in table.collect()) == ["HISTORY", "HISTORY", "INVALID", "INVALID"]
+
+
+def test_old_draws_are_recognised_after_the_target(spark, run):
+    """A repetition of the first draw is REPEATED like one of the last, whatever the length of the warm-up."""
+    rules = LedgerRules(windows=(2,), baseline=2, warmup=6, target=1)
+    draws = rf.random_draws(7, seed=3)
+    run([announcement(i, d) for i, d in enumerate(draws)], rules)
+    table = run([announcement(0, draws[0]), announcement(6, draws[6]), announcement(1, draws[5])], rules)
+    assert outcomes(table) == {(START, 1): ("REPEATED", 1), (START + timedelta(days=6), 7): ("REPEATED", 1),
+                               (START + timedelta(days=1), 2): ("CONFLICT", 1)}
+
+
 def test_conflicting_bonus_is_a_conflict(spark, run):
     rules = LedgerRules(windows=(2,), baseline=2, warmup=2, target=5)
     draws = rf.random_draws(3, seed=8)
