@@ -75,7 +75,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, counts: tuple[str, str] =
     rows without one come last. Other columns pass through (columns of the names in ``counts`` are replaced)."""
     covered = keep(covered_lines(docs, window), "covered")
     ident = F.coalesce(docs["doc_id"].cast("bigint"), F.lit(_LAST))
-    joined = docs.join(covered, (ident == covered["id"]) & (text_key(docs["text"]) == covered["text_key"]), "left")
+    # a merge join at every size: the covered lines grow with the corpus, so they are never sent whole to every task
+    joined = docs.join(covered.hint("merge"), (ident == covered["id"]) & (text_key(docs["text"]) == covered["text_key"]), "left")
     lines = F.when(docs["text"].isNull(), 0).otherwise(F.size(F.split(docs["text"], "\n")))
     passed = [docs[f"`{c}`"] for c in docs.columns if c not in ("text", *counts)]
     rows = joined.select(*passed, docs["text"].alias("text"), lines.alias(counts[0]), covered["starts"].alias(counts[1]))
