@@ -20,7 +20,7 @@ SCHEMA = "page_id bigint, url string, html string"
 
 def test_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(*p, "clash", 1) for p in PAGES], SCHEMA + ", payload string, revisit int").repartition(3)
-    index = warc.write_archives(rows, str(tmp_path / "out"), frame_bytes=2000, archive_bytes=3000)
+    index = warc.write_archives(rows, str(tmp_path / "out"), frame_bytes=2000, archive_bytes=300)
     found = {r.page_id: r for r in warc.read_archives(index).collect()}
     assert len(found) == len(PAGES)
     stored = {}
