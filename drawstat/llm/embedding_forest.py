@@ -39,7 +39,7 @@ def _levels(rows: int, leaf_rows: int) -> int:
 
 
 def _directions(tree: int, node: int, dims: int, count: int) -> np.ndarray:
-    return np.random.default_rng([tree, node % (1 << 63), dims]).normal(size=(count, dims))
+    return np.random.default_rng([int(tree), int(node), int(dims)]).normal(size=(count, dims))
 
 
 def _units(column, dims: int) -> np.ndarray:

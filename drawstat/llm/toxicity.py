@@ -1,6 +1,7 @@
 """Toxicity by a small convolutional text classifier trained in numpy.
 
-Words are hashed to embeddings; filters one to three words wide slide over a whole text, each keeps its
+Words are hashed to embeddings, each the sum of those of the word and of its beginnings, so that an inflected
+form shares what its stem has shown; filters one to three words wide slide over a whole text, each keeps its
 largest response (max pooling), and a logistic unit joins them. It is trained on a bounded sample of
 labelled rows in one task; scoring runs in every task over whole texts. Thresholds are calibrated by
 language on labelled rows left out of the training, and never enter a score.
@@ -29,18 +30,19 @@ FOLDS = 5
 class Settings:
     """``per_class`` and ``longest`` bound the training sample: so many distinct texts of each label at most,
     drawn by hash from all labelled rows, none of more than ``longest`` words (a longer one is left out as a
-    whole; scoring has no such bound). Words in fewer than ``known_in`` texts of the sample stay neutral."""
+    whole; scoring has no such bound). Word pieces in fewer than ``known_in`` texts of the sample stay neutral."""
 
     per_class: int = 4000
-    longest: int = 3000
-    buckets: int = 1 << 16
+    longest: int = 2000
+    prefixes: tuple[int, ...] = (3, 4, 5, 6, 7)
     width: int = 16
     filters: int = 8
     spans: tuple[int, ...] = (1, 2, 3)
-    known_in: int = 3
+    known_in: int = 5
     epochs: int = 6
+    fewest_steps: int = 400
     batch: int = 64
-    rate: float = 0.01
+    rate: float = 0.005
     decay: float = 1e-4
     seed: int = 7
     fewest_for_threshold: int = 20
@@ -49,7 +51,7 @@ class Settings:
 @dataclass
 class Model:
     settings: Settings
-    known: np.ndarray                  # buckets with an embedding
+    known: np.ndarray                  # hashes of word pieces with an embedding, sorted
     embedding: np.ndarray              # (known, width)
     kernels: list[np.ndarray]          # per span: (span, width, filters)
     bias: np.ndarray                   # of all filters
@@ -58,50 +60,56 @@ class Model:
     thresholds: dict[str, float] = field(default_factory=dict)
 
     def responses(self) -> np.ndarray:
-        """Response of every filter position to every bucket: a convolution becomes a sum of looked-up rows."""
-        table = np.zeros((self.settings.buckets, sum(self.settings.spans) * self.settings.filters), np.float32)
-        if len(self.known):
-            table[self.known] = np.concatenate([self.embedding @ kernel for k in self.kernels for kernel in k], axis=1)
+        """Response of every filter position to every known piece, row 0 for all others: a convolution becomes a
+        sum of looked-up rows."""
+        table = np.zeros((len(self.known) + 1, sum(self.settings.spans) * self.settings.filters), np.float32)
+        table[1:] = np.concatenate([self.embedding @ kernel for k in self.kernels for kernel in k], axis=1)
         return table
 
 
-def word_ids(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every word of every text, and the offsets of the texts. Words are lower case without
-    punctuation around them; bucket zero is neutral (no word left). Null is empty."""
+def words_of(texts: pa.Array, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts as numbers of distinct words, the offsets of the texts, and per distinct word the
+    hashes of its pieces: the word itself and its beginnings of the given lengths (0: no such piece). Words
+    are lower case without punctuation around them. Null is empty."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     encoded = lists.flatten().dictionary_encode()
     plain = pc.replace_substring_regex(encoded.dictionary, r"^[^\pL\pN]+|[^\pL\pN]+$", "")
-    hashed = np.fromiter((zlib.crc32(w.encode()) % (buckets - 1) + 1 if w else 0 for w in plain.to_pylist()), np.int32, len(plain))
+    crc, columns = zlib.crc32, []
+    listed = [w.encode() for w in plain.to_pylist()]
+    columns.append(np.fromiter((crc(w) + 1 if w else 0 for w in listed), np.int64, len(listed)))
+    lengths = pc.utf8_length(plain).to_numpy(zero_copy_only=False)
+    for n in prefixes:
+        heads = pc.utf8_slice_codeunits(plain, 0, n).dictionary_encode()
+        hashed = np.array([(crc(h.encode(), n) + 1) | 1 << 33 for h in heads.dictionary.to_pylist()], np.int64)
+        columns.append(np.where(lengths > n, hashed[heads.indices.to_numpy(zero_copy_only=False)], 0) if len(hashed) else np.zeros(0, np.int64))
     offsets = np.asarray(lists.offsets).astype(np.int64)
-    indices = encoded.indices.to_numpy(zero_copy_only=False)
-    return (hashed[indices] if len(hashed) else np.empty(0, np.int32)), offsets - offsets[0]
+    return encoded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0], np.stack(columns, axis=1)
 
 
-def _convolve(cells: np.ndarray, spans: tuple[int, ...], filters: int) -> np.ndarray:
-    """Sum the looked-up parts of every filter: row t of the result is the window that starts at t."""
-    out, at = [], 0
-    n = len(cells)
-    for span in spans:
-        total = cells[:, at:at + filters].copy()
-        for k in range(1, span):
-            at += filters
-            total[: n - k] += cells[k:, at:at + filters]
-        at += filters
-        out.append(total)
-    return np.concatenate(out, axis=1)
+def _rows(pieces: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Row of every piece in a table whose row 0 stands for what is not known."""
+    at = np.searchsorted(known, pieces)
+    at[at == len(known)] = 0
+    return np.where(known[at] == pieces, at + 1, 0).astype(np.int32) if len(known) else np.zeros(pieces.shape, np.int32)
 
 
-def score_ids(model: Model, table: np.ndarray, ids: np.ndarray, offsets: np.ndarray, block: int = 1 << 17) -> np.ndarray:
-    """Scores of texts given as word buckets. Works in blocks, so a text of any length needs bounded memory."""
+def score_texts(model: Model, table: np.ndarray, texts: pa.Array, block: int = 1 << 17) -> np.ndarray:
+    """Scores of whole texts. Works in blocks of words, so a text of any length needs bounded memory."""
     s, reach = model.settings, max(model.settings.spans) - 1
+    words, offsets, pieces = words_of(texts, s.prefixes)
+    rows = _rows(pieces, model.known)
+    of_word = np.zeros((len(rows), table.shape[1]), np.float32)
+    for column in rows.T:
+        some = np.flatnonzero(column)
+        of_word[some] += table[column[some]]
     n_docs = len(offsets) - 1
     pooled = np.zeros((n_docs, len(s.spans) * s.filters), np.float32)
     doc_of = np.repeat(np.arange(n_docs), np.diff(offsets))
-    for a in range(0, len(ids), block):
-        b = min(a + block, len(ids))
-        c = min(b + reach, len(ids))
+    for a in range(0, len(words), block):
+        b = min(a + block, len(words))
+        c = min(b + reach, len(words))
         total = np.zeros((b - a, len(s.spans) * s.filters), np.float32)
-        cells, docs, at = table[ids[a:c]], doc_of[a:c], 0
+        cells, docs, at = of_word[words[a:c]], doc_of[a:c], 0
         for i, span in enumerate(s.spans):
             part = total[:, i * s.filters:(i + 1) * s.filters]
             for k in range(span):
@@ -117,41 +125,56 @@ def score_ids(model: Model, table: np.ndarray, ids: np.ndarray, offsets: np.ndar
     return 1 / (1 + np.exp(-(pooled.astype(np.float64) @ model.out + model.out_bias)))
 
 
-def train(rows: list[tuple[int, str, int, np.ndarray]], s: Settings) -> Model:
-    """Fit on rows (order, language, label, word buckets); a fifth, by position, is left out for calibration."""
-    rows = sorted(rows, key=lambda r: (r[0], r[2]))
+def _evidence(texts: list[np.ndarray], labels: np.ndarray, known: int) -> np.ndarray:
+    """How surely a piece marks a label: its smoothed log odds over their standard error, less what chance alone
+    explains. A start for the embeddings that keeps rare pieces near zero."""
+    counts = np.full((2, known + 1), 0.5)
+    for rows, label in zip(texts, labels):
+        counts[label, rows] += 1
+    odds = np.log(counts[1] / (labels.sum() + 1)) - np.log(counts[0] / ((1 - labels).sum() + 1))
+    z = (odds / np.sqrt(1 / counts[0] + 1 / counts[1]))[1:]
+    return np.sign(z) * np.maximum(np.abs(z) - 2, 0)
+
+
+def train(rows: list[tuple[int, str, int, str]], s: Settings) -> Model:
+    """Fit on rows (order, language, label, text); a fifth, by position, is left out for calibration."""
+    rows = sorted(rows, key=lambda r: (r[0], r[2], r[3]))
     fit, rest = [r for i, r in enumerate(rows) if i % 5], rows[::5]
     rng = np.random.default_rng(s.seed)
-    seen = np.zeros(s.buckets, np.int64)
-    for r in fit:
-        seen[np.unique(r[3])] += 1
-    seen[0] = 0
-    known = np.flatnonzero(seen >= s.known_in)
-    place = np.zeros(s.buckets, np.int64)
-    place[known] = np.arange(1, len(known) + 1)
-    n_out = len(s.spans) * s.filters
-    params = {"embedding": rng.normal(0, 0.1, (len(known) + 1, s.width)), "out": rng.normal(0, 0.1, n_out), "bias": np.zeros(n_out),
+    words, offsets, pieces = words_of(pa.array([r[3] for r in fit], pa.large_string()), s.prefixes)
+    texts = [words[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+    distinct = [np.unique(pieces[np.unique(t)]) for t in texts]
+    found, seen = np.unique(np.concatenate(distinct or [np.empty(0, np.int64)]), return_counts=True)
+    known = found[(seen >= s.known_in) & (found > 0)]
+    rows_of = np.concatenate([_rows(pieces, known), np.zeros((1, 1 + len(s.prefixes)), np.int32)])  # the last word is padding
+    labels, n_out = np.array([r[2] for r in fit], int), len(s.spans) * s.filters
+    params = {"embedding": rng.normal(0, 0.02, (len(known) + 1, s.width)), "out": rng.normal(0.5, 0.1, n_out), "bias": np.zeros(n_out),
               "out_bias": np.zeros(1)} | {f"k{i}": rng.normal(0, (s.width * span) ** -0.5, (span, s.width, s.filters)) for i, span in enumerate(s.spans)}
+    params["embedding"][1:, 0] = _evidence([_rows(d, known) for d in distinct], labels, len(known)) / 4
     params["embedding"][0] = 0
+    for i in range(len(s.spans)):
+        params[f"k{i}"][:, 0] += 0.5
+    params = {k: v.astype(np.float32) for k, v in params.items()}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
-    reach, step = max(s.spans) - 1, 0
-    labels = np.array([r[2] for r in fit], float)
-    weight = np.where(labels == 1, len(fit) / max(1, 2 * labels.sum()), len(fit) / max(1, 2 * (len(fit) - labels.sum())))
-    for _ in range(s.epochs):
+    reach, step, half = max(s.spans) - 1, 0, len(fit) / 2
+    weight = np.where(labels == 1, half / max(1, labels.sum()), half / max(1, (1 - labels).sum()))
+    pads = np.full(reach, len(rows_of) - 1)
+    for _ in range(max(s.epochs, -(-s.fewest_steps * s.batch // len(fit))) if len(known) else 0):
         order = rng.permutation(len(fit))
         for at in range(0, len(fit), s.batch):
             chosen = order[at:at + s.batch]
-            pads = np.zeros(reach, np.int64)
-            parts = [np.concatenate([place[fit[i][3]], pads]) for i in chosen]
+            parts = [np.concatenate([texts[i], pads]) for i in chosen]
             ends = np.cumsum([len(p) for p in parts])
-            ids = np.concatenate([*parts, pads])
+            here, back_to = np.unique(np.concatenate([*parts, pads]), return_inverse=True)
+            mine = rows_of[here]
+            vectors = sum(params["embedding"][mine[:, p]] for p in range(mine.shape[1]))
             kernels = np.concatenate([k for i in range(len(s.spans)) for k in params[f"k{i}"]], axis=1)
-            conv = _convolve(params["embedding"][ids] @ kernels, s.spans, s.filters) + params["bias"]
+            conv = _convolve((vectors @ kernels)[back_to], s.spans, s.filters) + params["bias"]
             starts = np.concatenate([[0], ends[:-1]])
             peak = np.stack([a + conv[a:max(b - reach, a + 1)].argmax(axis=0) for a, b in zip(starts, ends)])
             pooled = np.maximum(np.take_along_axis(conv, peak, axis=0), 0)
             p = 1 / (1 + np.exp(-(pooled @ params["out"] + params["out_bias"])))
-            error = (p - labels[chosen]) * weight[chosen] / len(chosen)
+            error = ((p - labels[chosen]) * weight[chosen] / len(chosen)).astype(np.float32)
             grads = {k: s.decay * v for k, v in params.items() if k != "embedding"}
             grads["out"] = grads["out"] + pooled.T @ error
             grads["out_bias"] = grads["out_bias"] + error.sum()
@@ -161,9 +184,11 @@ def train(rows: list[tuple[int, str, int, np.ndarray]], s: Settings) -> Model:
             for i, span in enumerate(s.spans):
                 f = slice(i * s.filters, (i + 1) * s.filters)
                 for k in range(span):
-                    words = ids[peak[:, f] + k]
-                    grads[f"k{i}"][k] += np.einsum("bfw,bf->wf", params["embedding"][words], back[:, f])
-                    np.add.at(grads["embedding"], words, back[:, f, None] * params[f"k{i}"][k].T[None])
+                    at_peak = back_to[peak[:, f] + k]
+                    grads[f"k{i}"][k] += np.einsum("bfw,bf->wf", vectors[at_peak], back[:, f])
+                    moved = back[:, f, None] * params[f"k{i}"][k].T[None]
+                    for column in mine[at_peak].transpose(2, 0, 1):
+                        np.add.at(grads["embedding"], column, moved)
             grads["embedding"][0] = 0
             step += 1
             for k, g in grads.items():
@@ -171,16 +196,30 @@ def train(rows: list[tuple[int, str, int, np.ndarray]], s: Settings) -> Model:
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 params[k] -= s.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model = Model(s, known, params["embedding"][1:].astype(np.float32), [params[f"k{i}"].astype(np.float32) for i in range(len(s.spans))],
-                  params["bias"].astype(np.float32), params["out"].astype(np.float64), float(params["out_bias"][0]))
-    ids = np.concatenate([r[3] for r in rest] or [np.empty(0, np.int32)])
-    scores = score_ids(model, model.responses(), ids, np.cumsum([0, *[len(r[3]) for r in rest]]))
+    trained = len(known) and len(fit)
+    model = Model(s, known, params["embedding"][1:], [params[f"k{i}"] for i in range(len(s.spans))], params["bias"],
+                  params["out"].astype(np.float64) if trained else np.zeros(n_out), float(params["out_bias"][0]))
+    scores = score_texts(model, model.responses(), pa.array([r[3] for r in rest], pa.large_string()))
     for lang in {r[1] for r in rest}:
         mine = [(x, r[2]) for x, r in zip(scores, rest) if r[1] == lang]
         model.thresholds[lang] = threshold(*zip(*mine), s.fewest_for_threshold)
     return model
 
 
+def _convolve(cells: np.ndarray, spans: tuple[int, ...], filters: int) -> np.ndarray:
+    """Sum the looked-up parts of every filter: row t of the result is the window that starts at t."""
+    out, at = [], 0
+    n = len(cells)
+    for span in spans:
+        total = cells[:, at:at + filters].copy()
+        for k in range(1, span):
+            at += filters
+            total[: n - k] += cells[k:, at:at + filters]
+        at += filters
+        out.append(total)
+    return np.concatenate(out, axis=1)
+
+
 def threshold(scores, labels, fewest: int) -> float:
     """Cut with the fewest errors, in the middle of the gap it lies in; 0.5 with too few rows of a label."""
     x, y = np.array(scores), np.array(labels)
@@ -214,21 +253,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     texts = joined.groupBy(text_key(F.col("text")).alias("text_key")).agg(
         F.min("place").alias("place"), F.max("toxic").alias("toxic"), F.min(F.coalesce("lang", F.lit(""))).alias("lang"), F.min("text").alias("text"))
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, offsets = word_ids(batch.column(3), s.buckets)
-            short = np.diff(offsets) <= s.longest
-            kept = [ids[a:b].tobytes() for a, b, k in zip(offsets[:-1], offsets[1:], short) if k]
-            yield pa.RecordBatch.from_arrays([*[c.filter(pa.array(short)) for c in batch.columns[:3]], pa.array(kept, pa.binary())],
-                                             ["place", "toxic", "lang", "ids"])
-
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(r["place"], r["lang"], r["toxic"], np.frombuffer(r["ids"], np.int32)) for b in batches for r in b.to_pylist()]
+        rows = [(r["place"], r["lang"], r["toxic"], r["text"]) for b in batches for r in b.to_pylist()]
         learned = {k: v for k, v in vars(train(rows, s)).items() if k != "settings"}
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learned)], pa.binary())], ["model"])
 
-    small = texts.select("place", F.col("toxic").cast("int"), "lang", "text").mapInArrow(shrink, "place bigint, toxic int, lang string, ids binary")
-    return Model(s, **pickle.loads(small.repartition(1).mapInArrow(learn, "model binary").first()["model"]))
+    short = texts.filter(F.size(F.split(F.trim("text"), r"\s+")) <= s.longest)
+    small = short.select("place", F.col("toxic").cast("int"), "lang", "text")
+    found = small.repartition(1).mapInArrow(learn, "model binary").first()
+    return Model(s, **pickle.loads(found["model"])) if found else train([], s)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -244,8 +277,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.responses()
         for batch in batches:
-            ids, offsets = word_ids(batch.column(at), model.settings.buckets)
-            scores = score_ids(model, table, ids, offsets)
+            scores = score_texts(model, table, batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])

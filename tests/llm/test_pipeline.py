@@ -41,8 +41,7 @@ def test_toxicity_stage(spark, stages):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     model = toxicity.fit(docs, labels)
     rows = docs.collect()
-    words, cuts = toxicity.word_ids(pa.array([r.text for r in rows]), model.settings.buckets)
-    scores = toxicity.score_ids(model, model.responses(), words, cuts)
+    scores = toxicity.score_texts(model, model.responses(), pa.array([r.text for r in rows]))
     assert ids(out) == sorted(r.doc_id for r, s in zip(rows, scores) if s < model.thresholds.get(r.lang, 0.5))
 
 

