@@ -29,11 +29,12 @@ def _multiply32(a: Column, b: Column) -> Column:
     return (high + a.bitwiseAND(0xFFFF) * b).bitwiseAND(_MASK)
 
 
-def uniform_at(seed: int, position: Column) -> Column:
-    """Uniform in [0, 1) at a zero-based stream position."""
+def uniform_at(seed: int | Column, position: Column) -> Column:
+    """Uniform in [0, 1) at a zero-based stream position. A column of seeds gives every row its own stream."""
+    seed_col = (F.lit(seed & _MASK) if isinstance(seed, int) else seed).cast("bigint").bitwiseAND(_MASK)
     # positions enter modulo 2**32, so the product with the increment cannot overflow a bigint
     counter = (position.cast("bigint") + 1).bitwiseAND(_MASK)
-    start = (F.lit(seed & _MASK).cast("bigint") + _multiply32(counter, F.lit(INCREMENT).cast("bigint"))).bitwiseAND(_MASK)
+    start = (seed_col + _multiply32(counter, F.lit(INCREMENT).cast("bigint"))).bitwiseAND(_MASK)
 
     def second(v: Column) -> Column:
         mixed = _multiply32(v.bitwiseXOR(F.shiftright(v, 7)), v.bitwiseOR(61))
@@ -44,7 +45,7 @@ def uniform_at(seed: int, position: Column) -> Column:
     return final / F.lit(4294967296.0)
 
 
-def random_ticket(seed: int, draw: Column, game: Game) -> Column:
+def random_ticket(seed: int | Column, draw: Column, game: Game) -> Column:
     """Uniform ticket number ``draw`` of a stream (Floyd's subset sampling, ``pick`` uniforms each)."""
     slots = F.sequence(F.lit(game.pool - game.pick), F.lit(game.pool - 1))
 

@@ -53,7 +53,7 @@ def ledger(indexed: DataFrame, game: Game, start_idx: int, target: int = FORWARD
         processed.alias("processed_draws"), status_after(processed, target).alias("status"))
 
 
-def status_after(processed: Column, target: int) -> Column:
+def status_after(processed: Column, target: int | Column) -> Column:
     return F.when(processed >= target, F.lit("COMPLETE")).otherwise(F.lit("ACTIVE"))
 
 

@@ -458,6 +458,30 @@ dr AS (SELECT series, draw_date, nums, numbers, bonus, CAST(row_number() OVER (P
     CAST(count(*) OVER (PARTITION BY series) AS INTEGER) AS n_draws FROM firsts WHERE r = 1),
 dd AS (SELECT series, draw_date, draw_idx, n_draws FROM dr),
 hits AS (SELECT series, draw_idx, n_draws, draw_date, unnest(nums) AS number FROM dr)"""
+HELD = 20  # draws the derived ledgers hold already
+ORACLE["ledger_advance"] = with_(
+    FIRST_VALID, SCORES, tickets("scores", ("integrated", "frequency52"), 6, f"draw_idx >= n_draws - {HELD + 1} AND n_draws >= {HISTORY_WINDOW + HELD + 2}"),
+    random_tickets(FORWARD_SEED, "series, draw_idx, n_draws", f"""(SELECT DISTINCT series, draw_idx, n_draws FROM steps
+    WHERE draw_idx >= n_draws - 1 AND n_draws >= {HISTORY_WINDOW + HELD + 2})""", f"draw_idx - n_draws + {HELD + 1}")) + f"""
+SELECT d.series, 'PROCESSED' AS outcome, 'ACTIVE' AS status, {HELD + 1} AS processed_draws, {HELD + 1} AS n_results, {HELD + 1} AS baseline_processed,
+{HELD + 1} AS baseline_results, CAST(d.draw_date AS VARCHAR) AS last_processed, d.n_draws AS contest, i.ticket AS integrated_ticket, i.hits AS integrated_hits,
+CASE WHEN i.hits = 5 AND list_contains(i.ticket_nums, d.bonus) THEN '5+1' ELSE CAST(i.hits AS VARCHAR) END AS integrated_category,
+CASE WHEN i.hits < 2 THEN -1 END AS integrated_profit, f.hits AS frequency52_hits,
+CAST(len(list_intersect(r.ticket_nums, d.nums)) AS INTEGER) AS random_hits,
+CAST((SELECT sum(hits) FROM tk WHERE tk.series = d.series AND tk.method = 'integrated' AND tk.draw_idx < d.n_draws) AS INTEGER) AS hits_so_far,
+ni.ticket AS next_integrated, nf.ticket AS next_frequency52, nf.ticket AS next_copy, nr.ticket AS next_random
+FROM dr d JOIN tk i ON i.series = d.series AND i.draw_idx = d.draw_idx AND i.method = 'integrated'
+JOIN tk f ON f.series = d.series AND f.draw_idx = d.draw_idx AND f.method = 'frequency52'
+JOIN rt r ON r.series = d.series AND r.draw_idx = d.draw_idx
+JOIN tk ni ON ni.series = d.series AND ni.draw_idx = d.n_draws AND ni.method = 'integrated'
+JOIN tk nf ON nf.series = d.series AND nf.draw_idx = d.n_draws AND nf.method = 'frequency52'
+JOIN rt nr ON nr.series = d.series AND nr.draw_idx = d.n_draws WHERE d.draw_idx = d.n_draws - 1"""
+ORACLE["ledger_violations"] = with_(FIRST_VALID) + f"""
+SELECT series, variant, outcome FROM (SELECT DISTINCT series FROM dd WHERE n_draws >= {HISTORY_WINDOW + HELD + 2}), (VALUES
+('number_repeated', 'INVALID_DRAW'), ('jolly_drawn', 'INVALID_DRAW'), ('superstar_missing', 'INVALID_DRAW'), ('no_calendar_day', 'INVALID_DRAW'),
+('known_equal', 'ALREADY_PROCESSED'), ('known_changed', 'CONFLICT'), ('contest_skipped', 'CONTEST'), ('date_early', 'ALIGNMENT'),
+('counter_off', 'COUNTERS'), ('target_reached', 'COUNTERS'), ('windows_changed', 'PROTOCOL'), ('look_ahead', 'PROTOCOL'),
+('ticket_changed', 'PREDICTIONS'), ('copy_changed', 'PREDICTIONS'), ('random_changed', 'RANDOM'), ('history_short', 'ALIGNMENT')) AS v(variant, outcome)"""
 ORACLE["stream_ledger"] = with_(
     FIRST_VALID, SCORES, tickets("scores", ("integrated", "frequency52"), 6,
                                  f"draw_idx >= {LEDGER_START} AND draw_idx < {LEDGER_START + FORWARD_TARGET} AND draw_idx < n_draws"),

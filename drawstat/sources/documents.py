@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 
 from drawstat.settings import BINNED_MODELS
 
+
+def as_struct(fields: str) -> str:
+    """A schema of a document as the type of a field."""
+    return f"struct<{fields}>"
+
+
 LIVE_DRAW = ("date string, contest int, numbers array<int>, jolly int, superstar int, "
              "source struct<type: string, path: string, officialVerification: string, officialQuota: double>")
 _RESULT = ("drawDate: string, contest: int, prediction: array<int>, draw: array<int>, jolly: int, superstar: int, "
@@ -21,11 +27,23 @@ LEDGER = ("status string, createdAt string, startsAfterDrawDate string, protocol
           "randomBaseline: struct<name: string, generator: string, seed: bigint, nextPrediction: array<int>>, multiplicity: string>, "
           "nextPrediction array<int>, "
           f"results array<struct<{_RESULT}, comparators: struct<frequency52: struct<{_RESULT}>, random: struct<{_RESULT}>>>>, "
-          "lastProcessedDraw string")
+          "lastProcessedDraw string, "
+          "acceptanceCriteria struct<referenceMeanHitsPerCombination: double, equalBudget: string, noMidTestParameterChanges: boolean, "
+          "pairedComparison: string, interpretation: string>")
+BASELINE_LEDGER = ("status string, startedAt string, protocolRevision int, revisionReason string, targetDraws int, processedDraws int, "
+                   "lastProcessedDraw string, stakePerCombination int, "
+                   "strategy struct<name: string, frequencyWindow: int, constraints: struct<maxNumbersPerDecade: int>, selection: string, "
+                   "lookAhead: boolean, midTestParameterChanges: boolean>, nextPrediction array<int>, "
+                   f"results array<struct<{_RESULT}>>, "
+                   "acceptanceCriteria struct<referenceMeanHits: double, referenceStakeReturn: double, interpretation: string>")
+RESULT = f"struct<{_RESULT}>"
+INTEGRATED_RESULT = f"struct<{_RESULT}, comparators: struct<frequency52: struct<{_RESULT}>, random: struct<{_RESULT}>>>"
 PROTOCOL = ("revision int, historyWindow int, shrinkageDraws int, ticketSize int, decadeCap int, lookAhead boolean, "
             "models array<struct<name: string, features: array<string>, bins: int>>, circularShiftReplicates int, "
-            "nullReplicates int, seed bigint, excluded array<string>")
-RECEIPT = "recordedAt string, sourceStatus string, before struct<integrated: string, baseline: string>"
+            "nullReplicates int, seed bigint, library struct<name: string, version: string, url: string, sha256: string, documentation: string>, "
+            "excluded array<string>")
+RECEIPT = (f"recordedAt string, sourceStatus string, before struct<integrated: string, baseline: string>, "
+           f"update struct<integrated: {as_struct(LEDGER)}, baseline: {as_struct(BASELINE_LEDGER)}, alreadyProcessed: boolean>")
 
 
 def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
