@@ -32,7 +32,7 @@ class Encoder:
     long strings and encoded in one call; token lengths in bytes tell them apart again. Texts with white
     space beyond ASCII or with the name of an added token are encoded whole."""
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 600_000):
         from tokenizers import Tokenizer
         self._tokenizer, self._cached, self._known = Tokenizer.from_file(path), cached, {}
         self.size = self._tokenizer.get_vocab_size()
