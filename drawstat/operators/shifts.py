@@ -24,14 +24,15 @@ _GROUPS = 32  # groups that share the replicates of one series
 
 
 def shift_list(n_draws: Column, replicates: int, seed: int = SHIFT_SEED, distinct: bool = True) -> Column:
-    """``replicates`` shifts in 1..n-1 in stream order; with ``distinct`` repeated values are drawn again."""
+    """``replicates`` shifts in 1..n-1 in stream order; with ``distinct`` repeated values are drawn again. A series too
+    short for that many has none, which leaves the other series as they are."""
 
     @F.pandas_udf("array<int>")
     def shifts(sizes: pd.Series) -> pd.Series:
         @cache
         def draw(n: int) -> list[int]:
             if n < 2 or (distinct and n - 1 < replicates):
-                raise ValueError(f"{n} draws cannot give {replicates} shifts")
+                return []
             found: dict[int, None] = {}
             kept: list[int] = []
             position = 0

@@ -91,12 +91,14 @@ def binned_tests(indexed: DataFrame, game: Game = SINGLE_GAME, replicates: int =
         F.max("trials").alias("trials"), F.max(F.when(F.col("replicate") == 0, F.col("total_hits"))).alias("total_hits"),
         F.collect_list(F.when(F.col("replicate") > 0, F.col("total_hits"))).alias("shifted"))
     at_least = F.size(F.filter("shifted", lambda t: t >= F.col("total_hits")))
-    counted = grouped.filter(F.col("trials") > 0).withColumn("shift_p", (1 + at_least) / (F.size("shifted") + 1))
+    # without shifts, in a series too short for them, there is no empirical p
+    shift_p = F.when(F.size("shifted") > 0, (1 + at_least) / (F.size("shifted") + 1))
+    counted = grouped.filter(F.col("trials") > 0).withColumn("shift_p", shift_p)
     tested = counted.withColumn("tails", bt.hit_tails(F.col("trials"), F.col("total_hits"), game))
     tests = tested.select(*keys, "trials", "total_hits", F.explode(F.array(
         F.struct(F.lit("exact_uniform_upper").alias("test"), F.col("tails.upper_p").alias("raw_p")),
         F.struct(F.lit("circular_shift_upper").alias("test"), F.col("shift_p").alias("raw_p")))).alias("t")).select(
-        *keys, "trials", "total_hits", "t.*")
+        *keys, "trials", "total_hits", "t.*").filter("raw_p IS NOT NULL")
     return holm(tests, [] if pooled else ["series"])
 
 

@@ -523,6 +523,16 @@ def cleaned(text: str, amp: bool = False) -> str:
 ORACLE["csv_roundtrip"] = with_(DAILY) + """SELECT CAST(draw_date AS VARCHAR) AS date_text, draw_date, numbers, bonus
 FROM dr LEFT JOIN bonus USING (series, draw_date)"""
 ORACLE["html_draw_tables"] = with_(WEEKLY) + "SELECT series, draw_date, draw_idx + 1 AS contest, numbers FROM dr"
+ORACLE["archive_files"] = with_(DAILY) + """SELECT draw_date, numbers, bonus,
+CAST(CASE WHEN year(draw_date) % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_rows, year(draw_date) % 2 = 0 AND bonus <> 90 AND NOT list_contains(nums, 90) AS conflict
+FROM dr JOIN bonus USING (series, draw_date)"""
+ORACLE["prepared_archive"] = with_(DAILY) + """SELECT series, CAST(row_number() OVER (ORDER BY draw_date) - 1 AS INTEGER) AS draw_idx,
+CAST(count(*) OVER () AS INTEGER) AS n_draws, draw_date, numbers, bonus FROM dr JOIN bonus USING (series, draw_date)"""
+ORACLE["page_files"] = ORACLE["html_draw_tables"]
+ORACLE["ledger_files"] = f"""SELECT series, outcome, processed_draws, hits_so_far, next_integrated FROM ({ORACLE["ledger_advance"]})"""
+ORACLE["experiment_files"] = with_(FIRST_VALID) + f"""SELECT DISTINCT series, 'again' AS rerun_of, {HELD} AS draws, 'initialized' AS first_run,
+'preserved' AS second_run, 'preserved' AS baseline, true AS history_matches, true AS same_coverage, false AS same_tickets, true AS files_unchanged
+FROM dd WHERE n_draws >= {HISTORY_WINDOW + HELD + 2}"""
 ORACLE["html_clean"] = f"SELECT page_id, {cleaned('html')} AS text, {cleaned('html', True)} AS text_amp FROM pages"
 ORACLE["html_cells"] = f"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(block, '(?is)<a[^>]*>(.*?)</a>', 1), lambda c: {cleaned('c')}), ',') AS cells
 FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li>.*?</li>')) AS block FROM pages)"""

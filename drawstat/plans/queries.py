@@ -19,6 +19,7 @@ from drawstat.operators import reports as rp
 from drawstat.operators import stats as st
 from drawstat.operators.advance import advance
 from drawstat.plans import experiments as ex
+from drawstat.plans import files
 from drawstat.plans.ledgers import bad_announcements, stored_ledgers
 from drawstat.settings import (AUDIT_SEED, BINNED_MODELS, HISTORY_WINDOW, SHIFT_REPLICATES, SHIFT_SEED,
                                SINGLE_GAME, WHEEL_GAME, WHEEL_SHIFT_REPLICATES, WHEEL_SHIFT_SEED)
@@ -469,12 +470,13 @@ def csv_roundtrip(spark, sf_dir):
     return rounded(parse_lines(lines, "data,n1,n2,n3,n4,n5,n6,jolly"))
 
 
-@register
-def html_draw_tables(spark, sf_dir):
-    """Weekly draws rendered as an HTML table row per week and scraped back."""
-    draws = weekly(spark, sf_dir)
-    # the columns of the table: one per series, as many as the game has wheels
-    names = [r["series"] for r in draws.select("series").distinct().orderBy("series").collect()]
+def series_names(draws: DataFrame) -> list[str]:
+    """The columns of a draw table: one per series, as many as the game has wheels."""
+    return [r["series"] for r in draws.select("series").distinct().orderBy("series").collect()]
+
+
+def rendered_rows(draws: DataFrame, names: list[str]) -> DataFrame:
+    """Weekly draws as an HTML table row per week."""
     cell = F.array_join(F.transform("numbers", lambda n: F.format_string("<b>%d</b>", n)), "&nbsp;")
     rows = draws.groupBy("draw_date").agg(F.max("draw_idx").alias("idx"), F.map_from_entries(F.collect_list(
         F.struct("series", cell.alias("cell")))).alias("cells"))
@@ -482,7 +484,42 @@ def html_draw_tables(spark, sf_dir):
     html = F.concat(F.lit("<table><tr><th>head</th></tr><TR><td><a href='estrazione.php?c="), F.col("idx").cast("string"),
                     F.lit("'>n. "), (F.col("idx") + 1).cast("string"), F.lit("</a></td><td>"),
                     F.date_format("draw_date", "dd/MM/yyyy"), F.lit("</td>"), *tds, F.lit("</TR></table>"))
-    return rounded(parse_draw_tables(rows.select(html.alias("html")), names=names))
+    return rows.select(html.alias("html"))
+
+
+@register
+def html_draw_tables(spark, sf_dir):
+    """Weekly draws rendered as an HTML table row per week and scraped back."""
+    draws = weekly(spark, sf_dir)
+    names = series_names(draws)
+    return rounded(parse_draw_tables(rendered_rows(draws, names), names=names))
+
+
+@register
+def archive_files(spark, sf_dir):
+    return rounded(files.archive_files(single_series(spark, sf_dir)))
+
+
+@register
+def prepared_archive(spark, sf_dir):
+    return rounded(files.prepared_archive(single_series(spark, sf_dir)))
+
+
+@register
+def page_files(spark, sf_dir):
+    draws = weekly(spark, sf_dir)
+    names = series_names(draws)
+    return rounded(files.page_files(rendered_rows(draws, names), names))
+
+
+@register
+def ledger_files(spark, sf_dir):
+    return rounded(files.ledger_files(spark, sf_dir))
+
+
+@register
+def experiment_files(spark, sf_dir):
+    return files.experiment_files(spark, sf_dir)
 
 
 @register

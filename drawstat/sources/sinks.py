@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from drawstat.operators.draws import DataError
 from drawstat.sources.documents import snapshot
+from drawstat.streaming.storage import stored
 
 HISTORY_KEYS = ("coverage", "evaluation", "model", "methods", "nextPrediction", "rows")
 
@@ -65,12 +66,28 @@ def same_document(spark: SparkSession, path: str, document: DataFrame, keys: tup
     return {k: row[k] for k in present}
 
 
+def require_recorded_hashes(spark: SparkSession, path: str, recorded: dict[str, str]) -> None:
+    """Raise unless the files under ``path`` are exactly those whose SHA-256 was recorded, by file name."""
+    found = {p.rsplit("/", 1)[-1]: h for p, h in file_hashes(spark, path).items()}
+    wrong = sorted(n for n in {*found, *recorded} if found.get(n) != recorded.get(n))
+    if wrong:
+        raise DataError(f"{path} differs from the record: {wrong}")
+
+
+def _require_unchanged(spark: SparkSession, paths: dict[str, str], before: dict[str, dict[str, str]]) -> None:
+    for name, hashes in before.items():
+        if hashes and file_hashes(spark, paths[name]) != hashes:
+            raise DataError(f"{paths[name]} changed during the run")
+
+
 def save_experiment(spark: SparkSession, evaluation: DataFrame, forward: DataFrame, paths: dict[str, str]) -> dict:
     """Save an evaluation and its forward protocol once; later runs only write a side report.
 
     A frozen protocol must keep its model and start date, and its first ticket while nothing is processed.
     Every check runs before the first write; files that existed are hashed before and after."""
     before = {name: file_hashes(spark, paths[name]) for name in ("evaluation", "forward", "baseline_forward")}
+    # computed once: what is compared is what is written
+    evaluation, forward = stored(evaluation, "evaluation"), stored(forward, "forward")
     if before["forward"]:
         same = same_document(spark, paths["forward"], forward, ("model", "startsAfterDrawDate", "nextPrediction"))
         processed = spark.read.schema(forward.schema).json(paths["forward"]).agg(F.max("processedDraws").alias("n")).first()["n"]
@@ -81,13 +98,12 @@ def save_experiment(spark: SparkSession, evaluation: DataFrame, forward: DataFra
     history = None
     if before["evaluation"]:
         history = all(same_document(spark, paths["evaluation"], evaluation, HISTORY_KEYS).values())
-    else:
+    _require_unchanged(spark, paths, before)
+    if not before["evaluation"]:
         create_json(evaluation, paths["evaluation"])
     if not before["forward"]:
         create_json(forward, paths["forward"])
-    for name, hashes in before.items():
-        if hashes and file_hashes(spark, paths[name]) != hashes:
-            raise DataError(f"{paths[name]} changed during the run")
+    _require_unchanged(spark, paths, before)
     hashed = [(p, h, h) for hashes in before.values() for p, h in hashes.items()]
     rerun = bool(before["evaluation"] or before["forward"])
     report = {

@@ -9,7 +9,7 @@ from drawstat.settings import SINGLE_GAME
 from drawstat.sources.archive import parse_lines, read_archive, read_archives, to_lines
 from drawstat.sources.documents import LEDGER, LIVE_DRAW, PROTOCOL, RECEIPT, nested_document, predictions_long, read_document, snapshot
 from drawstat.sources.pages import parse_draw_tables, read_pages
-from drawstat.sources.sinks import create_json, file_hashes, overwrite_json, same_document, save_experiment, summary_lines
+from drawstat.sources.sinks import create_json, file_hashes, overwrite_json, require_recorded_hashes, same_document, save_experiment, summary_lines
 
 HEADER = "data,n1,n2,n3,n4,n5,n6,jolly"
 
@@ -168,6 +168,15 @@ def test_lines_without_bonus_come_back(spark):
     assert draws.first()["bonus"] is None and to_lines(draws).first()["line"] == "2024-01-01,1,2,3,4,5,6,"
 
 
+def test_recorded_hashes_are_required(spark, tmp_path):
+    create_json(spark.createDataFrame([(1,)], "a int").coalesce(1), str(tmp_path / "d"))
+    recorded = {p.rsplit("/", 1)[-1]: h for p, h in file_hashes(spark, str(tmp_path / "d")).items()}
+    require_recorded_hashes(spark, str(tmp_path / "d"), recorded)
+    for wrong in ({k: "0" * 64 for k in recorded}, {}, {**recorded, "more.json": "0" * 64}):
+        with pytest.raises(DataError, match="differs from the record"):
+            require_recorded_hashes(spark, str(tmp_path / "d"), wrong)
+
+
 def test_summary_lines_keep_nulls(spark):
     line = summary_lines(spark.createDataFrame([(1, None)], "a int, b string")).first()["line"]
     assert json.loads(line) == {"a": 1, "b": None}
