@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from drawstat.functions.prng import random_ticket
 from drawstat.operators.advance import advance, result_of
-from drawstat.operators.backtest import WALK_METHODS, horizon_scores
+from drawstat.operators.backtest import WALK_METHODS, bonus_flags, horizon_scores, match_saved
 from drawstat.operators.draws import dedup_by_date, with_index, with_violations
 from drawstat.operators.tickets import capped_tickets
 from drawstat.settings import BASELINE_WINDOW, FORWARD_SEED, FORWARD_TARGET, HISTORY_WINDOW, HORIZONS, SINGLE_GAME
-from drawstat.sources.documents import BASELINE_LEDGER, INTEGRATED_RESULT, LEDGER, LIVE_DRAW, RESULT, as_struct
+from drawstat.sources.documents import BASELINE_LEDGER, INTEGRATED_RESULT, LEDGER, LIVE_DRAW, RESULT, as_struct, predictions_long
+from drawstat.sources.sinks import create_json
 from drawstat.sources.tables import raw_announcements
-from drawstat.streaming.storage import stored
+from drawstat.streaming.storage import shared_folder, stored
 
 PROCESSED = 20  # draws a derived ledger holds already
 SHORTEST = HISTORY_WINDOW + PROCESSED + 2
@@ -123,3 +124,37 @@ def bad_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = advance(bad.drop("draw"), short.select(key, "draw_date", "numbers"), bad.select("series", "draw"))
     parts = F.split("series", "#", 2)
     return out.select(parts[1].alias("series"), parts[0].alias("variant"), "outcome")
+
+
+def saved_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tickets that the stored ledgers froze, saved as one document, read back and compared with the draw that
+    came after them, bonus and superstar included."""
+    ledgers, _, draws = stored_ledgers(spark, sf_dir)
+    i = F.col("integrated")
+    tickets = F.create_map(F.lit("integrated"), i["nextPrediction"], F.lit("frequency52"), F.col("baseline.nextPrediction"),
+                           F.lit("random"), i["comparators"]["randomBaseline"]["nextPrediction"])
+    by_series = F.map_from_entries(F.collect_list(F.struct("series", tickets.alias("tickets"))))  # one entry per priority
+    path = shared_folder(spark, "predictions")
+    create_json(ledgers.agg(by_series.alias("predictionsByWheel")), path)
+    saved = predictions_long(spark.read.schema("predictionsByWheel map<string, map<string, array<int>>>").json(path))
+    actual = draws.select("series", "draw.numbers", F.col("draw.jolly").alias("bonus"), "draw.superstar")
+    return bonus_flags(match_saved(saved, actual).drop("hit_count")).drop("bonus", "superstar")
+
+
+def ledger_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per stored ledger: draws before it, progress towards its target, and the method with most hits so far
+    (ties to the first)."""
+    ledgers, history, _ = stored_ledgers(spark, sf_dir)
+    i = F.col("integrated")
+
+    def total(hits) -> Column:
+        return F.aggregate(i["results"], F.lit(0), lambda n, r: n + hits(r))
+
+    totals = {"integrated": total(lambda r: r["mainHits"]), "frequency52": total(lambda r: r["comparators"]["frequency52"]["mainHits"]),
+              "random": total(lambda r: r["comparators"]["random"]["mainHits"])}
+    ranked = F.array(*[F.struct(t.alias("hits"), F.lit(-n).alias("rank"), F.lit(m).alias("method")) for n, (m, t) in enumerate(totals.items())])
+    held = history.groupBy("series").agg(F.count("*").alias("draws"))
+    cards = ledgers.select("series", i["processedDraws"].alias("processed"), i["targetDraws"].alias("target"), F.array_max(ranked).alias("best"))
+    return cards.join(held, "series").select(
+        "series", "draws", F.concat_ws("/", F.col("processed").cast("string"), F.col("target").cast("string")).alias("progress"),
+        F.col("best.method").alias("best_method"), F.col("best.hits").alias("best_hits"))

@@ -452,9 +452,9 @@ SELECT i.series, i.draw_idx, i.ticket AS integrated_ticket, f.ticket AS frequenc
 FROM tk i JOIN tk f USING (series, draw_idx) JOIN rt ON rt.series = i.series WHERE i.method = 'integrated' AND f.method = 'frequency52'"""
 
 FIRST_VALID = RAW + """,
-firsts AS (SELECT source AS series, draw_date, nums, numbers, bonus, row_number() OVER (PARTITION BY source, draw_date ORDER BY source_ord) AS r
+firsts AS (SELECT source AS series, draw_date, nums, numbers, bonus, source_ord % 90 + 1 AS superstar, row_number() OVER (PARTITION BY source, draw_date ORDER BY source_ord) AS r
     FROM chk WHERE numbers_ok AND bonus_ok),
-dr AS (SELECT series, draw_date, nums, numbers, bonus, CAST(row_number() OVER (PARTITION BY series ORDER BY draw_date) - 1 AS INTEGER) AS draw_idx,
+dr AS (SELECT series, draw_date, nums, numbers, bonus, superstar, CAST(row_number() OVER (PARTITION BY series ORDER BY draw_date) - 1 AS INTEGER) AS draw_idx,
     CAST(count(*) OVER (PARTITION BY series) AS INTEGER) AS n_draws FROM firsts WHERE r = 1),
 dd AS (SELECT series, draw_date, draw_idx, n_draws FROM dr),
 hits AS (SELECT series, draw_idx, n_draws, draw_date, unnest(nums) AS number FROM dr)"""
@@ -476,6 +476,22 @@ JOIN rt r ON r.series = d.series AND r.draw_idx = d.draw_idx
 JOIN tk ni ON ni.series = d.series AND ni.draw_idx = d.n_draws AND ni.method = 'integrated'
 JOIN tk nf ON nf.series = d.series AND nf.draw_idx = d.n_draws AND nf.method = 'frequency52'
 JOIN rt nr ON nr.series = d.series AND nr.draw_idx = d.n_draws WHERE d.draw_idx = d.n_draws - 1"""
+FROZEN = with_(
+    FIRST_VALID, SCORES, tickets("scores", ("integrated", "frequency52"), 6,
+                                 f"draw_idx BETWEEN n_draws - {HELD + 1} AND n_draws - 1 AND n_draws >= {HISTORY_WINDOW + HELD + 2}"),
+    random_tickets(FORWARD_SEED, "series, draw_idx, n_draws", f"""(SELECT * FROM dd
+    WHERE draw_idx >= n_draws - {HELD + 1} AND n_draws >= {HISTORY_WINDOW + HELD + 2})""", f"draw_idx - n_draws + {HELD + 1}"), """
+froz AS (SELECT series, draw_idx, method, ticket, ticket_nums FROM tk UNION ALL SELECT series, draw_idx, 'random', ticket, ticket_nums FROM rt),
+met AS (SELECT z.series, z.draw_idx, d.n_draws, method, ticket, ticket_nums, d.numbers, d.nums, d.bonus, d.superstar,
+    list_filter(ticket_nums, lambda x: list_contains(d.nums, x)) AS both_nums FROM froz z JOIN dr d ON d.series = z.series AND d.draw_idx = z.draw_idx)""")
+ORACLE["saved_predictions"] = FROZEN + """
+SELECT series, method, ticket, numbers, array_to_string(both_nums, ',') AS hits, CAST(len(both_nums) AS INTEGER) AS hit_count,
+CAST(sum(len(both_nums)) OVER (PARTITION BY method) AS BIGINT) AS method_total, list_contains(ticket_nums, bonus) AS bonus_hit,
+list_contains(ticket_nums, superstar) AS superstar_hit FROM met WHERE draw_idx = n_draws - 1"""
+ORACLE["ledger_cards"] = FROZEN + f"""
+SELECT series, CAST(any_value(n_draws) - 1 AS BIGINT) AS draws, '{HELD}/{FORWARD_TARGET}' AS progress,
+arg_max(method, h * 10 - list_position(['integrated', 'frequency52', 'random'], method)) AS best_method, CAST(max(h) AS INTEGER) AS best_hits
+FROM (SELECT series, method, any_value(n_draws) AS n_draws, sum(len(both_nums)) AS h FROM met WHERE draw_idx < n_draws - 1 GROUP BY 1, 2) GROUP BY 1"""
 ORACLE["ledger_violations"] = with_(FIRST_VALID) + f"""
 SELECT series, variant, outcome FROM (SELECT DISTINCT series FROM dd WHERE n_draws >= {HISTORY_WINDOW + HELD + 2}), (VALUES
 ('number_repeated', 'INVALID_DRAW'), ('jolly_drawn', 'INVALID_DRAW'), ('superstar_missing', 'INVALID_DRAW'), ('no_calendar_day', 'INVALID_DRAW'),

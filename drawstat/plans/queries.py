@@ -19,7 +19,7 @@ from drawstat.operators import reports as rp
 from drawstat.operators import stats as st
 from drawstat.operators.advance import advance
 from drawstat.plans import experiments as ex
-from drawstat.plans import files
+from drawstat.plans import files, ledgers
 from drawstat.plans.ledgers import bad_announcements, stored_ledgers
 from drawstat.settings import (AUDIT_SEED, BINNED_MODELS, HISTORY_WINDOW, SHIFT_REPLICATES, SHIFT_SEED,
                                SINGLE_GAME, WHEEL_GAME, WHEEL_SHIFT_REPLICATES, WHEEL_SHIFT_SEED)
@@ -437,6 +437,16 @@ def ledger_advance(spark, sf_dir):
         i["comparators"]["activeBaseline"]["nextPrediction"].alias("next_copy"), i["comparators"]["randomBaseline"]["nextPrediction"].alias("next_random")))
 
 
+@register
+def saved_predictions(spark, sf_dir):
+    return rounded(ledgers.saved_predictions(spark, sf_dir))
+
+
+@register
+def ledger_cards(spark, sf_dir):
+    return ledgers.ledger_cards(spark, sf_dir)
+
+
 @register
 def ledger_violations(spark, sf_dir):
     """The rule that stops each kind of bad announcement or changed ledger, for every priority."""

@@ -16,7 +16,7 @@ ROWS_ONLY = {"shift_tests", "shift_tests_weekly"}
 
 # the smallest tables hold two complete weeks, fewer than the warm-up of a weekly backtest
 WEEKLY = {"weekly_backtest", "weekly_rollup", "weekly_tests", "weekly_last_predictions", "weekly_saved_matches", "leaderboard",
-          "shift_tests_weekly", "ledger_advance", "ledger_violations", "ledger_files", "experiment_files"}
+          "shift_tests_weekly", "ledger_advance", "ledger_violations", "ledger_files", "experiment_files", "saved_predictions", "ledger_cards"}
 
 
 def engine_on(folder, names=TABLES, parts=""):
