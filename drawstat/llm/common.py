@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +30,17 @@ def keep(rows: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def byte_slices(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` bytes of text (one row at least), so that what a task holds does not depend
+    on the size of its batches."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit)))
+        yield at, to
+        at = to
+
+
 def text_key(text: Column) -> Column:
     """Tells rows apart that share an id but not their text."""
     return F.xxhash64(text)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from drawstat.llm.common import keep, text_key
+from drawstat.llm.common import byte_slices, keep, text_key
 
 FOLDS = 5
 
@@ -277,7 +277,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.responses()
         for batch in batches:
-            scores = score_texts(model, table, batch.column(at))
+            texts = batch.column(at)
+            scores = np.concatenate([score_texts(model, table, texts.slice(a, b - a)) for a, b in byte_slices(texts)] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])

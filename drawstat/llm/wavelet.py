@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawstat.llm.common import keep, slots, text_key
+from drawstat.llm.common import byte_slices, keep, slots, text_key
 from drawstat.llm.tokens import Encoder
 from drawstat.streaming.storage import shared_folder
 
@@ -206,11 +206,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, tokenizer: str = VO
 
         for batch in batches:
             texts = batch.column(2)
-            sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-            at = 0
-            while at < len(texts):  # a bounded number of bytes at a time
-                base = sizes[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(sizes, base + _SLICE_BYTES)))
+            for at, to in byte_slices(texts, _SLICE_BYTES):
                 tokens, counts = encoder.encode(texts.slice(at, to - at))
                 ends = np.cumsum(counts)
                 for i, n, end in zip(range(at, to), counts.tolist(), ends.tolist()):
@@ -221,7 +217,6 @@ def write_shards(docs: DataFrame, folder: str | None = None, tokenizer: str = VO
                     if held >= shard_tokens:
                         yield flush()
                         ids, lengths, parts, held, shard = [], [], [], 0, shard + 1
-                at = to
         if ids:
             yield flush()
 
