@@ -4,7 +4,7 @@ Words are hashed to embeddings, each the sum of those of the word and of its beg
 form shares what its stem has shown; filters one to three words wide slide over a whole text, each keeps its
 largest response (max pooling), and a logistic unit joins them. It is trained on a bounded sample of
 labelled rows in one task; scoring runs in every task over whole texts. Thresholds are calibrated by
-language on labelled rows left out of the training, and never enter a score.
+language on the scores of all labelled rows that the training left out, and never enter a score.
 """
 
 from __future__ import annotations
@@ -24,13 +24,16 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from drawstat.llm.common import byte_slices, keep, text_key
 
 FOLDS = 5
+BINS = 16     # score bins a unit of log odds
+SURE = 1e-9   # scores this close to 0 or 1 share the outermost bins
 
 
 @dataclass(frozen=True)
 class Settings:
     """``per_class`` and ``longest`` bound the training sample: so many distinct texts of each label at most,
     drawn by hash from all labelled rows, none of more than ``longest`` words (a longer one is left out as a
-    whole; scoring has no such bound). Word pieces in fewer than ``known_in`` texts of the sample stay neutral."""
+    whole; scoring has no such bound). Word pieces in fewer than ``known_in`` texts of the sample stay neutral.
+    For its threshold a language shares the rows of all languages, counted as ``fewest_for_threshold`` of the rarer label."""
 
     per_class: int = 4000
     longest: int = 2000
@@ -58,6 +61,7 @@ class Model:
     out: np.ndarray
     out_bias: float
     thresholds: dict[str, float] = field(default_factory=dict)
+    pooled: float = 0.5                # threshold of languages without labels
 
     def responses(self) -> np.ndarray:
         """Response of every filter position to every known piece, row 0 for all others: a convolution becomes a
@@ -136,10 +140,11 @@ def _evidence(texts: list[np.ndarray], labels: np.ndarray, known: int) -> np.nda
     return np.sign(z) * np.maximum(np.abs(z) - 2, 0)
 
 
-def train(rows: list[tuple[int, str, int, str]], s: Settings) -> Model:
-    """Fit on rows (order, language, label, text); a fifth, by position, is left out for calibration."""
+def train(rows: list[tuple], s: Settings) -> tuple[Model, list[int]]:
+    """Fit on rows (order, text key, label, text); a fifth, by position, is left out for calibration. Also returns the
+    keys of the texts it was fit on."""
     rows = sorted(rows, key=lambda r: (r[0], r[2], r[3]))
-    fit, rest = [r for i, r in enumerate(rows) if i % 5], rows[::5]
+    fit = [r for i, r in enumerate(rows) if i % 5]
     rng = np.random.default_rng(s.seed)
     words, offsets, pieces = words_of(pa.array([r[3] for r in fit], pa.large_string()), s.prefixes)
     texts = [words[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
@@ -199,11 +204,7 @@ def train(rows: list[tuple[int, str, int, str]], s: Settings) -> Model:
     trained = len(known) and len(fit)
     model = Model(s, known, params["embedding"][1:], [params[f"k{i}"] for i in range(len(s.spans))], params["bias"],
                   params["out"].astype(np.float64) if trained else np.zeros(n_out), float(params["out_bias"][0]))
-    scores = score_texts(model, model.responses(), pa.array([r[3] for r in rest], pa.large_string()))
-    for lang in {r[1] for r in rest}:
-        mine = [(x, r[2]) for x, r in zip(scores, rest) if r[1] == lang]
-        model.thresholds[lang] = threshold(*zip(*mine), s.fewest_for_threshold)
-    return model
+    return model, [r[1] for r in fit]
 
 
 def _convolve(cells: np.ndarray, spans: tuple[int, ...], filters: int) -> np.ndarray:
@@ -220,18 +221,50 @@ def _convolve(cells: np.ndarray, spans: tuple[int, ...], filters: int) -> np.nda
     return np.concatenate(out, axis=1)
 
 
+def cut(low: np.ndarray, high: np.ndarray, negative: np.ndarray, positive: np.ndarray) -> float:
+    """Cut with the fewest errors between ascending groups of scores, from ``low`` to ``high`` with so many rows of each
+    label, in the middle of the widest gap."""
+    errors = np.concatenate([[0], np.cumsum(positive)]) + np.concatenate([np.cumsum(negative[::-1])[::-1], [0]])
+    left, right = np.concatenate([[0.0], high]), np.concatenate([low, [1.0]])
+    best = np.flatnonzero(errors <= errors.min() + 1e-9 * (negative.sum() + positive.sum()))  # counts are weighted
+    best = best[np.argmax((right - left)[best])]
+    return float((left[best] + right[best]) / 2)
+
+
 def threshold(scores, labels, fewest: int) -> float:
-    """Cut with the fewest errors, in the middle of the gap it lies in; 0.5 with too few rows of a label."""
+    """Cut with the fewest errors; 0.5 with too few rows of a label."""
     x, y = np.array(scores), np.array(labels)
     if min((y == 1).sum(), (y == 0).sum()) < fewest:
         return 0.5
-    order = np.argsort(x)
-    x, y = x[order], y[order]
-    errors = np.concatenate([[0], np.cumsum(y == 1)]) + np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]])
-    edges = np.concatenate([[0.0], x, [1.0]])
-    best = np.flatnonzero(errors == errors.min())
-    best = best[np.argmax(edges[best + 1] - edges[best])]
-    return float((edges[best] + edges[best + 1]) / 2)
+    levels, at = np.unique(x, return_inverse=True)
+    return cut(levels, levels, *[np.bincount(at[y == label], minlength=len(levels)) for label in (0, 1)])
+
+
+def thresholds(counts: list[tuple[str, int, int, bool, int, int]], s: Settings) -> tuple[dict[str, float], float]:
+    """Cuts by language, and the pooled one, from (language, score bin, label, short enough to learn from, rows, rows not
+    learned from). Only rows not learned from have a say; they stand for all rows of their label and kind, so that the
+    shares of the labels are those of the data. Every language adds the rows of all languages, weighted down to
+    ``fewest_for_threshold`` of the rarer label: with few labels it follows the pooled cut, with many its own. Without
+    rows of both labels the cut is 0.5."""
+    sums: dict[tuple, list[int]] = {}
+    for _, _, label, short, every, left in counts:
+        total = sums.setdefault((label, short), [0, 0])
+        total[0] += every
+        total[1] += left
+    bins = np.unique([b for _, b, _, _, _, left in counts if left])
+    pooled, own = np.zeros((2, len(bins))), {lang: np.zeros((2, len(bins))) for lang, *_ in counts}
+    for lang, b, label, short, _, left in counts:
+        if left:
+            every, out = sums[label, short]
+            own[lang][label, np.searchsorted(bins, b)] += left * every / out
+    for lang in sorted(own):
+        pooled += own[lang]
+    rarer = pooled.sum(axis=1).min()
+    if not rarer:
+        return {}, 0.5
+    low, high = (1 / (1 + np.exp(-(bins + k) / BINS)) for k in (0, 1))
+    shared = pooled * (s.fewest_for_threshold / rarer)
+    return {lang: cut(low, high, *(mine + shared)) for lang, mine in sorted(own.items())}, cut(low, high, *pooled)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -239,40 +272,69 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % FOLDS == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Train on ``docs`` (doc_id, text, lang) labelled by ``labels`` (doc_id, toxic). Held-out ids, null ids and
-    null labels are not learned from; an id labelled twice takes the larger label. Without usable rows the
-    model scores every text 0.5."""
-    s = settings
+def _usable(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, place): labels that may be learned from, one row an id, in hash order by ``place``."""
     usable = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    usable = usable.withColumn("place", F.xxhash64(F.col("doc_id").cast("string")))
+    return usable.withColumn("place", F.xxhash64(F.col("doc_id").cast("string")))
+
+
+def _short(s: Settings) -> Column:
+    """Whether ``text`` may be in the training sample; so few letters hold no more words."""
+    words = F.size(F.split(F.trim("text"), r"\s+"))
+    return F.coalesce((F.length("text") <= 2 * s.longest) | (words <= s.longest), F.lit(False))
+
+
+def _learn(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[Model, DataFrame]:
+    """A model without thresholds, and the keys of the texts it was fit on (text_key)."""
+    usable = _usable(labels)
     picked = [usable.filter(F.col("toxic") == label).orderBy("place", "doc_id").limit(s.per_class) for label in (0, 1)]
     # at most 2 * per_class narrow rows
     sample = keep(picked[0].unionAll(picked[1]), "sample")
-    joined = docs.select("doc_id", "text", "lang").join(F.broadcast(sample.withColumnRenamed("doc_id", "label_id")), F.col("doc_id") == F.col("label_id"))
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "label_id")), F.col("doc_id") == F.col("label_id"))
     texts = joined.groupBy(text_key(F.col("text")).alias("text_key")).agg(
-        F.min("place").alias("place"), F.max("toxic").alias("toxic"), F.min(F.coalesce("lang", F.lit(""))).alias("lang"), F.min("text").alias("text"))
+        F.min("place").alias("place"), F.max("toxic").alias("toxic"), F.min("text").alias("text"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(r["place"], r["lang"], r["toxic"], r["text"]) for b in batches for r in b.to_pylist()]
-        learned = {k: v for k, v in vars(train(rows, s)).items() if k != "settings"}
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learned)], pa.binary())], ["model"])
+        model, keys = train([(r["place"], r["text_key"], r["toxic"], r["text"]) for b in batches for r in b.to_pylist()], s)
+        learned = {k: v for k, v in vars(model).items() if k != "settings"}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learned)], pa.binary()), pa.array([keys], pa.list_(pa.int64()))], ["model", "fitted"])
 
-    short = texts.filter(F.size(F.split(F.trim("text"), r"\s+")) <= s.longest)
-    small = short.select("place", F.col("toxic").cast("int"), "lang", "text")
-    found = small.repartition(1).mapInArrow(learn, "model binary").first()
-    return Model(s, **pickle.loads(found["model"])) if found else train([], s)
+    small = texts.filter(_short(s)).select("place", "text_key", F.col("toxic").cast("int"), "text")
+    learned = keep(small.repartition(1).mapInArrow(learn, "model binary, fitted array<bigint>"), "model")
+    found = learned.select("model").first()
+    return Model(s, **pickle.loads(found["model"])) if found else train([], s)[0], learned.select(F.explode("fitted").alias("text_key"))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (probability that a text is toxic) and ``threshold`` of its language appended
-    (columns of these names are replaced). Only the text enters the score; null and empty texts score as
-    the bias alone says."""
+def _narrow(scored: DataFrame, s: Settings) -> DataFrame:
+    """What the calibration needs of scored documents: (doc_id, lang, score, text_key, short)."""
+    return scored.select("doc_id", "lang", "score", text_key(F.col("text")).alias("text_key"), _short(s).alias("short"))
+
+
+def _calibrate(model: Model, narrow: DataFrame, labels: DataFrame, fitted: DataFrame) -> None:
+    """Set the thresholds of ``model`` from the scores of all labelled rows whose texts it was not fit on."""
+    labelled = narrow.join(_usable(labels).filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int")), "doc_id")
+    marked = labelled.join(F.broadcast(fitted.withColumn("learned", F.lit(True))), "text_key", "left")
+    sure = F.least(F.greatest("score", F.lit(SURE)), F.lit(1 - SURE))
+    counts = marked.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), F.floor(F.log(sure / (1 - sure)) * BINS).alias("bin"), "toxic", "short").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("learned").isNull()).alias("left"))
+    # a few hundred bins a language
+    model.thresholds, model.pooled = thresholds([tuple(r) for r in counts.collect()], model.settings)
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
+    """Train on ``docs`` (doc_id, text, lang) labelled by ``labels`` (doc_id, toxic). Held-out ids, null ids and
+    null labels are not learned from; an id labelled twice takes the larger label. Without usable rows the
+    model scores every text 0.5."""
+    model, fitted = _learn(docs, labels, settings)
+    labelled = docs.select("doc_id", "text", "lang").join(_usable(labels).select("doc_id"), "doc_id", "left_semi")
+    _calibrate(model, _narrow(_scored(labelled, model), settings), labels, fitted)
+    return model
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``score`` appended."""
     rows = docs.drop("score", "threshold")
     at = rows.columns.index("text")
-    cut = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(t)) for lang, t in sorted(model.thresholds.items())], F.lit(0.5))
-    if "lang" not in rows.columns:
-        cut = F.lit(0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.responses()
@@ -281,10 +343,34 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = np.concatenate([score_texts(model, table, texts.slice(a, b - a)) for a, b in byte_slices(texts)] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
-    return rows.mapInArrow(run, schema).withColumn("threshold", cut)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+
+
+def _with_threshold(scored: DataFrame, model: Model) -> DataFrame:
+    if "lang" not in scored.columns:
+        return scored.withColumn("threshold", F.lit(0.5))
+    lang = F.coalesce("lang", F.lit(""))
+    return scored.withColumn("threshold", F.coalesce(*[F.when(lang == name, F.lit(t)) for name, t in sorted(model.thresholds.items())], F.lit(model.pooled)))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``score`` (probability that a text is toxic) and ``threshold`` of its language appended
+    (columns of these names are replaced). Only the text enters the score; null and empty texts score as
+    the bias alone says."""
+    return _with_threshold(_scored(docs, model), model)
+
+
+def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, lang, score, threshold) of every row of ``docs``, by a model fit on them. Every text is scored once."""
+    model, fitted = _learn(docs, labels, settings)
+    narrow = keep(_narrow(_scored(docs.select("doc_id", "text", "lang"), model), settings), "scores")
+    _calibrate(model, narrow, labels, fitted)
+    return _with_threshold(narrow.drop("text_key", "short"), model)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold of their language."""
-    return score(docs, fit(docs, labels, settings)).filter("score < threshold").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that score below the threshold of their language. Every text is scored once."""
+    model, fitted = _learn(docs, labels, settings)
+    scored = keep(_scored(docs, model), "scores")
+    _calibrate(model, _narrow(scored, settings), labels, fitted)
+    return _with_threshold(scored, model).filter("score < threshold").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -69,3 +69,37 @@ def test_no_labels(spark):
     assert toxicity.score(docs, model).first().score == 0.5
     assert toxicity.threshold([0.1, 0.2, 0.9], [0, 0, 1], 1) == pytest.approx(0.55)
     assert toxicity.threshold([0.1, 0.9], [0, 1], 5) == 0.5
+
+
+def test_thresholds_cover_all_labelled_rows(spark):
+    """Rows beyond the training sample decide the cut, and a language with few labels follows the pooled one."""
+    rng = np.random.default_rng(1)
+
+    def text(i, lang):
+        mild = " meh" if i % 10 == 3 else " awful" if i % 10 == 6 else ""  # of two sorts of toxic rows, one is mostly clean
+        return " ".join(rng.choice(["sun", "sea", "tree", "rock", "sky"], 12)) + mild + f" w{i}"
+
+    rows = [(i, text(i, lang), lang) for i, lang in enumerate(["en"] * 3000 + ["xx"] * 10)]
+    labels = [(i, int(i % 10 == 6 or (i % 10 == 3 and i % 40 == 3))) for i, *_ in rows]
+    docs, given = spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    s = toxicity.Settings(per_class=60, fewest_steps=150)
+    model, fitted = toxicity._learn(docs, given, s)
+    assert 0 < fitted.count() <= 96
+    toxicity._calibrate(model, toxicity._narrow(toxicity._scored(docs, model), s), given, fitted)
+    learned = {r.text_key for r in fitted.collect()}
+    scored = toxicity._narrow(toxicity._scored(docs, model), s).join(given, "doc_id").filter(~toxicity.held_out(F.col("doc_id"))).collect()
+    en = [(r.score, r.toxic) for r in scored if r.lang == "en" and r.text_key not in learned]
+    errors = lambda c: sum((x >= c) != (y == 1) for x, y in en)
+    # no cut is better than the chosen one on all rows left out of the training
+    assert len(en) > 2200 and errors(model.thresholds["en"]) <= min(errors(c) for c in np.linspace(0, 1, 401)) + 2
+    assert model.thresholds["xx"] == model.pooled != 0.5
+    unknown = spark.createDataFrame([(1, "sun", "zz"), (2, "sun", None)], "doc_id bigint, text string, lang string")
+    assert {r.threshold for r in toxicity.score(unknown, model).collect()} == {model.pooled}
+
+
+def test_thresholds_keep_natural_shares():
+    s = toxicity.Settings(fewest_for_threshold=1)
+    # (language, bin, label, short, rows, rows not learned from): the 20 toxic rows left stand for 100, more than the 60 others
+    counts = [("en", 0, 0, True, 90, 90), ("en", 8, 1, True, 100, 20), ("en", 8, 0, True, 60, 60)]
+    assert toxicity.thresholds(counts, s)[1] == pytest.approx((1 / (1 + np.exp(-1 / 16)) + 1 / (1 + np.exp(-0.5))) / 2)
+    assert toxicity.thresholds([("en", 0, 1, True, 5, 1)], s) == ({}, 0.5)
