@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawstat.llm.common import keep, slots
+from drawstat.llm.common import keep, slots, text_key
 
 CAPACITY = 8192
 GROUP_ROWS = 4096
@@ -119,8 +119,14 @@ def pack(docs: DataFrame, length: str = "length", source: str = "source", cluste
     return ordered.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, bin bigint, slot int")
 
 
-def pack_texts(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Pack ``docs`` (doc_id, text, source) by UTF-8 bytes, the tokens of a byte-level model; equal texts are one
-    duplicate cluster. A null text has length 0 and no cluster."""
-    return pack(docs.select("doc_id", "source", F.octet_length("text").alias("length"), F.sha2("text", 256).alias("cluster")),
-                capacity=capacity, group_rows=group_rows)
+def pack_texts(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, clusters: DataFrame | None = None) -> DataFrame:
+    """Pack ``docs`` (doc_id, text, source) by UTF-8 bytes, the tokens of a byte-level model. Texts with one label in
+    ``clusters`` (text_key, label) are one duplicate cluster, and so are equal texts that it does not name. A null text
+    has length 0 and no cluster."""
+    rows = docs.select("doc_id", "source", F.octet_length("text").alias("length"), F.sha2("text", 256).alias("cluster"), text_key(F.col("text")).alias("text_key"))
+    if clusters is not None:
+        # one row a text; both sides are written, so that a text of many rows is split
+        named = keep(clusters.groupBy("text_key").agg(F.min("label").cast("string").alias("label")), "clusters")
+        rows = keep(rows, "texts").join(named, "text_key", "left").withColumn(
+            "cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("label", "cluster")))
+    return pack(rows, capacity=capacity, group_rows=group_rows)

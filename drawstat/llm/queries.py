@@ -41,8 +41,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's pieces in bins of 8,192 bytes without two of one source or of one text."""
-    return packing.pack_texts(table(spark, sf_dir, "documents"))
+    """Every document's pieces in bins of 8,192 bytes without two of one source or of one SimHash component."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_texts(docs, clusters=simhash.near_duplicates(docs))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from drawstat.llm import packing
+from drawstat.llm import packing, queries, simhash
 
 
 def plain_best_fit(pieces, capacity):
@@ -66,3 +66,29 @@ def test_repeated_rows_and_empty_table(spark):
     found = packing.pack_texts(rows, group_rows=8).collect()
     assert len(found) == 50 and len({r.bin for r in found}) == 50
     assert packing.pack_texts(rows.limit(0)).count() == 0
+
+
+def test_near_copies_of_several_sources_never_share_a_bin(spark, tmp_path):
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu", "ha") for b in ("ron", "lim", "tas", "ver", "nok", "pul")]
+    docs = []
+    for i in range(20):
+        base = [rng.choice(words) for _ in range(300)]
+        for k in range(4):  # one other word at the end each
+            docs.append((10 * i + k, " ".join([*base, f"end{k}"]), f"s{i}-{k}"))
+    docs += [(500, docs[0][1], "other"), (501, None, "a"), (502, None, "b"), (503, "", "c")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    component = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect() if r.doc_id < 501}
+    found = queries.op6_best_fit(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in found) == sorted(d[0] for d in docs) and len(set(component.values())) < len(component) - 20
+
+    def shared(packed):
+        held = defaultdict(list)
+        for r in packed:
+            if r.doc_id in component:
+                held[r.bin].append(component[r.doc_id])
+        return sum(len(c) - len(set(c)) for c in held.values())
+
+    assert shared(found) == 0 < shared(packing.pack_texts(rows).collect())
+    assert [r.length for r in found if r.doc_id > 500] == [0, 0, 0]
