@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from drawstat.streaming.storage import shared_folder
@@ -46,6 +46,22 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def numbered(rows: DataFrame, group: str, order: tuple[str, ...]) -> DataFrame:
+    """``rows`` written with ``at``, the place from 0 within ``group`` by ``order`` (nulls first), and ``size``, the rows
+    of the group. The whole order is cut into ranges, so a group of any size is spread over the tasks; only
+    one row per group and task is summed by group. Rows alike in the whole order take neighbouring places."""
+    by = (group, *order, "_read")
+    ranged = rows.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(slots(rows.sparkSession), *by).sortWithinPartitions(*by)
+    placed = keep(ranged.drop("_read").withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_place", 33)  # the task that wrote the row
+    cells = placed.groupBy(group, part.alias("_part")).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    inside = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_n").over(inside.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = keep(cells.select(F.col(group).alias("_group"), "_part", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(inside).alias("size")), "cells")
+    found = placed.join(cells, (F.col(group) == F.col("_group")) & (part == F.col("_part")))
+    return keep(found.select(*rows.columns, (F.col("_place") + F.col("_shift")).alias("at"), "size"), "numbered")
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Count and order-free checksum of an edge set: equal for equal sets."""
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawstat.llm import (decontaminate, embedding_forest, hilbert, line_dedup, packing, simhash, token_counts, toxicity, warc,
-                          wavelet)
+from drawstat.llm import (alignment, decontaminate, embedding_forest, hilbert, line_dedup, link_graph, merkle, packing, simhash,
+                          token_counts, toxicity, warc, wavelet)
 from drawstat.llm.common import table
 
 
@@ -71,6 +71,24 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "doc_start", "matched", "compared")
 
 
+def op11_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page: the longest rule that fits, else trust and distrust of its host."""
+    return link_graph.judge(table(spark, sf_dir, "pages"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf, proven against the root; of half the documents the text is checked without line feeds."""
+    chosen = F.crc32(F.col("doc_id").cast("bigint").cast("string").cast("binary")) % 2 == 0
+    altered = F.when(chosen, F.translate("text", "\n", ""))
+    checked = merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), altered))
+    return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies over the same bytes of every document, their common cuts and links."""
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_wavelet": op2_wavelet,
@@ -82,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_hilbert": op9_hilbert,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op11_link_graph": op11_link_graph,
+    "op12_merkle": op12_merkle,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE: dict[str, str] = {
@@ -148,5 +169,83 @@ scored AS (
 best AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k DESC, g) AS nth FROM scored WHERE k >= c * 0.8)
 SELECT doc_id, item_id, g::INTEGER AS doc_start, k::INTEGER AS matched, c::INTEGER AS compared FROM best WHERE nth = 1
+""",
+    "op11_link_graph": r"""
+WITH RECURSIVE u AS (
+  SELECT row_number() OVER () AS id, page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+p AS (SELECT id, page_id, html, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(h, p, allow) AS (VALUES ('org', '/', TRUE), ('example.org', '/es/', FALSE), ('example.org', '/en/1', FALSE), ('com', '/fr/', TRUE), ('com', '/de/', FALSE)),
+fits AS (
+  SELECT id, h || rules.p AS rule, allow, row_number() OVER (PARTITION BY id ORDER BY len(h || rules.p) DESC, len(h) DESC, allow) AS nth
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p)),
+ruled AS (SELECT p.id, page_id, host, path, rule, allow FROM p LEFT JOIN fits ON p.id = fits.id AND nth = 1),
+named AS (
+  SELECT DISTINCT id, host, translate(unnest(regexp_extract_all(html,
+    '<[aA][ \t\n\f\r][^>]*?[hH][rR][eE][fF][ \t\n\f\r]*=[ \t\n\f\r]*["\x27]?[ \t\n\f\r]*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#"\x27> \t\n\f\r]+)', 1)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS other FROM p WHERE html IS NOT NULL),
+links AS (SELECT host, other, count(*) AS pages FROM named WHERE host <> '' AND host <> other GROUP BY ALL),
+flows AS (
+  SELECT kind, host, other, share, sum(share) OVER (PARTITION BY kind, host) AS total
+  FROM (SELECT 'trust' AS kind, host, other, pages AS share FROM links UNION ALL SELECT 'distrust', other, host, pages FROM links)),
+x(k, kind, host, mass) AS (
+  SELECT 0, CASE WHEN allow THEN 'trust' ELSE 'distrust' END, host, (count(*) * 1000000)::HUGEINT FROM ruled WHERE rule IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT x.k + 1, x.kind, flows.other, sum((mass * 85 // 100) * share // total)::HUGEINT
+  FROM x JOIN flows ON x.kind = flows.kind AND x.host = flows.host WHERE x.k < 12 GROUP BY x.k, x.kind, flows.other),
+scores AS (
+  SELECT host, sum(CASE kind WHEN 'trust' THEN mass ELSE 0 END) AS trust, sum(CASE kind WHEN 'distrust' THEN mass ELSE 0 END) AS distrust FROM x GROUP BY host)
+SELECT page_id, ruled.host, path, rule,
+       CASE WHEN coalesce(NOT allow, coalesce(distrust, 0) > coalesce(trust, 0)) THEN 'block' ELSE 'allow' END AS verdict,
+       coalesce(trust, 0)::BIGINT AS trust, coalesce(distrust, 0)::BIGINT AS distrust
+FROM ruled LEFT JOIN scores ON ruled.host = scores.host
+""",
+    "op12_merkle": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, * FROM documents),
+bits AS (
+  SELECT id, flatten([[ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(doc_id::VARCHAR, '')]) AS steps FROM d),
+chosen AS (  -- the lowest bit of CRC-32, one step for every bit of the decimal id
+  SELECT id, xor(list_reduce(list_prepend(4294967295::BIGINT, steps),
+      lambda r, v: xor(xor(r, v) >> 1, CASE WHEN xor(r, v) % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 2 = 0 AS tampered FROM bits),
+f AS (
+  SELECT id, doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         text, CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END AS other FROM d JOIN chosen USING (id)),
+leaves AS (
+  SELECT id, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS altered FROM f),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+low(source, l, pos, n, h) AS (
+  SELECT source, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT source, l + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY source, l, pos // 3, n),
+sub AS (
+  SELECT source, h AS subroot, l AS height, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1),
+high(l, pos, n, h) AS (
+  SELECT 0, place, n, subroot FROM sub
+  UNION ALL
+  SELECT l + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY l, pos // 3, n),
+pairs AS (  -- siblings of every node of the sources' trees, then of the tree above
+  SELECT source, a.l, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS before,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS after
+  FROM (SELECT source, l, pos, n FROM low UNION ALL SELECT 'above', l - 1000, pos, n FROM high) a
+  JOIN (SELECT source AS s, l, pos, n, h FROM low UNION ALL SELECT 'above', l - 1000, pos, n, h FROM high) b
+    ON a.source IS NOT DISTINCT FROM b.s AND a.l = b.l AND a.pos // 3 = b.pos // 3
+  WHERE a.n > 1 GROUP BY source, a.l, a.pos),
+ways AS (
+  SELECT id, list({'b': before, 'a': after} ORDER BY l) AS way FROM (
+    SELECT p.id, pairs.l AS l, before, after FROM placed p JOIN sub ON p.source IS NOT DISTINCT FROM sub.source
+      JOIN pairs ON pairs.source IS NOT DISTINCT FROM p.source AND pairs.l >= 0 AND pairs.l < height AND pairs.pos = p.pos // (3 ** pairs.l)::BIGINT
+    UNION ALL
+    SELECT p.id, pairs.l + 2000, before, after FROM placed p JOIN sub ON p.source IS NOT DISTINCT FROM sub.source
+      JOIN pairs ON pairs.source = 'above' AND pairs.l < 0 AND pairs.pos = sub.place // (3 ** (pairs.l + 1000))::BIGINT) GROUP BY id),
+folded(id, k, node) AS (
+  SELECT id, 0, altered FROM placed
+  UNION ALL
+  SELECT folded.id, k + 1, sha256(way[k + 1].b || node || way[k + 1].a) FROM folded JOIN ways ON folded.id = ways.id WHERE k < len(way))
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string([w.b || w.a FOR w IN way], ''), '')) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM placed JOIN sub ON placed.source IS NOT DISTINCT FROM sub.source LEFT JOIN ways ON ways.id = placed.id
+JOIN folded ON folded.id = placed.id AND folded.k = coalesce(len(way), 0), (SELECT h AS root FROM high WHERE n = 1)
 """,
 }

@@ -92,14 +92,14 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 def test_registered():
     registered = contract.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in registered if k.startswith("op") and k[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in registered if k.startswith("op") and k[2].isdigit()}
     assert "pipeline" in registered and [n for n, _ in corpus_pipeline.STAGES] and set(queries.ORACLE) < set(contract.oracle_sql())
 
 
 def test_queries_cover_their_tables(spark, sf_dir):
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     docs = read("documents").count()
-    for name in ("op2_wavelet", "op5_simhash", "op7_toxicity", "op9_hilbert"):
+    for name in ("op2_wavelet", "op5_simhash", "op7_toxicity", "op9_hilbert", "op12_merkle", "op13_alignment"):
         found = queries.QUERIES[name](spark, sf_dir)
         assert found.count() == docs == found.select("doc_id").distinct().count()
     scores = [r.score for r in queries.QUERIES["op7_toxicity"](spark, sf_dir).collect()]
