@@ -1,19 +1,22 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
-Vectors of one label and length are split at medians of random projections, again and again, until a node is
-small enough to compare; vectors in a band around a median go to both sides (spill). Several trees with
-different projections make it likely that near vectors share a leaf in one of them. Within a leaf every pair
-is compared exactly; a pair that shares several leaves is counted in the smallest of them only, so links need
-no list of pairs: a leaf returns sums and the edges of its components, both linear in its vectors.
-
-Labels with no more than ``leaf_rows`` distinct vectors are one leaf, and their result is exact. Larger nodes take
-their medians from a bounded sample of ``sample_rows`` vectors, several levels at a time, and all their
-vectors are routed by it.
+Directions (unit vectors) of one label and length go down several trees. A node draws a few random directions, keeps
+the one and the cut that part its vectors best, and sends those within a band around the cut to both sides
+(spill). The band is a distance: two vectors as far apart as the cosine allows differ on a random direction by
+their distance over the root of the dimensions, times a normal variable; the band is ``BAND`` of that. So a node
+whose vectors lie close together hardly shrinks by splitting: it is not split any further and, like the
+small nodes where a tree ends, compared exactly, pair by pair of blocks of bounded size, one task each.
+
+A pair that shares several leaves is counted in the smallest of them only, so links need no list of pairs: a leaf
+returns sums and the edges of its components, both linear in its vectors. Nodes are settled several levels at a
+time on a bounded sample of their vectors, and all their vectors are routed by it, at every size in the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -24,22 +27,32 @@ from pyspark.sql import functions as F
 from drawstat.llm.common import components, keep, slots
 
 COSINE = 0.93
-LEAF_ROWS = 4096
-TREES = 8
-SPILL = 0.05          # share of a node on each side of the median that goes to both children
+LEAF_ROWS = 128       # where a tree ends
+TREES = 6
+BAND = 1.0
+SHRINK = 2 / 3        # a node of which no cut leaves at most this share on either side is compared as it is
+CANDIDATES = 4        # random directions a node chooses from
+CUTS = (0.3, 0.4, 0.5, 0.6, 0.7)
 LEVELS = 6            # levels of a tree settled by one sample
 SAMPLE_ROWS = 4096
-ROUNDS = 12
+FEWEST = 48           # a node with fewer sampled vectors is sampled anew before it is split
+ROUNDS = 12           # after these, what is left is compared as it is
+BLOCK_ROWS = 4096     # vectors of a leaf that one task compares with each other, or with as many others
+_LEAF, _OPEN = 0, 1
 _KEYS = ("label", "dims", "tree", "node")
-_ROUTED = "label int, dims int, tree int, node bigint, rep bigint, unit binary"
+_ROUTED = "label int, dims int, tree int, node bigint, rep bigint, unit binary, open int"
 
 
-def _levels(rows: int, leaf_rows: int) -> int:
-    return int(min(LEVELS, max(1, np.ceil(np.log2(rows / leaf_rows)))))
+def _directions(tree: int, node: int, k: int, dims: int) -> np.ndarray:
+    """The random unit directions of node ``k`` below a settled node."""
+    drawn = np.random.default_rng([int(tree), int(node), int(k), int(dims)]).normal(size=(CANDIDATES, dims))
+    return drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
 
 
-def _directions(tree: int, node: int, dims: int, count: int) -> np.ndarray:
-    return np.random.default_rng([int(tree), int(node), int(dims)]).normal(size=(count, dims))
+def half_band(cosine: float, dims: int, band: float) -> float:
+    """Half the width within which both sides of a cut get a vector; with half the distance itself no pair is lost."""
+    reach = np.sqrt(max(0.0, 2 - 2 * cosine))
+    return float(min(reach, band * reach / np.sqrt(dims)) / 2)
 
 
 def _units(column, dims: int) -> np.ndarray:
@@ -58,161 +71,230 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _with_units(rows: DataFrame) -> DataFrame:
-    """Replace ``vector`` by the bytes of its unit vector; scaled by the largest component first, so that no
-    square over- or underflows."""
+    """Replace ``vector`` by the bytes of its unit vector and add ``key``, equal for vectors of one direction; scaled by
+    the largest component first, so that no square over- or underflows."""
     at = rows.columns.index("vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            units, keys = [], []
             for v in batch.column(at):
                 x = v.values.to_numpy(zero_copy_only=False)
                 x = x / np.abs(x).max()
-                out.append((x / np.sqrt(x @ x)).tobytes())
+                x = x / np.sqrt(x @ x)
+                units.append(x.tobytes())
+                keys.append(blake2b(np.rint(x * 2.0 ** 44).astype(np.int64).tobytes(), digest_size=16).digest())
             columns = list(batch.columns)
-            columns[at] = pa.array(out, pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:at], "unit", *batch.schema.names[at + 1:]])
+            columns[at] = pa.array(units, pa.binary())
+            names = [*batch.schema.names[:at], "unit", *batch.schema.names[at + 1:], "key"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.binary())], names)
 
     fields = [f"{c} {t}" if c != "vector" else "unit binary" for c, t in rows.dtypes]
-    return rows.mapInArrow(run, ", ".join(fields))
-
-
-def _settle(rows: DataFrame, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Split routed rows into those of finished leaves and those of nodes still too large (with their size)."""
-    sizes = keep(rows.groupBy(*_KEYS).agg(F.count("*").alias("n")), "nodes")
-    sized = rows.join(sizes, list(_KEYS))
-    return sized.filter(F.col("n") <= leaf_rows).drop("n"), sized.filter(F.col("n") > leaf_rows)
-
-
-def _split(active: DataFrame, leaf_rows: int, spill: float, sample_rows: int) -> DataFrame:
-    """One round: fit the next levels of every large node on its sample and route all its rows."""
+    return rows.mapInArrow(run, ", ".join([*fields, "key binary"]))
+
+
+def grow(x: np.ndarray, n: int, tree: int, node: int, half: float, leaf_rows: int) -> tuple[list[int], list[float], list[int]]:
+    """Settle the next levels of a node of ``n`` vectors on a sample of their units: per place (children of k at 2k + 1 and
+    2k + 2) the chosen direction or -1 where the node ends, the cut, and whether an ended node is still open."""
+    size = (1 << (LEVELS + 1)) - 1
+    chosen, cut, is_open = [-1] * size, [0.0] * size, [_LEAF] * size
+    members = {0: np.arange(len(x))}
+    for k in range(size):
+        mine = members.pop(k, None)
+        if mine is None or n * len(mine) / len(x) <= leaf_rows:
+            continue
+        if k >= size // 2 or (k and len(mine) < FEWEST):
+            is_open[k] = _OPEN
+            continue
+        shown = x[mine] @ _directions(tree, node, k, x.shape[1]).T
+        best = (SHRINK, -1, 0.0)
+        for c in range(CANDIDATES):
+            for at in np.quantile(shown[:, c], CUTS):
+                share = max(np.mean(shown[:, c] <= at + half), np.mean(shown[:, c] > at - half))
+                best = min(best, (share, c, float(at)))
+        if best[1] >= 0:
+            _, chosen[k], cut[k] = best
+            side = shown[:, chosen[k]]
+            members[2 * k + 1], members[2 * k + 2] = mine[side <= cut[k] + half], mine[side > cut[k] - half]
+    return chosen, cut, is_open
+
+
+def send(x: np.ndarray, tree: int, node: int, half: float, chosen: list[int], cut: list[float]) -> dict[int, np.ndarray]:
+    """Rows of every place where they end, a row in all the places it spills to."""
+    at, ended = {0: np.arange(len(x))}, {}
+    for k in range(len(chosen)):
+        mine = at.pop(k, None)
+        if mine is None or not len(mine):
+            continue
+        if chosen[k] < 0:
+            ended[k] = mine
+            continue
+        side = x[mine] @ _directions(tree, node, k, x.shape[1])[chosen[k]]
+        at[2 * k + 1], at[2 * k + 2] = mine[side <= cut[k] + half], mine[side > cut[k] - half]
+    return ended
+
+
+def _split(active: DataFrame, cosine: float, band: float, leaf_rows: int, sample_rows: int) -> DataFrame:
+    """One round: settle the next levels of every open node on its sample and route all its rows. The unit travels on
+    only with rows whose node stays open."""
+    names = [c.split()[0] for c in _ROUTED.split(", ")]
+    types = pa.schema(list(zip(names, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32()))))
 
     def fit(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
         label, dims, tree, node = key
-        depth = _levels(int(sample["n"].iloc[0]), leaf_rows)
-        x = _units(sample.sort_values("rep")["unit"], dims) @ _directions(tree, node, dims, (1 << depth) - 1).T
-        low, high = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-        members = {0: np.arange(len(x))}
-        for k in range(x.shape[1]):
-            mine = members.pop(k, np.arange(0))
-            if len(mine):
-                low[k], middle, high[k] = np.quantile(x[mine, k], [0.5 - spill, 0.5, 0.5 + spill])
-                members[2 * k + 1], members[2 * k + 2] = mine[x[mine, k] <= middle], mine[x[mine, k] > middle]
-        return pd.DataFrame([(label, dims, tree, node, depth, low, high)], columns=[*_KEYS, "depth", "low", "high"])
+        x = _units(sample.sort_values("rep")["unit"], dims)
+        grown = grow(x, int(sample["n"].iloc[0]), tree, node, half_band(cosine, dims, band), leaf_rows)
+        return pd.DataFrame([(label, dims, tree, node, *grown)], columns=[*_KEYS, "chosen", "cut", "opens"])
 
     share = F.pmod(F.xxhash64("rep", "tree", "node"), F.lit(1 << 20)) < F.lit(float(sample_rows << 20)) / F.col("n")
     fitted = keep(active.filter(share).groupBy(*_KEYS).applyInPandas(
-        fit, "label int, dims int, tree int, node bigint, depth int, low array<double>, high array<double>"), "splits")
+        fit, "label int, dims int, tree int, node bigint, chosen array<int>, cut array<double>, opens array<int>"), "splits")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _ROUTED.split(", ")]
         for batch in batches:
-            frame = batch.to_pandas()
-            for (label, dims, tree, node), rows in frame.groupby(list(_KEYS), sort=False):
-                depth, low, high = int(rows["depth"].iloc[0]), rows["low"].iloc[0], rows["high"].iloc[0]
-                x = _units(rows["unit"], dims) @ _directions(tree, node, dims, (1 << depth) - 1).T
-                at = {0: np.arange(len(rows))}
-                for k in range(x.shape[1]):
-                    mine = at.pop(k)
-                    at[2 * k + 1], at[2 * k + 2] = mine[x[mine, k] <= high[k]], mine[x[mine, k] > low[k]]
-                for leaf, mine in at.items():
-                    if len(mine):
-                        child = (int(node) * (1 << 7) + leaf + 1) % (1 << 62)
-                        part = rows.iloc[mine]
-                        yield pa.RecordBatch.from_pandas(pd.DataFrame(
-                            {"label": part["label"], "dims": part["dims"], "tree": part["tree"], "node": np.int64(child), "rep": part["rep"],
-                             "unit": part["unit"]}), schema=pa.schema(list(zip(names, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())))),
-                            preserve_index=False)
+            for (label, dims, tree, node), rows in batch.to_pandas().groupby(list(_KEYS), sort=False):
+                first = rows.iloc[0]
+                ended = send(_units(rows["unit"], dims), tree, node, half_band(cosine, dims, band), first["chosen"], first["cut"])
+                for k, mine in ended.items():
+                    part, still = rows.iloc[mine], int(first["opens"][k])
+                    child = (int(node) * 1_000_003 + k + 1) % (1 << 62)
+                    yield pa.RecordBatch.from_pandas(pd.DataFrame(
+                        {"label": part["label"], "dims": part["dims"], "tree": part["tree"], "node": np.int64(child), "rep": part["rep"],
+                         "unit": part["unit"] if still else None, "open": np.int32(still)}), schema=types, preserve_index=False)
 
     return active.drop("n").join(fitted, list(_KEYS)).mapInArrow(route, _ROUTED)
 
 
-def leaves(base: DataFrame, leaf_rows: int = LEAF_ROWS, trees: int = TREES, spill: float = SPILL, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(label, dims, rep, leaf): the leaves of every distinct vector of ``base`` (rep, label, dims, unit) in all trees."""
+def leaves(base: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_ROWS, trees: int = TREES, band: float = BAND,
+           sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(label, dims, rep, leaf): the leaves of every direction of ``base`` (rep, label, dims, unit) in all trees. A label
+    of at most ``leaf_rows`` directions is a leaf itself, the root of every tree."""
     code = F.xxhash64("label", "dims", "tree", "node").alias("leaf")
-    sizes = keep(base.groupBy("label", "dims").agg(F.count("*").alias("n")), "labels")
-    sized = base.join(sizes, ["label", "dims"])
-    whole = sized.filter(F.col("n") <= leaf_rows).select("label", "dims", F.lit(0).alias("tree"), F.lit(0).cast("bigint").alias("node"), "rep")
-    done = [whole.select("label", "dims", "rep", code)]
-    active = sized.filter(F.col("n") > leaf_rows).select(
-        "label", "dims", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).cast("bigint").alias("node"), "rep", "unit", "n")
+    sized = base.join(keep(base.groupBy("label", "dims").agg(F.count("*").alias("n")), "labels"), ["label", "dims"])
+    many = F.when(F.col("n") > leaf_rows, F.sequence(F.lit(0), F.lit(trees - 1))).otherwise(F.array(F.lit(0)))
+    rooted = sized.select("label", "dims", F.explode(many).alias("tree"), F.lit(0).cast("bigint").alias("node"), "rep", "unit", "n")
+    done = [rooted.filter(F.col("n") <= leaf_rows).select("label", "dims", "rep", code)]
+    active = rooted.filter(F.col("n") > leaf_rows)
     for step in range(ROUNDS):
         if active.isEmpty():
             break
-        routed = keep(_split(active, leaf_rows, spill, sample_rows), "routed")
-        finished, active = _settle(routed, leaf_rows)
-        if step == ROUNDS - 1:  # vectors that no projection parts stay together, whatever their number
-            finished = routed
-        done.append(finished.select("label", "dims", "rep", code))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionAll(part)
-    return out
-
-
-def compare_leaf(rep: np.ndarray, copies: np.ndarray, units: np.ndarray, earlier: list[list[int]], cosine: float,
-                 block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Links of every vector of a leaf that no smaller shared leaf has counted, weighted by copies, and the
-    component of every vector within the leaf (as the smallest rep)."""
-    codes = {c: i for i, c in enumerate(sorted({c for e in earlier for c in e}))}
-    inside = np.zeros((len(rep), len(codes)), np.float32)
-    for i, e in enumerate(earlier):
-        inside[i, [codes[c] for c in e]] = 1
-    links, near = np.zeros(len(rep), np.int64), []
-    for a in range(0, len(rep), block):
-        close = units[a:a + block] @ units.T >= cosine
-        close[np.arange(len(close)), np.arange(a, a + len(close))] = False
-        new = close & (inside[a:a + block] @ inside.T == 0) if len(codes) else close
-        links[a:a + block] = new @ copies
-        near.append(np.packbits(close, axis=1))
-    near, label = np.concatenate(near), np.full(len(rep), -1)
+        routed = keep(_split(active, cosine, band, leaf_rows, sample_rows), "routed")
+        ended = routed if step == ROUNDS - 1 else routed.filter(F.col("open") == _LEAF)
+        done.append(ended.select("label", "dims", "rep", code))
+        still = routed.filter(F.col("open") == _OPEN).drop("open")
+        active = still.join(keep(still.groupBy(*_KEYS).agg(F.count("*").alias("n")), "nodes"), list(_KEYS))
+    return reduce(DataFrame.unionAll, done)
+
+
+def _shared_earlier(rows: list[list[int]], others: list[list[int]] | None, step: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Membership of rows and others in the leaves that both know, some leaves at a time so that memory is bounded."""
+    owners: dict[int, tuple[list[int], list[int]]] = {}
+    for side, listed in enumerate((rows, rows if others is None else others)):
+        for i, codes in enumerate(listed):
+            for c in codes:
+                owners.setdefault(c, ([], []))[side].append(i)
+    least = 2 if others is None else 1
+    common = [o for o in owners.values() if len(o[0]) >= least and len(o[1]) >= least]
+    for at in range(0, len(common), step):
+        part = common[at:at + step]
+        left = np.zeros((len(rows), len(part)), np.float32)
+        right = left if others is None else np.zeros((len(others), len(part)), np.float32)
+        for k, (a, b) in enumerate(part):
+            left[a, k] = 1
+            right[b, k] = 1
+        yield left, right
+
+
+def compare_block(rep: np.ndarray, copies: np.ndarray, units: np.ndarray, earlier: list[list[int]], cosine: float, first: int | None = None,
+                  block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Links of every vector that no smaller shared leaf has counted, weighted by copies, and the component of every
+    vector among them (as the smallest rep). With ``first`` only pairs of one of the first ``first`` rows and
+    one of the others count; the rest belong to other blocks."""
+    n, split = len(rep), len(rep) if first is None else first
+    others = np.arange(n) if first is None else np.arange(first, n)
+    links, near = np.zeros(n, np.int64), np.zeros((n, (n + 7) // 8), np.uint8)
+    shared = list(_shared_earlier(earlier[:split], None if first is None else earlier[first:]))
+    for a in range(0, split, block):
+        b = min(split, a + block)
+        close = units[a:b] @ units[others].T >= cosine
+        if first is None:
+            close[np.arange(b - a), np.arange(a, b)] = False
+        new = close
+        for left, right in shared:
+            new = new & (left[a:b] @ right.T == 0)
+        links[a:b] += new @ copies[others]
+        if first is not None:
+            links[others] += copies[a:b] @ new
+        wide = np.zeros((b - a, n), bool)
+        wide[:, others] = close
+        near[a:b] |= np.packbits(wide, axis=1)
+    if first is not None:  # the other direction of the same pairs
+        for a in range(first, n, block):
+            b = min(n, a + block)
+            rows = np.unpackbits(near[:first], axis=1, count=n)[:, a:b]
+            near[a:b, :(first + 7) // 8] |= np.packbits(rows.T, axis=1)
+    label = np.full(n, -1)
     for start in np.argsort(rep, kind="stable"):
         if label[start] < 0:
             label[start], front = start, np.array([start])
             while len(front):
-                reached = np.unpackbits(np.bitwise_or.reduce(near[front], axis=0), count=len(rep)).astype(bool)
+                reached = np.unpackbits(np.bitwise_or.reduce(near[front], axis=0), count=n).astype(bool)
                 front = np.flatnonzero(reached & (label < 0))
                 label[front] = start
     return links, rep[label]
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_ROWS, trees: int = TREES, spill: float = SPILL,
-                    sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def in_blocks(placed: DataFrame, block_rows: int) -> DataFrame:
+    """(label, dims, rep, leaf, low, high, second): the pairs of blocks of its leaves that a direction takes part in, and
+    whether it stands in the second block of the pair. A leaf of at most ``block_rows`` is one block."""
+    sizes = keep(placed.groupBy("label", "dims", "leaf").agg(F.count("*").alias("n")), "leaf-sizes")
+    many = F.ceil(F.col("n") / block_rows).cast("int")
+    sized = placed.join(sizes, ["label", "dims", "leaf"]).select("label", "dims", "rep", "leaf", many.alias("many"),
+                                                                 F.pmod(F.xxhash64("rep", "leaf"), many).cast("int").alias("mine"))
+    other = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("other"))
+    return other.select("label", "dims", "rep", "leaf", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
+                        (F.col("mine") > F.col("other")).alias("second"))
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_ROWS, trees: int = TREES, band: float = BAND,
+                    sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label; other columns are ignored): vec_id, n_links,
     component_id, kept.
 
     Vectors are compared when labels are equal and not null and lengths are equal. A vector that is null, empty,
-    zero or holds a null or non-finite component links with nothing. Equal vectors become one before the
+    zero or holds a null or non-finite component links with nothing. Vectors of one direction become one before the
     trees are built and count as linked to each other. component_id is the smallest vec_id
     reachable; a null vec_id is never the smallest unless there is no other. An empty table gives no rows."""
-    spark = vectors.sparkSession
     every = keep(usable(vectors), "vectors")
-    good = every.filter("usable")
-    base = good.groupBy("label", "dims", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    good = keep(_with_units(every.filter("usable").drop("usable")), "units")
+    base = good.groupBy("label", "dims", "key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.min("unit").alias("unit"))
     base = keep(base.withColumn("rep", F.monotonically_increasing_id()), "base")  # written once, so stable
-    units = keep(_with_units(base.select("rep", "label", "dims", "copies", "vector")), "units")
-    placed = keep(leaves(units.drop("copies"), leaf_rows, trees, spill, sample_rows), "leaves")
+    placed = keep(leaves(base.select("label", "dims", "rep", "unit"), cosine, leaf_rows, trees, band, sample_rows), "leaves")
     # at most trees times the spilled leaves of a tree
-    all_leaves = placed.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
-    rows = units.join(all_leaves, "rep").select("label", "dims", "rep", "copies", "unit", "leaves", F.explode("leaves").alias("leaf"))
+    all_leaves = keep(placed.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves")), "leaf-lists")
+    paired = in_blocks(placed, block_rows).join(all_leaves, "rep")
+    rows = paired.join(base.select("rep", "copies", "unit"), "rep").select(
+        "label", "dims", "leaf", "low", "high", "second", "rep", "copies", "unit", F.filter("leaves", lambda c: c < F.col("leaf")).alias("earlier"))
 
     def compare(key: tuple, leaf: pd.DataFrame) -> pd.DataFrame:
-        _, dims, code = key
-        earlier = [[c for c in e if c < code] for e in leaf["leaves"]]
-        rep = leaf["rep"].to_numpy()
-        links, label = compare_leaf(rep, leaf["copies"].to_numpy(), _units(leaf["unit"], dims), earlier, cosine)
+        _, dims, _, low, high = key
+        leaf = leaf.sort_values("second", kind="stable") if low != high else leaf
+        rep, first = leaf["rep"].to_numpy(), None if low == high else int((~leaf["second"]).sum())
+        earlier = [list(e) for e in leaf["earlier"]]
+        links, label = compare_block(rep, leaf["copies"].to_numpy(), _units(leaf["unit"], dims), earlier, cosine, first)
         return pd.DataFrame({"rep": rep, "links": links, "label": label})[(links > 0) | (rep != label)]
 
-    spread = rows.repartition(slots(spark), "label", "dims", "leaf")
-    compared = keep(spread.groupBy("label", "dims", "leaf").applyInPandas(compare, "rep bigint, links bigint, label bigint"), "compared")
+    group = ("label", "dims", "leaf", "low", "high")
+    spread = rows.repartition(slots(vectors.sparkSession), *group)
+    compared = keep(spread.groupBy(*group).applyInPandas(compare, "rep bigint, links bigint, label bigint"), "compared")
     counts = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(compared.select(F.col("rep").alias("a"), F.col("label").alias("b")))
-    members = base.select("rep", "label", "dims", "vector", "copies", "least").join(counts, "rep", "left").join(
+    members = base.select("rep", "label", "dims", "key", "copies", "least").join(counts, "rep", "left").join(
         joined.withColumnRenamed("node", "rep"), "rep", "left")
-    members = keep(members.select("label", "dims", "vector", "least", F.coalesce("component", "rep").alias("component"),
+    members = keep(members.select("label", "dims", "key", "least", F.coalesce("component", "rep").alias("component"),
                                   (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "members")
     smallest = keep(members.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
-    found = keep(members.join(smallest, "component").select("label", "dims", "vector", "n_links", "component_id"), "found")
-    linked = good.join(found, ["label", "dims", "vector"]).select("vec_id", "n_links", "component_id")
+    found = keep(members.join(smallest, "component").select("label", "dims", "key", "n_links", "component_id"), "found")
+    linked = good.join(found, ["label", "dims", "key"]).select("vec_id", "n_links", "component_id")
     rest = every.filter("NOT usable").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
