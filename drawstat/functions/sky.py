@@ -57,9 +57,9 @@ def centuries(day: Column, instant: Column) -> Column:
 
 def angles(days: DataFrame) -> DataFrame:
     """``draw_date, utc`` and one longitude column per body plus MoonPhase, for distinct dates."""
-    body_rows = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("body"), *[F.lit(v).alias(f"v{i}") for i, v in enumerate(values)])
-        for name, values in ELEMENTS.items()]))
+    # as text: hundreds of literals are one expression to parse instead of hundreds of objects to build
+    listed = ", ".join(f"named_struct('body', '{name}', " + ", ".join(f"'v{i}', {v!r}D" for i, v in enumerate(values)) + ")" for name, values in ELEMENTS.items())
+    body_rows = F.expr(f"explode(array({listed}))")
     instants = days.select("draw_date", draw_instant(F.col("draw_date")).alias("utc"))
     timed = instants.withColumn("t", centuries(F.col("draw_date"), F.col("utc")))
     rows = timed.select("draw_date", "utc", "t", body_rows.alias("b"))
@@ -96,19 +96,16 @@ def angles(days: DataFrame) -> DataFrame:
         return wrap_degrees(F.degrees(F.atan2(y, x)) + PRECESSION * F.col("t"))
 
     located = wide.select("draw_date", "utc", "t", *[longitude(b).alias(b) for b in BODIES])
-    return located.withColumn("MoonPhase", wrap_degrees(_moon_longitude(F.col("t")) - F.col("Sun"))).drop("t")
+    return located.withColumn("MoonPhase", wrap_degrees(_moon_longitude("t") - F.col("Sun"))).drop("t")
 
 
-def _moon_longitude(t: Column) -> Column:
-    mean, *arguments = [start + rate * t for start, rate in MOON_ARGUMENTS]
+def _moon_longitude(t: str) -> Column:
+    mean, *arguments = [f"({start!r}D + {rate!r}D * {t})" for start, rate in MOON_ARGUMENTS]
     total = mean
     for amplitude, *multiples in MOON_TERMS:
-        phase = F.lit(0.0)
-        for multiple, argument in zip(multiples, arguments):
-            if multiple:
-                phase = phase + multiple * argument
-        total = total + amplitude * F.sin(F.radians(phase))
-    return total
+        phase = " + ".join(["0D", *[f"{m} * {a}" for m, a in zip(multiples, arguments) if m]])
+        total += f" + {amplitude!r}D * sin(radians({phase}))"
+    return F.expr(total)
 
 
 def bins(located: DataFrame) -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from drawstat.functions.columns import overlap, ticket_text
 from drawstat.functions.exact import hit_tails
 from drawstat.functions.prng import random_ticket
+from drawstat.operators.bitmaps import binned_tickets
 from drawstat.operators.draws import number_grid, with_next_draw
 from drawstat.operators.stats import holm
 from drawstat.operators.tickets import capped_tickets, require_full, with_hits
-from drawstat.operators.windows import binned_terms, horizon_score, model_scores, trailing_counts
+from drawstat.operators.windows import horizon_score, trailing_counts
 from drawstat.settings import (AUDIT_SEED, BASELINE_WINDOW, BINNED_MODELS, FEATURES, HISTORY_WINDOW, HORIZONS,
                                SHRINKAGE_DRAWS, Game)
 
@@ -69,10 +70,7 @@ def rotate_features(featured: DataFrame, shift: Column | int, names: Sequence[st
 def binned_backtest(featured: DataFrame, game: Game, models: dict[str, tuple[str, ...]] = BINNED_MODELS,
                     window: int = HISTORY_WINDOW, prior: int = SHRINKAGE_DRAWS) -> DataFrame:
     """Tickets and hits of every model and of the trailing-frequency baseline (``frequency``)."""
-    methods = (*models, "frequency")
-    features = tuple(dict.fromkeys(f for names in models.values() for f in names))
-    scored = model_scores(binned_terms(featured, features, game, window, prior), models)
-    return with_hits(capped_tickets(scored, methods, game), methods)
+    return with_hits(binned_tickets(featured, game, models, window, prior), (*models, "frequency"))
 
 
 # --------------------------------------------------------------------- results

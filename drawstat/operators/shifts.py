@@ -1,14 +1,11 @@
 """Circular-shift replicates of the date-conditioned backtest.
 
-A replicate rotates the features of a series against its draws and repeats the backtest. Replicates are
-independent, so the draws of a series (bounded by the calendar) are sent to a few groups that share the
-replicates between them, and each group evaluates its rotations with prefix sums over a draws x numbers
-array. That shuffles one row per draw and group instead of one per draw, shift, number and feature.
+A replicate turns the features of a series against its draws and repeats the backtest. The bins of all positions
+are cut out of the bitmaps once, and a replicate only reads them at another position.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
@@ -17,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawstat.functions.prng import uniforms_at
-from drawstat.operators.draws import spread
+from drawstat.operators.bitmaps import shifted_hits
 from drawstat.settings import BINNED_MODELS, HISTORY_WINDOW, SHIFT_SEED, SHRINKAGE_DRAWS, Game
-
-_GROUPS = 32  # groups that share the replicates of one series
+from drawstat.streaming.storage import stored
 
 
 def shift_list(n_draws: Column, replicates: int, seed: int = SHIFT_SEED, distinct: bool = True) -> Column:
@@ -50,82 +46,18 @@ def shift_list(n_draws: Column, replicates: int, seed: int = SHIFT_SEED, distinc
     return shifts(n_draws)
 
 
+def replicates_of(indexed: DataFrame, replicates: int, seed: int = SHIFT_SEED, distinct: bool = True) -> DataFrame:
+    """(series, replicate, shift); replicate 0 is the observed backtest, shift 0."""
+    lengths = indexed.groupBy("series").agg(F.max("n_draws").alias("n_draws"))
+    shifts = F.concat(F.array(F.lit(0)), shift_list(F.col("n_draws"), replicates, seed, distinct))
+    return lengths.select("series", F.posexplode(shifts).alias("replicate", "shift"))
+
+
 def shifted_totals(featured: DataFrame, game: Game, replicates: int, seed: int = SHIFT_SEED, distinct: bool = True,
                    models: dict[str, tuple[str, ...]] = BINNED_MODELS, window: int = HISTORY_WINDOW,
                    prior: int = SHRINKAGE_DRAWS) -> DataFrame:
-    """Tested draws and total hits per series, replicate, shift and model. Shift 0 is the observed backtest and comes as replicate 0,
-    so observed and shifted totals share one evaluation."""
+    """Tested draws and total hits per series, replicate, shift and model. Shift 0 is the observed backtest and comes as
+    replicate 0, so observed and shifted totals share one evaluation."""
     features = tuple(dict.fromkeys(f for names in models.values() for f in names))
-    plan = [[features.index(f) for f in names] for names in models.values()]
-    names = list(models)
-    # every draw emits itself once per group of replicates, so the draws are read in one pass
-    groups = min(_GROUPS, replicates + 1)
-    shifts = F.concat(F.array(F.lit(0)), shift_list(F.col("n_draws"), replicates, seed, distinct))
-    numbered = featured.select("series", "draw_idx", "numbers", F.array(*features).alias("bins"), shifts.alias("shifts"))
-    rows = numbered.select("series", "draw_idx", "numbers", "bins", "shifts",
-                           F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-
-    def evaluate(group: pd.DataFrame) -> pd.DataFrame:
-        series, part, shifts = group["series"].iloc[0], int(group["part"].iloc[0]), group["shifts"].iloc[0]
-        mine = range(part, len(shifts), groups)
-        hits = rotated_hits(group, [int(shifts[r]) for r in mine], plan, game, window, prior)
-        return pd.DataFrame([(series, r, int(shifts[r]), model, max(0, len(group) - window), total)
-                             for r, totals in zip(mine, hits) for model, total in zip(names, totals)],
-                            columns=["series", "replicate", "shift", "model", "trials", "total_hits"])
-
-    return spread(rows, "series", "part", per_slot=4).groupBy("series", "part").applyInPandas(
-        evaluate, "series string, replicate int, shift int, model string, trials bigint, total_hits bigint")
-
-
-def rotated_hits(group: pd.DataFrame, shifts: Sequence[int], plan: Sequence[Sequence[int]], game: Game, window: int,
-                 prior: int) -> list[list[int]]:
-    """Total hits of each model for one series, per rotation of its features."""
-    group = group.sort_values("draw_idx")
-    n = len(group)
-    tested = np.arange(window, n)
-    if not len(tested):
-        return [[0] * len(plan) for _ in shifts]
-    drawn = np.zeros((n, game.pool), dtype=np.int32)
-    drawn[np.arange(n)[:, None], np.stack(group["numbers"].to_numpy()) - 1] = 1
-    fixed_bins = np.stack(group["bins"].to_numpy()).astype(np.int64)
-    prefix = _prefix(drawn)
-    shrunk = prior * (prefix[tested] - prefix[tested - window]) / window
-    outcome = drawn[tested]
-
-    def term(column: np.ndarray) -> np.ndarray:
-        # prefix sums in (bin, position) order; both ends of the window are found by binary search
-        order = np.argsort(column, kind="stable")
-        keys = column[order] * n + order
-        in_bin = _prefix(drawn[order])
-        end = np.searchsorted(keys, column[tested] * n + tested)
-        start = np.searchsorted(keys, column[tested] * n + tested - window)
-        return (in_bin[end] - in_bin[start] + shrunk) / ((end - start)[:, None] + prior)
-
-    def totals(shift: int) -> list[int]:
-        bins = np.roll(fixed_bins, -shift, axis=0)
-        hits = []
-        for features in plan:
-            score = np.zeros_like(shrunk)
-            for f in features:
-                score += term(bins[:, f])
-            hits.append(_ticket_hits(score / len(features), outcome, game))
-        return hits
-
-    return [totals(s) for s in shifts]
-
-
-def _prefix(rows: np.ndarray) -> np.ndarray:
-    sums = np.zeros((len(rows) + 1, rows.shape[1]), dtype=np.int32)
-    np.cumsum(rows, axis=0, out=sums[1:])
-    return sums
-
-
-def _ticket_hits(scores: np.ndarray, drawn: np.ndarray, game: Game) -> int:
-    blocks = -(-game.pool // game.decade)
-    padded = np.full((len(scores), blocks * game.decade), -np.inf)
-    padded[:, : game.pool] = scores
-    ranked = np.argsort(-padded.reshape(len(scores), blocks, game.decade), axis=2, kind="stable")[:, :, : game.cap]
-    # ascending numbers, so the stable sort below breaks ties towards the smaller number
-    candidates = (np.sort(ranked, axis=2) + np.arange(blocks)[None, :, None] * game.decade).reshape(len(scores), -1)
-    best = np.argsort(-np.take_along_axis(padded, candidates, axis=1), axis=1, kind="stable")[:, : game.pick]
-    return int(np.take_along_axis(drawn, np.take_along_axis(candidates, best, axis=1), axis=1).sum())
+    featured = stored(featured.select("series", "draw_idx", "n_draws", "draw_date", "numbers", *features), "featured-draws")
+    return shifted_hits(featured, replicates_of(featured, replicates, seed, distinct), game, models, window, prior)

@@ -1,9 +1,7 @@
 """Trailing-window counts and scores over the dense number grid.
 
 Counts over the last W draws come from one running total per (series, number) and a lag of it, so a row
-costs the same for every W. Bin-conditioned counts cannot use a fixed lag, because the draws of a bin are
-not contiguous: there every drawn number also emits a row that takes it out again W draws later, and one
-running total per (series, number, bin) over both kinds of rows is the trailing count.
+costs the same for every W. Counts among the draws of one bin are taken from position bitmaps (bitmaps.py).
 """
 
 from __future__ import annotations
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 
 from drawstat.functions.columns import horizon_z
 from drawstat.operators.draws import spread
-from drawstat.settings import BINNED_MODELS, HISTORY_WINDOW, SHRINKAGE_DRAWS, Game
+from drawstat.settings import Game
 
 
 def trailing_counts(grid: DataFrame, windows: Sequence[int], keys: Sequence[str] = ("series",)) -> DataFrame:
@@ -38,59 +36,3 @@ def horizon_score(windows: Sequence[int], game: Game) -> Column:
     for w in windows:
         score = score + horizon_z(F.col(f"count_{w}"), w, game) / len(windows)
     return score
-
-
-def bin_cells(featured: DataFrame, features: Sequence[str], window: int = HISTORY_WINDOW) -> DataFrame:
-    """Per draw the array ``cells`` of (feature position, bin, size), where size counts the draws among the last
-    ``window`` that share the bin. Features become rows, so one window serves them all; with one row per draw
-    and feature a range frame is cheap."""
-    long = featured.select("series", "draw_idx", "draw_date", "numbers", F.posexplode(F.array(*features)).alias("feature", "bin"))
-    frame = Window.partitionBy("series", "feature", "bin").orderBy("draw_idx").rangeBetween(-window, -1)
-    sized = long.withColumn("size", F.count("*").over(frame))
-    return sized.groupBy("series", "draw_idx").agg(
-        F.first("draw_date").alias("draw_date"), F.first("numbers").alias("numbers"),
-        F.collect_list(F.struct("feature", "bin", "size")).alias("cells"))
-
-
-def binned_terms(featured: DataFrame, features: Sequence[str], game: Game, window: int = HISTORY_WINDOW,
-                 prior: int = SHRINKAGE_DRAWS) -> DataFrame:
-    """Grid of draws past the warm-up with ``frequency`` (occurrences in the last ``window`` draws) and one
-    shrunk score per feature under the feature's name:
-    (occurrences in the bin + prior * frequency / window) / (draws in the bin + prior).
-
-    One shuffle by (series, number) carries the grid. Spreading the features into rows, the running total per
-    bin and the way back to one row per draw and number all stay inside that partitioning."""
-    enter = F.transform(F.sequence(F.lit(1), F.lit(game.pool)), lambda n: F.struct(
-        n.alias("number"), F.col("draw_idx").alias("at"), F.array_contains("numbers", n).cast("int").alias("delta"),
-        F.lit(0).alias("leaving")))
-    leave = F.transform("numbers", lambda n: F.struct(
-        n.alias("number"), (F.col("draw_idx") + window).alias("at"), F.lit(-1).alias("delta"), F.lit(1).alias("leaving")))
-    moves = bin_cells(featured, features, window).select(
-        "series", "draw_date", "cells", F.explode(F.concat(enter, leave)).alias("move")).select(
-        "series", "draw_date", "cells", "move.*")
-
-    def total(*keys: str) -> Column:
-        in_order = Window.partitionBy("series", "number", *keys).orderBy("at", "leaving")
-        return F.coalesce(F.sum("delta").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-    counted = spread(moves, "series", "number").withColumn("frequency", total())
-    cells = counted.select("series", "number", "at", "leaving", "delta", "draw_date", "frequency", F.inline("cells")).withColumn(
-        "in_bin", total("feature", "bin")).filter((F.col("leaving") == 0) & (F.col("at") >= window))
-    score = (F.col("in_bin") + prior * F.col("frequency") / window) / (F.col("size") + prior)
-    return cells.withColumn("score", score).groupBy("series", "number", F.col("at").alias("draw_idx")).agg(
-        F.first("draw_date").alias("draw_date"), F.first("delta").alias("hit"),
-        F.first("frequency").cast("double").alias("frequency"),
-        *[F.max(F.when(F.col("feature") == i, F.col("score"))).alias(f) for i, f in enumerate(features)])
-
-
-def model_scores(terms: DataFrame, models: dict[str, tuple[str, ...]] = BINNED_MODELS) -> DataFrame:
-    """One score column per model: the mean of its feature scores, added in model order so that equal scores
-    stay equal."""
-    def mean(features: tuple[str, ...]) -> Column:
-        total = F.lit(0.0)
-        for feature in features:
-            total = total + F.col(feature)
-        return total / len(features)
-
-    return terms.select("series", "draw_idx", "draw_date", "number", "hit", "frequency",
-                        *[mean(f).alias(m) for m, f in models.items()])

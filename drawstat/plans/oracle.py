@@ -349,10 +349,6 @@ ORACLE["weekly_saved_matches"] = WEEKLY_BINNED + "," + LAST + """
 SELECT series, method, ticket, numbers, hits, hit_count, CAST(sum(hit_count) OVER (PARTITION BY method) AS BIGINT) AS method_total FROM (
 SELECT last.series, method, ticket, dr.numbers, array_to_string(list_filter(ticket_nums, lambda x: list_contains(dr.nums, x)), ',') AS hits,
 CAST(last.hits AS INTEGER) AS hit_count FROM last JOIN dr ON dr.series = last.series AND dr.draw_idx = dr.n_draws - 1)"""
-ORACLE["leaderboard"] = WEEKLY_BINNED + "," + POOLED + "," + tested("totals", 5, "") + f"""
-SELECT method, total_hits, round(trials * {E5}, 9) AS expected_hits, round(total_hits - trials * {E5}, 9) AS surplus, abs(round(holm_p, 9)) AS holm_p,
-round(least(100.0, total_hits / (trials * {E5} * 1.08::DOUBLE) * 100), 9) AS bar_width,
-CAST(row_number() OVER (ORDER BY total_hits DESC, list_position({list(BINNED_MODELS)}, method)) AS INTEGER) AS position FROM tested"""
 
 
 def shifts(source: str, seed: int, count: int, distinct: bool) -> str:
@@ -370,6 +366,63 @@ SELECT series, i, CAST(1 + floor(u * (n_draws - 1)) AS INTEGER) AS shift FROM un
 ORACLE["shift_values"] = shifts(DAILY, SHIFT_SEED, SHIFT_REPLICATES, True)
 ORACLE["shift_values_weekly"] = shifts(WEEKLY, WHEEL_SHIFT_SEED, WHEEL_SHIFT_REPLICATES, False)
 
+def shift_tests(source: str, pick: int, seed: int, count: int, distinct: bool, pooled: bool) -> str:
+    """Exact and circular-shift tests of every model: two 128-bit halves of the window for every number and every
+    cell, their common bits for every replicate, plain window ranks for the tickets."""
+    w, prior, half = HISTORY_WINDOW, SHRINKAGE_DRAWS, HISTORY_WINDOW // 2
+    listed = shifts(source, seed, count, distinct)
+
+    def halves(off: str) -> str:
+        return (f"sum(CASE WHEN {off} < {half} THEN 1::HUGEINT << ({off})::INTEGER ELSE 0 END)::HUGEINT AS m1, "
+                f"sum(CASE WHEN {off} >= {half} THEN 1::HUGEINT << ({off} - {half})::INTEGER ELSE 0 END)::HUGEINT AS m2")
+
+    wide = ", ".join(f"max(CASE WHEN f = '{f}' THEN m1 END) AS m1_{f}, max(CASE WHEN f = '{f}' THEN m2 END) AS m2_{f}, max(CASE WHEN f = '{f}' THEN s END) AS s_{f}"
+                     for f in FEATURES)
+    models = ", ".join(
+        "(" + " + ".join(f"(bit_count(n.m1 & b.m1_{f}) + bit_count(n.m2 & b.m2_{f}) + {prior} * n.g / {w}::DOUBLE) / (b.s_{f} + {prior})::DOUBLE" for f in fs)
+        + f") / {len(fs)} AS {m}" for m, fs in BINNED_MODELS.items())
+    long = " UNION ALL ".join(f"SELECT series, replicate, draw_idx, number, hit, '{m}' AS method, {m} AS score FROM scored" for m in BINNED_MODELS)
+    keys, family = ("", "") if pooled else ("series, ", "series")
+    return with_(source, sky_cte(DRAW_DAYS), POOL, f"""
+reps AS (SELECT series, CAST(0 AS INTEGER) AS replicate, CAST(0 AS INTEGER) AS shift FROM (SELECT DISTINCT series FROM dd)
+    UNION ALL SELECT series, position + 1, shift FROM ({listed})),
+nm AS (SELECT d.series, d.draw_idx, h.number, {halves(f"(h.draw_idx - d.draw_idx + {w})")}, count(*) AS g FROM dd d
+    JOIN hits h ON h.series = d.series AND h.draw_idx BETWEEN d.draw_idx - {w} AND d.draw_idx - 1 WHERE d.draw_idx >= {w} GROUP BY 1, 2, 3),
+fb AS (UNPIVOT (SELECT series, draw_idx, n_draws, {", ".join(FEATURES)} FROM dd JOIN bins USING (draw_date)) ON {", ".join(FEATURES)} INTO NAME f VALUE bin),
+turned AS (SELECT q.series, q.draw_idx AS position, q.f, {halves(f"({w - 1} - back)")}, count(*) AS s FROM (
+    SELECT q.series, q.draw_idx, q.f, (q.draw_idx - p.draw_idx - 1 + q.n_draws) % q.n_draws AS back FROM fb q
+    JOIN fb p ON p.series = q.series AND p.f = q.f AND p.bin = q.bin) q WHERE back < {w} GROUP BY 1, 2, 3),
+met AS (SELECT series, position, {wide} FROM (SELECT dd.series, dd.draw_idx AS position, e.f, coalesce(m1, 0) AS m1, coalesce(m2, 0) AS m2, coalesce(s, 0) AS s
+    FROM dd CROSS JOIN (SELECT DISTINCT f FROM fb) e LEFT JOIN turned ON turned.series = dd.series AND turned.position = dd.draw_idx AND turned.f = e.f) GROUP BY 1, 2),
+dense AS (SELECT d.series, d.draw_idx, d.n_draws, p.number, coalesce(m1, 0) AS m1, coalesce(m2, 0) AS m2, coalesce(g, 0) AS g,
+    CASE WHEN h.number IS NULL THEN 0 ELSE 1 END AS hit FROM dd d CROSS JOIN pool p
+    LEFT JOIN nm ON nm.series = d.series AND nm.draw_idx = d.draw_idx AND nm.number = p.number
+    LEFT JOIN hits h ON h.series = d.series AND h.draw_idx = d.draw_idx AND h.number = p.number WHERE d.draw_idx >= {w}),
+scored AS (SELECT n.series, r.replicate, n.draw_idx, n.number, n.hit, {models} FROM dense n JOIN reps r ON r.series = n.series
+    JOIN met b ON b.series = n.series AND b.position = (n.draw_idx + r.shift) % n.n_draws),
+long AS ({long}),
+capped AS (SELECT *, row_number() OVER (PARTITION BY series, replicate, draw_idx, method, (number - 1) // 10 ORDER BY score DESC, number) AS in_decade FROM long),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY series, replicate, draw_idx, method ORDER BY score DESC, number) AS place FROM capped WHERE in_decade <= 3),
+tallies AS (SELECT {keys}replicate, method, CAST(sum(hit) AS BIGINT) AS total_hits, count(*) // {pick} AS trials FROM ranked WHERE place <= {pick} GROUP BY ALL),
+totals AS (SELECT {keys}method, trials, total_hits FROM tallies WHERE replicate = 0),
+turns AS (SELECT {keys}method, (1 + count(*) FILTER (tallies.total_hits >= totals.total_hits)) / (count(*) + 1)::DOUBLE AS shift_p
+    FROM tallies JOIN totals USING ({keys}method) WHERE replicate > 0 GROUP BY ALL)""", tested("totals", pick, family), f"""
+two AS (SELECT {keys}method AS model, trials, total_hits, 'exact_uniform_upper' AS test, upper_p AS raw_p FROM tested
+    UNION ALL SELECT {keys}method, trials, total_hits, 'circular_shift_upper', shift_p FROM totals JOIN turns USING ({keys}method)),
+joint AS (SELECT * EXCLUDE (step, m), max(least(1.0, (m - step) * raw_p)) OVER ({f"PARTITION BY {family}" if family else ""} ORDER BY raw_p ROWS UNBOUNDED PRECEDING) AS holm_p FROM (
+    SELECT *, row_number() OVER ({f"PARTITION BY {family}" if family else ""} ORDER BY raw_p) - 1 AS step, count(*) OVER ({f"PARTITION BY {family}" if family else ""}) AS m FROM two))""")
+
+
+JOINT = "model, trials, total_hits, test, abs(round(raw_p, 9)) AS raw_p, abs(round(holm_p, 9)) AS holm_p FROM joint"
+ORACLE["shift_tests"] = shift_tests(DAILY, 6, SHIFT_SEED, SHIFT_REPLICATES, True, False) + "SELECT series, " + JOINT
+WEEKLY_SHIFTED = shift_tests(WEEKLY, 5, WHEEL_SHIFT_SEED, WHEEL_SHIFT_REPLICATES, False, True)
+ORACLE["shift_tests_weekly"] = WEEKLY_SHIFTED + "SELECT " + JOINT
+ORACLE["leaderboard"] = WEEKLY_SHIFTED + f"""
+SELECT model AS method, total_hits, round(trials * {E5}, 9) AS expected_hits, round(total_hits - trials * {E5}, 9) AS surplus, abs(round(holm_p, 9)) AS holm_p,
+round(least(100.0, total_hits / (trials * {E5} * 1.08::DOUBLE) * 100), 9) AS bar_width,
+CAST(row_number() OVER (ORDER BY total_hits DESC, list_position({list(BINNED_MODELS)}, model)) AS INTEGER) AS position FROM joint WHERE test = 'exact_uniform_upper'"""
+
+
 # ------------------------------------------------------------------------- reports
 
 

@@ -43,6 +43,7 @@ WHEEL_SHIFT_REPLICATES = 99
 NULL_REPLICATES = 20000
 PAIR_REPLICATES = 10000
 FORWARD_TARGET = 100
+MOST_BINS = 12
 
 # Features of each date-conditioned model, in scoring order.
 BINNED_MODELS: dict[str, tuple[str, ...]] = {

@@ -29,10 +29,11 @@ def order_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.bit_or(F.when(F.col("n") < half, F.call_function("shiftleft", one, F.col("n").cast("int")))).alias("low"),
         F.bit_or(F.when(F.col("n") >= half, F.call_function("shiftleft", one, (F.col("n") - half).cast("int")))).alias("high"))
 
-    def listed(mask: str, base: int) -> list[Column]:
-        return [F.when(F.getbit(F.col(mask), F.lit(i)) == 1, base + i).otherwise(0) for i in range(half)]
+    def listed(mask: str, base: int) -> Column:
+        # a narrow loop over the bits; one expression per bit would outgrow what the JVM compiles
+        return F.filter(F.sequence(F.lit(base), F.lit(base + half - 1)), lambda n: F.getbit(F.col(mask), n - base) == 1)
 
-    numbers = F.array_remove(F.array(*listed("low", 1), *listed("high", 1 + half)), 0)
+    numbers = F.concat(listed("low", 1), listed("high", 1 + half))
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("order_date"))
     return orders.join(sets, orders.o_orderkey == sets.l_orderkey).select(
