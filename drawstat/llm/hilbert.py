@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve over document metadata.
 
-Each dimension is cut into 2**bits cells at quantiles of all rows; cells of all dimensions give a position on
+Each dimension is cut into 2**bits cells at quantiles of all rows, texts in the order of the whole text; cells of all dimensions give a position on
 the curve, rows are sorted by it, and shards are equal runs of that order. Neighbours on the curve are near in
 every dimension, so the minima and maxima of a shard's files are narrow in each of them and a filter on any
 dimension skips files.
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,21 +23,32 @@ BITS = 5
 SHARDS = 24
 
 
-def ordinal(rows: DataFrame, name: str) -> Column:
-    """A dimension as a number in the order of its values: numbers as they are, texts by their first seven bytes."""
-    if isinstance(rows.schema[name].dataType, T.NumericType):
-        return F.col(f"`{name}`").cast("double")
-    head = F.rpad(F.hex(F.substring(F.encode(F.col(f"`{name}`").cast("string"), "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("double")
+def is_number(rows: DataFrame, name: str) -> bool:
+    return isinstance(rows.schema[name].dataType, T.NumericType)
 
 
 def cut_points(rows: DataFrame, dimensions: tuple[str, ...], bits: int) -> dict[str, list[float]]:
-    """Inner quantiles of every dimension over all rows, from one aggregate that combines before it moves."""
+    """Inner quantiles of every number among the dimensions over all rows, from one aggregate that combines before it moves."""
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    row = rows.agg(*[F.percentile_approx(ordinal(rows, d), steps, 10_000).alias(f"c{i}") for i, d in enumerate(dimensions)]).first()
+    row = rows.agg(*[F.percentile_approx(F.col(f"`{d}`").cast("double"), steps, 10_000).alias(f"c{i}") for i, d in enumerate(dimensions)]).first()
     return {d: sorted(set(row[f"c{i}"] or [])) for i, d in enumerate(dimensions)}
 
 
+def text_cells(rows: DataFrame, name: str, bits: int) -> DataFrame:
+    """(value, cell) of every distinct text of a dimension: how many of 2**bits equal shares of the rows come before it, in the
+    order of whole texts. Values are counted before they move, sorted by ranges, and their counts summed up in
+    that order: within a task from the sum of the tasks before."""
+    values = rows.groupBy(F.col(f"`{name}`").cast("string").alias("value")).agg(F.count("*").alias("n")).filter("value IS NOT NULL")
+    ranged = values.repartitionByRange(slots(rows.sparkSession), "value").sortWithinPartitions("value")
+    placed = keep(ranged.withColumn("place", F.monotonically_increasing_id()), "values").withColumn("part", F.shiftright("place", 33))
+    before, every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # one row per task
+    parts = placed.groupBy("part").agg(F.sum("n").alias("held")).select(
+        "part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"), F.sum("held").over(every).alias("total"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = placed.withColumn("inside", inside).join(F.broadcast(parts), "part")
+    return keep(ranked.select("value", F.expr(f"(start + inside) * {1 << bits} div total").cast("int").alias("cell")), "value-cells")
+
+
 def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
     """Position on the Hilbert curve of integer cells (rows, dimensions): undo the rotations from the highest bit
     down, Gray-decode across the dimensions, then interleave the bits."""
@@ -65,15 +76,17 @@ def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def with_curve(rows: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, name: str = "curve") -> DataFrame:
-    """``rows`` with their position on the curve. A null takes the lowest cell of its dimension."""
-    cuts = cut_points(rows, dimensions, bits)
-    cells = []
-    for d in dimensions:
-        value = ordinal(rows, d)
-        above = [F.when(value > c, 1).otherwise(0) for c in cuts[d]]
-        cells.append(sum(above, F.lit(0)).cast("int"))
-    width = len(rows.columns)
-    placed = rows.select("*", *[c.alias(f"{name}_{i}") for i, c in enumerate(cells)])
+    """Written ``rows`` with their position on the curve. A null takes the lowest cell of its dimension."""
+    cuts = cut_points(rows, tuple(d for d in dimensions if is_number(rows, d)), bits) if any(is_number(rows, d) for d in dimensions) else {}
+    placed, width = rows, len(rows.columns)
+    for i, d in enumerate(dimensions):
+        if d in cuts:
+            above = [F.when(F.col(f"`{d}`").cast("double") > c, 1).otherwise(0) for c in cuts[d]]
+            placed = placed.withColumn(f"{name}_{i}", sum(above, F.lit(0)).cast("int"))
+        else:
+            cells = text_cells(rows, d, bits).select(F.col("value").alias(f"{name}_value"), F.col("cell").alias(f"{name}_{i}"))
+            placed = placed.join(cells, F.col(f"`{d}`").cast("string") == F.col(f"{name}_value"), "left").drop(f"{name}_value")
+            placed = placed.withColumn(f"{name}_{i}", F.coalesce(f"{name}_{i}", F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +103,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...
     Rows are sorted by curve, checksum of the text (equal texts with equal metadata are neighbours) and id; the
     order is cut into ``shards`` runs whose counts are at most one apart. Size is the UTF-8 bytes of
     the text plus 8, 8 for null. Rows alike in all of this get neighbouring slots in any order. A cell of any
-    size is spread over many tasks, as the whole sort key divides the rows."""
+    size is spread over many tasks, as the whole sort key divides the rows. An empty table gives no rows."""
     spark = docs.sparkSession
     text = F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8")
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_key"),

@@ -1,6 +1,7 @@
 """Hilbert shards: the curve, the law of rows, pruning, odd rows."""
 
 import itertools
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -49,6 +50,33 @@ def test_rows_law(spark):
     assert {r.doc_id: (r.shard, r.slot) for r in again} == {r.doc_id: (r.shard, r.slot) for r in found}
 
 
+def plain_cells(values, bits, numeric):
+    """Quantile cells by sorting all values: texts by the rows before them, numbers by the cut points they exceed."""
+    held = sorted((v for v in values if v is not None), key=(lambda v: v) if numeric else (lambda v: v.encode()))
+    if numeric:
+        cuts = {held[math.ceil(i / (1 << bits) * len(held)) - 1] for i in range(1, 1 << bits)} if held else set()
+        return {v: sum(v > c for c in cuts) if v is not None else 0 for v in set(values)}
+    first = {v: i for i, v in reversed(list(enumerate(held)))}
+    return {v: 0 if v is None else first[v] * (1 << bits) // len(held) for v in set(values)}
+
+
+def test_curve_equals_sort_and_cut(spark):
+    """Sources that share a long prefix, one of them a third of all rows."""
+    rng = np.random.default_rng(6)
+    docs = [(i, f"t{i}", ["en", "de", "fr", None][i % 4], "https://example.org/very/long/prefix/" + ("hot" if i % 3 == 0 else str(int(rng.integers(200)))),
+             int(rng.integers(1, 9000)) if i % 40 else None) for i in range(3000)]
+    cells = [plain_cells([d[k] for d in docs], hilbert.BITS, k == 4) for k in (2, 3, 4)]
+    grid = np.array([[c[d[k]] for c, k in zip(cells, (2, 3, 4))] for d in docs])
+    expected = dict(zip([d[0] for d in docs], hilbert.curve_index(grid, hilbert.BITS).tolist()))
+    found = hilbert.shard_rows(spark.createDataFrame(docs, SCHEMA).repartition(6)).collect()
+    assert {r.doc_id: r.curve for r in found} == expected
+    assert len({c for v, c in cells[1].items()}) > 15  # the shared prefix does not hide the dimension
+    order = sorted(docs, key=lambda d: (expected[d[0]], zlib.crc32(d[1].encode()), d[0]))
+    sizes = [len(docs) // 24 + (k < len(docs) % 24) for k in range(24)]
+    assert Counter(r.shard for r in found) == {k: n for k, n in Counter(r.shard for r in found).items() if n in set(sizes)}
+    assert [d[0] for d in order] == [r.doc_id for r in sorted(found, key=lambda r: (r.shard, r.slot))]
+
+
 def test_files_prune_in_every_dimension(spark, tmp_path):
     rows = spark.createDataFrame([d for d in corpus(2000) if d[2] and d[4]], SCHEMA)
     hilbert.write_shards(rows, str(tmp_path / "s"), shards=24)
