@@ -153,13 +153,19 @@ FROM lines LEFT JOIN kept ON lines.doc_id = kept.doc_id
 WITH masks(m, o) AS (VALUES (0, [0, 1, 2, 3, 4]), (1, [0, 1, 5, 6, 8]), (2, [0, 3, 5, 7, 8]), (3, [0, 1, 4, 6, 7])),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
-dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5),
-ip AS (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i WHERE len(w) >= 5),
+lost(n, runs) AS (SELECT n, n - ceil(0.8 * n - 1e-9)::INTEGER + 1 FROM (SELECT unnest(range(1, 14)) AS n)),
+runs AS (SELECT n, (k * n) // runs AS a, ((k + 1) * n) // runs AS b FROM (SELECT n, runs, unnest(range(0, runs)) AS k FROM lost)),
+dp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+ip AS (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i WHERE len(w) >= 14),
 ds AS (SELECT doc_id, p, m, concat_ws(' ', w[p + o[1]], w[p + o[2]], w[p + o[3]], w[p + o[4]], w[p + o[5]]) AS s
        FROM dp, masks WHERE p + o[5] <= len(w)),
 js AS (SELECT item_id, p, m, concat_ws(' ', w[p + o[1]], w[p + o[2]], w[p + o[3]], w[p + o[4]], w[p + o[5]]) AS s
        FROM ip, masks WHERE p + o[5] <= len(w)),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.p - js.p AS g FROM ds JOIN js ON ds.m = js.m AND ds.s = js.s),
+hits AS (
+  SELECT DISTINCT doc_id, item_id, ds.p - js.p AS g FROM ds JOIN js ON ds.m = js.m AND ds.s = js.s
+  UNION
+  SELECT DISTINCT doc_id, item_id, dp.p - 1 - runs.a AS g FROM i JOIN runs ON runs.n = len(i.w)
+  JOIN dp ON array_to_string(dp.w[dp.p:dp.p + runs.b - runs.a - 1], ' ') = array_to_string(i.w[runs.a + 1:runs.b], ' ')),
 flags AS (
   SELECT doc_id, item_id, g, least(len(i.w), 20) AS c, len(i.w) AS n,
          [CASE WHEN q + g >= 1 AND d.w[q + g] = i.w[q] THEN 1 ELSE 0 END FOR q IN range(1, len(i.w) + 1)] AS f
