@@ -20,9 +20,13 @@ from drawstat.settings import (BINNED_MODELS, HISTORY_WINDOW, NULL_REPLICATES, S
 BINNED_METHODS = (*BINNED_MODELS, "frequency")
 
 
-def prepared(raw: DataFrame, game: Game = SINGLE_GAME, keep: str = "first", series: str = "all", **recorded) -> DataFrame:
-    """Validate, deduplicate, check coverage against recorded values and index raw archive rows."""
-    valid = require_valid(with_violations(raw, game, "date_text" if "date_text" in raw.columns else None, "bonus" in raw.columns))
+def prepared(raw: DataFrame, game: Game = SINGLE_GAME, keep: str = "first", series: str = "all", bonus_required: bool = True, **recorded) -> DataFrame:
+    """Validate, deduplicate, check coverage against recorded values and index raw archive rows. Unless ``bonus_required``
+    an empty bonus is valid; one that is there must be valid in any case."""
+    checked = with_violations(raw, game, "date_text" if "date_text" in raw.columns else None, "bonus" in raw.columns)
+    if not bonus_required and "bonus" in raw.columns:
+        checked = checked.withColumn("violations", F.when(F.col("bonus").isNull(), F.array_remove("violations", "bonus")).otherwise(F.col("violations")))
+    valid = require_valid(checked)
     compare = ("numbers", "bonus") if "bonus" in raw.columns else ("numbers",)
     unique = dedup_by_date(valid, keep, compare)
     require_coverage(coverage(unique), **recorded)

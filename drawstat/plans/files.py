@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from drawstat.operators.advance import advance
 from drawstat.operators.draws import dedup_by_date
 from drawstat.plans.experiments import prepared
-from drawstat.plans.ledgers import stored_ledgers
+from drawstat.plans.ledgers import ledgers_and_rest, with_short
 from drawstat.settings import ARCHIVE_BONUS, ARCHIVE_DATE
 from drawstat.sources.archive import archive_columns, read_archives
 from drawstat.sources.documents import BASELINE_LEDGER, LEDGER, nested_document
@@ -28,10 +28,9 @@ def archive_files(draws: DataFrame) -> DataFrame:
     """Two archives, the second one a supplement that repeats the draws of even years with another bonus, read back,
     validated, deduplicated (the first archive wins) and indexed; conflicts are counted before they are dropped."""
     spark, folder = draws.sparkSession, shared_folder(draws.sparkSession, "archives")
-    full = draws.filter("bonus IS NOT NULL")
-    write_archive(full, f"{folder}/archive")
+    write_archive(draws, f"{folder}/archive")
     other = F.when(F.array_contains("numbers", F.lit(90)) | (F.col("bonus") == 90), F.col("bonus")).otherwise(90)
-    write_archive(full.filter(F.year("draw_date") % 2 == 0).withColumn("bonus", other), f"{folder}/supplement")
+    write_archive(draws.filter(F.year("draw_date") % 2 == 0).withColumn("bonus", other), f"{folder}/supplement")
     unique = dedup_by_date(read_archives(spark, [f"{folder}/archive", f"{folder}/supplement"]), "first")
     return unique.select("draw_date", "numbers", "bonus", "n_rows", "conflict")
 
@@ -39,8 +38,8 @@ def archive_files(draws: DataFrame) -> DataFrame:
 def prepared_archive(draws: DataFrame) -> DataFrame:
     """One archive read, validated, checked for coverage and indexed, as an experiment starts."""
     spark, path = draws.sparkSession, shared_folder(draws.sparkSession, "archive")
-    write_archive(draws.filter("bonus IS NOT NULL"), path)
-    return prepared(read_archives(spark, [path])).select("series", "draw_idx", "n_draws", "draw_date", "numbers", "bonus")
+    write_archive(draws, path)
+    return prepared(read_archives(spark, [path]), bonus_required=False).select("series", "draw_idx", "n_draws", "draw_date", "numbers", "bonus")
 
 
 def page_files(pages: DataFrame, names: list[str]) -> DataFrame:
@@ -53,7 +52,7 @@ def page_files(pages: DataFrame, names: list[str]) -> DataFrame:
 
 def ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledgers and a receipt as JSON documents, read back with their schemas and advanced."""
-    ledgers, history, draws = stored_ledgers(spark, sf_dir)
+    ledgers, history, draws, short = ledgers_and_rest(spark, sf_dir)
     folder = shared_folder(spark, "ledger-files")
     receipt = ledgers.select("series", F.struct(*[F.to_json(c, {"ignoreNullFields": "false"}).alias(c) for c in ("integrated", "baseline")]).alias("before"))
     create_json(receipt, f"{folder}/receipt")
@@ -61,14 +60,14 @@ def ledger_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = back.select("series", nested_document(F.col("before.integrated"), LEDGER).alias("integrated"),
                        nested_document(F.col("before.baseline"), BASELINE_LEDGER).alias("baseline"))
     out = advance(read, history, draws)
-    return out.select("series", "outcome", F.col("integrated.processedDraws").alias("processed_draws"),
-                      F.aggregate("integrated.results", F.lit(0), lambda n, r: n + r["mainHits"]).alias("hits_so_far"),
-                      F.col("integrated.nextPrediction").alias("next_integrated"))
+    return with_short(out.select("series", "outcome", F.col("integrated.processedDraws").alias("processed_draws"),
+                                 F.aggregate("integrated.results", F.lit(0), lambda n, r: n + r["mainHits"]).alias("hits_so_far"),
+                                 F.col("integrated.nextPrediction").alias("next_integrated")), short)
 
 
 def experiment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An experiment saved, saved again unchanged and once more with one changed series: the preservation report."""
-    ledgers, *_ = stored_ledgers(spark, sf_dir)
+    ledgers, _, _, short = ledgers_and_rest(spark, sf_dir)
     folder = shared_folder(spark, "experiment")
     paths = {k: f"{folder}/{k}" for k in ("evaluation", "forward", "baseline_forward", "rerun")}
     forward = ledgers.select("series", "integrated.*")
@@ -87,5 +86,6 @@ def experiment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
              changed["coverage"], changed["nextPrediction"], file_hashes(spark, paths["forward"]) == hashes)]
     report = spark.createDataFrame(rows, "first_run string, second_run string, baseline string, history_matches boolean, same_coverage boolean, "
                                          "same_tickets boolean, files_unchanged boolean")
-    saved = spark.read.schema(evaluation.schema).json(paths["rerun"]).select("series", F.col("generatedAt").alias("rerun_of"), "coverage.draws")
-    return saved.join(F.broadcast(report))  # one row
+    saved = spark.read.schema(evaluation.schema).json(paths["rerun"]).select(
+        "series", F.col("generatedAt").alias("rerun_of"), "coverage.draws", F.aggregate("rows", F.lit(0), lambda n, r: n + r["mainHits"]).alias("hits"))
+    return with_short(saved.join(F.broadcast(report)), short, "first_run")  # one row

@@ -13,11 +13,11 @@ from drawstat.operators.tickets import capped_tickets
 from drawstat.settings import BASELINE_WINDOW, FORWARD_SEED, FORWARD_TARGET, HISTORY_WINDOW, HORIZONS, SINGLE_GAME
 from drawstat.sources.documents import BASELINE_LEDGER, INTEGRATED_RESULT, LEDGER, LIVE_DRAW, RESULT, as_struct, predictions_long
 from drawstat.sources.sinks import create_json
-from drawstat.sources.tables import raw_announcements
+from drawstat.sources.tables import NO_PRIORITY, raw_announcements, table
 from drawstat.streaming.storage import shared_folder, stored
 
-PROCESSED = 20  # draws a derived ledger holds already
-SHORTEST = HISTORY_WINDOW + PROCESSED + 2
+SHORTEST = HISTORY_WINDOW + 2  # a warm-up, a draw that is processed already and the new one
+SHORT = "HISTORY_SHORT"        # outcome of a shorter series
 
 #: Variant -> outcome; the first eight change the draw, the next the documents, the last the history.
 VARIANTS = {
@@ -32,14 +32,39 @@ def _document(fields: dict[str, Column], schema: str) -> Column:
     return F.struct(*[c.alias(n) for n, c in fields.items()]).cast(as_struct(schema))
 
 
-def stored_ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per priority with enough valid draws: the ledgers after all draws but the last, the draws before it, and the
-    last one as a live document. Draws and documents are written to shared storage, as ledgers are."""
-    valid = with_violations(raw_announcements(spark, sf_dir), SINGLE_GAME).filter(F.size("violations") == 0).drop("violations")
+def valid_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first valid draw of every date per priority, indexed and written."""
+    raw = raw_announcements(spark, sf_dir).withColumn("source", F.coalesce("source", F.lit(NO_PRIORITY)))
+    valid = with_violations(raw, SINGLE_GAME).filter(F.size("violations") == 0).drop("violations")
     unique = dedup_by_date(valid, "first", keys=("source", "draw_date")).withColumnRenamed("source", "series")
     indexed = with_index(unique.select("series", "draw_date", "numbers", "bonus", (F.col("source_ord") % 90 + 1).cast("int").alias("superstar")))
-    indexed = stored(indexed.filter(F.col("n_draws") >= SHORTEST), "ledger-draws")
-    first = F.col("n_draws") - 1 - PROCESSED
+    return stored(indexed, "ledger-draws")
+
+
+def ledgers_and_rest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``stored_ledgers`` and the priorities too short for one: (series, draws)."""
+    indexed = valid_draws(spark, sf_dir)
+    counts = indexed.groupBy("series").agg(F.count("*").alias("draws"))
+    names = table(spark, sf_dir, "orders").select(F.coalesce("o_orderpriority", F.lit(NO_PRIORITY)).alias("series")).distinct()
+    short = names.join(counts, "series", "left").select("series", F.coalesce("draws", F.lit(0)).cast("bigint").alias("draws"))
+    return *_ledgers(indexed.filter(F.col("n_draws") >= SHORTEST)), stored(short.filter(F.col("draws") < SHORTEST), "short-series")
+
+
+def stored_ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per priority with enough valid draws: the ledgers after all draws past the warm-up but the last (in a long series
+    they start later, so that the last one reaches the target), the draws before it, and the last one as a live
+    document. Draws and documents are written to shared storage, as ledgers are."""
+    return ledgers_and_rest(spark, sf_dir)[:3]
+
+
+def with_short(rows: DataFrame, short: DataFrame, outcome: str = "outcome") -> DataFrame:
+    """Add the series that have no ledger, with an outcome of their own and nothing else."""
+    return rows.unionByName(short.select("series", F.lit(SHORT).alias(outcome)), allowMissingColumns=True)
+
+
+def _ledgers(indexed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    first = F.greatest(F.lit(HISTORY_WINDOW), F.col("n_draws") - FORWARD_TARGET)
+    held_draws = F.col("n_draws") - 1 - first
     source = F.lit(None).cast("struct<type: string, path: string, officialVerification: string, officialQuota: double>")
     draw = _document({"date": F.date_format("draw_date", "yyyy-MM-dd"), "contest": F.col("draw_idx") + 1, "numbers": F.col("numbers"),
                       "jolly": F.col("bonus"), "superstar": F.col("superstar"), "source": source}, LIVE_DRAW)
@@ -52,17 +77,17 @@ def stored_ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     position, one, d = F.col("draw_idx") - first, F.lit(1), F.col("draw")
     frequency, random = result_of(F.col("frequency52_ticket"), one, d), result_of(F.col("random_ticket"), one, d)
     own = result_of(F.col("integrated_ticket"), one, d).withField("comparators", F.struct(frequency.alias("frequency52"), random.alias("random")))
-    held, new = position < PROCESSED, position == PROCESSED
+    held, new = position < held_draws, position == held_draws
 
     def listed(result: Column, kind: str) -> Column:
         entries = F.sort_array(F.collect_list(F.when(held, F.struct(position.alias("at"), result.cast(kind).alias("r")))))
         return F.transform(entries, lambda e: e["r"])
 
-    # one row per series, at most PROCESSED + 1 draws each
+    # one row per series, at most as many draws as the target
     grouped = rows.groupBy("series").agg(
         listed(own, INTEGRATED_RESULT).alias("own"), listed(frequency, RESULT).alias("other"),
         *[F.max(F.when(new, F.col(f"{m}_ticket"))).alias(m) for m in ("integrated", "frequency52", "random")],
-        F.max(F.when(position == PROCESSED - 1, d["date"])).alias("last"), F.max_by("draw", "draw_idx").alias("draw"))
+        F.max(F.when(position == held_draws - 1, d["date"])).alias("last"), F.max_by("draw", "draw_idx").alias("draw"))
     number, text, no = (lambda v: F.lit(v).cast("int")), F.lit("derived"), F.lit(False)
     integrated = _document({
         "status": F.lit("ACTIVE"), "createdAt": text, "startsAfterDrawDate": text, "protocolRevision": number(1), "targetDraws": number(FORWARD_TARGET),
@@ -91,7 +116,7 @@ def stored_ledgers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def bad_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome of every variant for every series; a variant of a series is a series of its own."""
-    ledgers, history, draws = stored_ledgers(spark, sf_dir)
+    ledgers, history, draws, rest = ledgers_and_rest(spark, sf_dir)
     names = F.explode(F.array(*map(F.lit, VARIANTS))).alias("variant")
     key = F.concat_ws("#", "variant", "series").alias("series")
     cases = ledgers.join(draws, "series").select("*", names)
@@ -123,13 +148,13 @@ def bad_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = history.join(latest, "series").select("*", names).filter((F.col("variant") != "history_short") | (F.col("draw_date") < F.col("latest")))
     out = advance(bad.drop("draw"), short.select(key, "draw_date", "numbers"), bad.select("series", "draw"))
     parts = F.split("series", "#", 2)
-    return out.select(parts[1].alias("series"), parts[0].alias("variant"), "outcome")
+    return with_short(out.select(parts[1].alias("series"), parts[0].alias("variant"), "outcome"), rest)
 
 
 def saved_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tickets that the stored ledgers froze, saved as one document, read back and compared with the draw that
     came after them, bonus and superstar included."""
-    ledgers, _, draws = stored_ledgers(spark, sf_dir)
+    ledgers, _, draws, short = ledgers_and_rest(spark, sf_dir)
     i = F.col("integrated")
     tickets = F.create_map(F.lit("integrated"), i["nextPrediction"], F.lit("frequency52"), F.col("baseline.nextPrediction"),
                            F.lit("random"), i["comparators"]["randomBaseline"]["nextPrediction"])
@@ -138,13 +163,14 @@ def saved_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     create_json(ledgers.agg(by_series.alias("predictionsByWheel")), path)
     saved = predictions_long(spark.read.schema("predictionsByWheel map<string, map<string, array<int>>>").json(path))
     actual = draws.select("series", "draw.numbers", F.col("draw.jolly").alias("bonus"), "draw.superstar")
-    return bonus_flags(match_saved(saved, actual).drop("hit_count")).drop("bonus", "superstar")
+    matched = bonus_flags(match_saved(saved, actual).drop("hit_count")).drop("bonus", "superstar")
+    return with_short(matched.withColumn("outcome", F.lit("MATCHED")), short)
 
 
 def ledger_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per stored ledger: draws before it, progress towards its target, and the method with most hits so far
     (ties to the first)."""
-    ledgers, history, _ = stored_ledgers(spark, sf_dir)
+    ledgers, history, _, short = ledgers_and_rest(spark, sf_dir)
     i = F.col("integrated")
 
     def total(hits) -> Column:
@@ -155,6 +181,7 @@ def ledger_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = F.array(*[F.struct(t.alias("hits"), F.lit(-n).alias("rank"), F.lit(m).alias("method")) for n, (m, t) in enumerate(totals.items())])
     held = history.groupBy("series").agg(F.count("*").alias("draws"))
     cards = ledgers.select("series", i["processedDraws"].alias("processed"), i["targetDraws"].alias("target"), F.array_max(ranked).alias("best"))
+    none = short.select("series", "draws", F.lit(f"0/{FORWARD_TARGET}").alias("progress"))
     return cards.join(held, "series").select(
         "series", "draws", F.concat_ws("/", F.col("processed").cast("string"), F.col("target").cast("string")).alias("progress"),
-        F.col("best.method").alias("best_method"), F.col("best.hits").alias("best_hits"))
+        F.col("best.method").alias("best_method"), F.col("best.hits").alias("best_hits")).unionByName(none, allowMissingColumns=True)

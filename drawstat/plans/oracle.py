@@ -505,19 +505,24 @@ SELECT i.series, i.draw_idx, i.ticket AS integrated_ticket, f.ticket AS frequenc
 FROM tk i JOIN tk f USING (series, draw_idx) JOIN rt ON rt.series = i.series WHERE i.method = 'integrated' AND f.method = 'frequency52'"""
 
 FIRST_VALID = RAW + """,
-firsts AS (SELECT source AS series, draw_date, nums, numbers, bonus, source_ord % 90 + 1 AS superstar, row_number() OVER (PARTITION BY source, draw_date ORDER BY source_ord) AS r
+firsts AS (SELECT coalesce(source, '(none)') AS series, draw_date, nums, numbers, bonus, source_ord % 90 + 1 AS superstar, row_number() OVER (PARTITION BY source, draw_date ORDER BY source_ord) AS r
     FROM chk WHERE numbers_ok AND bonus_ok),
 dr AS (SELECT series, draw_date, nums, numbers, bonus, superstar, CAST(row_number() OVER (PARTITION BY series ORDER BY draw_date) - 1 AS INTEGER) AS draw_idx,
     CAST(count(*) OVER (PARTITION BY series) AS INTEGER) AS n_draws FROM firsts WHERE r = 1),
 dd AS (SELECT series, draw_date, draw_idx, n_draws FROM dr),
 hits AS (SELECT series, draw_idx, n_draws, draw_date, unnest(nums) AS number FROM dr)"""
-HELD = 20  # draws the derived ledgers hold already
+LONG_ENOUGH = f"n_draws >= {HISTORY_WINDOW + 2}"
+OPENED = f"greatest({HISTORY_WINDOW}, n_draws - {FORWARD_TARGET})"  # the first draw of a derived ledger
+SHORT = f""",
+short AS (SELECT series, coalesce(n, 0) AS n FROM (SELECT DISTINCT coalesce(o_orderpriority, '(none)') AS series FROM orders)
+    LEFT JOIN (SELECT series, count(*) AS n FROM dd GROUP BY 1) USING (series) WHERE coalesce(n, 0) < {HISTORY_WINDOW + 2})"""
 ORACLE["ledger_advance"] = with_(
-    FIRST_VALID, SCORES, tickets("scores", ("integrated", "frequency52"), 6, f"draw_idx >= n_draws - {HELD + 1} AND n_draws >= {HISTORY_WINDOW + HELD + 2}"),
+    FIRST_VALID + SHORT, SCORES, tickets("scores", ("integrated", "frequency52"), 6, f"draw_idx >= {OPENED} AND {LONG_ENOUGH}"),
     random_tickets(FORWARD_SEED, "series, draw_idx, n_draws", f"""(SELECT DISTINCT series, draw_idx, n_draws FROM steps
-    WHERE draw_idx >= n_draws - 1 AND n_draws >= {HISTORY_WINDOW + HELD + 2})""", f"draw_idx - n_draws + {HELD + 1}")) + f"""
-SELECT d.series, 'PROCESSED' AS outcome, 'ACTIVE' AS status, {HELD + 1} AS processed_draws, {HELD + 1} AS n_results, {HELD + 1} AS baseline_processed,
-{HELD + 1} AS baseline_results, CAST(d.draw_date AS VARCHAR) AS last_processed, d.n_draws AS contest, i.ticket AS integrated_ticket, i.hits AS integrated_hits,
+    WHERE draw_idx >= n_draws - 1 AND {LONG_ENOUGH})""", f"draw_idx - {OPENED}")) + f"""
+SELECT d.series, 'PROCESSED' AS outcome, CASE WHEN d.n_draws - {OPENED} >= {FORWARD_TARGET} THEN 'COMPLETE' ELSE 'ACTIVE' END AS status,
+d.n_draws - {OPENED} AS processed_draws, d.n_draws - {OPENED} AS n_results, d.n_draws - {OPENED} AS baseline_processed, d.n_draws - {OPENED} AS baseline_results,
+CAST(d.draw_date AS VARCHAR) AS last_processed, d.n_draws AS contest, i.ticket AS integrated_ticket, i.hits AS integrated_hits,
 CASE WHEN i.hits = 5 AND list_contains(i.ticket_nums, d.bonus) THEN '5+1' ELSE CAST(i.hits AS VARCHAR) END AS integrated_category,
 CASE WHEN i.hits < 2 THEN -1 END AS integrated_profit, f.hits AS frequency52_hits,
 CAST(len(list_intersect(r.ticket_nums, d.nums)) AS INTEGER) AS random_hits,
@@ -528,29 +533,31 @@ JOIN tk f ON f.series = d.series AND f.draw_idx = d.draw_idx AND f.method = 'fre
 JOIN rt r ON r.series = d.series AND r.draw_idx = d.draw_idx
 JOIN tk ni ON ni.series = d.series AND ni.draw_idx = d.n_draws AND ni.method = 'integrated'
 JOIN tk nf ON nf.series = d.series AND nf.draw_idx = d.n_draws AND nf.method = 'frequency52'
-JOIN rt nr ON nr.series = d.series AND nr.draw_idx = d.n_draws WHERE d.draw_idx = d.n_draws - 1"""
+JOIN rt nr ON nr.series = d.series AND nr.draw_idx = d.n_draws WHERE d.draw_idx = d.n_draws - 1
+UNION ALL BY NAME SELECT series, 'HISTORY_SHORT' AS outcome FROM short""".replace(OPENED, OPENED.replace("n_draws", "d.n_draws"))
 FROZEN = with_(
-    FIRST_VALID, SCORES, tickets("scores", ("integrated", "frequency52"), 6,
-                                 f"draw_idx BETWEEN n_draws - {HELD + 1} AND n_draws - 1 AND n_draws >= {HISTORY_WINDOW + HELD + 2}"),
-    random_tickets(FORWARD_SEED, "series, draw_idx, n_draws", f"""(SELECT * FROM dd
-    WHERE draw_idx >= n_draws - {HELD + 1} AND n_draws >= {HISTORY_WINDOW + HELD + 2})""", f"draw_idx - n_draws + {HELD + 1}"), """
+    FIRST_VALID + SHORT, SCORES, tickets("scores", ("integrated", "frequency52"), 6, f"draw_idx BETWEEN {OPENED} AND n_draws - 1 AND {LONG_ENOUGH}"),
+    random_tickets(FORWARD_SEED, "series, draw_idx, n_draws", f"(SELECT * FROM dd WHERE draw_idx >= {OPENED} AND {LONG_ENOUGH})", f"draw_idx - {OPENED}"), """
 froz AS (SELECT series, draw_idx, method, ticket, ticket_nums FROM tk UNION ALL SELECT series, draw_idx, 'random', ticket, ticket_nums FROM rt),
 met AS (SELECT z.series, z.draw_idx, d.n_draws, method, ticket, ticket_nums, d.numbers, d.nums, d.bonus, d.superstar,
     list_filter(ticket_nums, lambda x: list_contains(d.nums, x)) AS both_nums FROM froz z JOIN dr d ON d.series = z.series AND d.draw_idx = z.draw_idx)""")
 ORACLE["saved_predictions"] = FROZEN + """
-SELECT series, method, ticket, numbers, array_to_string(both_nums, ',') AS hits, CAST(len(both_nums) AS INTEGER) AS hit_count,
+SELECT series, 'MATCHED' AS outcome, method, ticket, numbers, array_to_string(both_nums, ',') AS hits, CAST(len(both_nums) AS INTEGER) AS hit_count,
 CAST(sum(len(both_nums)) OVER (PARTITION BY method) AS BIGINT) AS method_total, list_contains(ticket_nums, bonus) AS bonus_hit,
-list_contains(ticket_nums, superstar) AS superstar_hit FROM met WHERE draw_idx = n_draws - 1"""
+list_contains(ticket_nums, superstar) AS superstar_hit FROM met WHERE draw_idx = n_draws - 1
+UNION ALL BY NAME SELECT series, 'HISTORY_SHORT' AS outcome FROM short"""
 ORACLE["ledger_cards"] = FROZEN + f"""
-SELECT series, CAST(any_value(n_draws) - 1 AS BIGINT) AS draws, '{HELD}/{FORWARD_TARGET}' AS progress,
+SELECT series, CAST(any_value(n_draws) - 1 AS BIGINT) AS draws, any_value(n_draws - 1 - {OPENED}) || '/{FORWARD_TARGET}' AS progress,
 arg_max(method, h * 10 - list_position(['integrated', 'frequency52', 'random'], method)) AS best_method, CAST(max(h) AS INTEGER) AS best_hits
-FROM (SELECT series, method, any_value(n_draws) AS n_draws, sum(len(both_nums)) AS h FROM met WHERE draw_idx < n_draws - 1 GROUP BY 1, 2) GROUP BY 1"""
-ORACLE["ledger_violations"] = with_(FIRST_VALID) + f"""
-SELECT series, variant, outcome FROM (SELECT DISTINCT series FROM dd WHERE n_draws >= {HISTORY_WINDOW + HELD + 2}), (VALUES
+FROM (SELECT series, method, any_value(n_draws) AS n_draws, sum(len(both_nums)) AS h FROM met WHERE draw_idx < n_draws - 1 GROUP BY 1, 2) GROUP BY 1
+UNION ALL BY NAME SELECT series, n AS draws, '0/{FORWARD_TARGET}' AS progress FROM short"""
+ORACLE["ledger_violations"] = with_(FIRST_VALID + SHORT) + f"""
+SELECT series, variant, outcome FROM (SELECT DISTINCT series FROM dd WHERE {LONG_ENOUGH}), (VALUES
 ('number_repeated', 'INVALID_DRAW'), ('jolly_drawn', 'INVALID_DRAW'), ('superstar_missing', 'INVALID_DRAW'), ('no_calendar_day', 'INVALID_DRAW'),
 ('known_equal', 'ALREADY_PROCESSED'), ('known_changed', 'CONFLICT'), ('contest_skipped', 'CONTEST'), ('date_early', 'ALIGNMENT'),
 ('counter_off', 'COUNTERS'), ('target_reached', 'COUNTERS'), ('windows_changed', 'PROTOCOL'), ('look_ahead', 'PROTOCOL'),
-('ticket_changed', 'PREDICTIONS'), ('copy_changed', 'PREDICTIONS'), ('random_changed', 'RANDOM'), ('history_short', 'ALIGNMENT')) AS v(variant, outcome)"""
+('ticket_changed', 'PREDICTIONS'), ('copy_changed', 'PREDICTIONS'), ('random_changed', 'RANDOM'), ('history_short', 'ALIGNMENT')) AS v(variant, outcome)
+UNION ALL BY NAME SELECT series, 'HISTORY_SHORT' AS outcome FROM short"""
 ORACLE["stream_ledger"] = with_(
     FIRST_VALID, SCORES, tickets("scores", ("integrated", "frequency52"), 6,
                                  f"draw_idx >= {LEDGER_START} AND draw_idx < {LEDGER_START + FORWARD_TARGET} AND draw_idx < n_draws"),
@@ -593,15 +600,16 @@ ORACLE["csv_roundtrip"] = with_(DAILY) + """SELECT CAST(draw_date AS VARCHAR) AS
 FROM dr LEFT JOIN bonus USING (series, draw_date)"""
 ORACLE["html_draw_tables"] = with_(WEEKLY) + "SELECT series, draw_date, draw_idx + 1 AS contest, numbers FROM dr"
 ORACLE["archive_files"] = with_(DAILY) + """SELECT draw_date, numbers, bonus,
-CAST(CASE WHEN year(draw_date) % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_rows, year(draw_date) % 2 = 0 AND bonus <> 90 AND NOT list_contains(nums, 90) AS conflict
-FROM dr JOIN bonus USING (series, draw_date)"""
-ORACLE["prepared_archive"] = with_(DAILY) + """SELECT series, CAST(row_number() OVER (ORDER BY draw_date) - 1 AS INTEGER) AS draw_idx,
-CAST(count(*) OVER () AS INTEGER) AS n_draws, draw_date, numbers, bonus FROM dr JOIN bonus USING (series, draw_date)"""
+CAST(CASE WHEN year(draw_date) % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_rows,
+year(draw_date) % 2 = 0 AND bonus IS DISTINCT FROM CASE WHEN list_contains(nums, 90) OR bonus = 90 THEN bonus ELSE 90 END AS conflict
+FROM dr LEFT JOIN bonus USING (series, draw_date)"""
+ORACLE["prepared_archive"] = ORACLE["draw_series"]
 ORACLE["page_files"] = ORACLE["html_draw_tables"]
 ORACLE["ledger_files"] = f"""SELECT series, outcome, processed_draws, hits_so_far, next_integrated FROM ({ORACLE["ledger_advance"]})"""
-ORACLE["experiment_files"] = with_(FIRST_VALID) + f"""SELECT DISTINCT series, 'again' AS rerun_of, {HELD} AS draws, 'initialized' AS first_run,
+ORACLE["experiment_files"] = FROZEN + f"""
+SELECT series, 'again' AS rerun_of, any_value(n_draws - 1 - {OPENED}) AS draws, CAST(sum(len(both_nums)) AS INTEGER) AS hits, 'initialized' AS first_run,
 'preserved' AS second_run, 'preserved' AS baseline, true AS history_matches, true AS same_coverage, false AS same_tickets, true AS files_unchanged
-FROM dd WHERE n_draws >= {HISTORY_WINDOW + HELD + 2}"""
+FROM met WHERE method = 'integrated' AND draw_idx < n_draws - 1 GROUP BY 1 UNION ALL BY NAME SELECT series, 'HISTORY_SHORT' AS first_run FROM short"""
 ORACLE["html_clean"] = f"SELECT page_id, {cleaned('html')} AS text, {cleaned('html', True)} AS text_amp FROM pages"
 ORACLE["html_cells"] = f"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(block, '(?is)<a[^>]*>(.*?)</a>', 1), lambda c: {cleaned('c')}), ',') AS cells
 FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li>.*?</li>')) AS block FROM pages)"""

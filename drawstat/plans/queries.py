@@ -20,7 +20,7 @@ from drawstat.operators import stats as st
 from drawstat.operators.advance import advance
 from drawstat.plans import experiments as ex
 from drawstat.plans import files, ledgers
-from drawstat.plans.ledgers import bad_announcements, stored_ledgers
+from drawstat.plans.ledgers import bad_announcements
 from drawstat.settings import (AUDIT_SEED, BINNED_MODELS, HISTORY_WINDOW, SHIFT_REPLICATES, SHIFT_SEED,
                                SINGLE_GAME, WHEEL_GAME, WHEEL_SHIFT_REPLICATES, WHEEL_SHIFT_SEED)
 from drawstat.sources.archive import parse_lines, to_lines
@@ -428,10 +428,11 @@ def forward_next(spark, sf_dir):
 @register
 def ledger_advance(spark, sf_dir):
     """Stored ledgers of every priority advanced by its last draw: result row, counters and next tickets."""
-    out = advance(*stored_ledgers(spark, sf_dir))
+    *stored, short = ledgers.ledgers_and_rest(spark, sf_dir)
+    out = advance(*stored)
     i, b = F.col("integrated"), F.col("baseline")
     row = F.element_at(i["results"], -1)
-    return rounded(out.select(
+    return rounded(ledgers.with_short(out.select(
         "series", "outcome", i["status"].alias("status"), i["processedDraws"].alias("processed_draws"), F.size(i["results"]).alias("n_results"),
         b["processedDraws"].alias("baseline_processed"), F.size(b["results"]).alias("baseline_results"), i["lastProcessedDraw"].alias("last_processed"),
         row["contest"].alias("contest"), row["prediction"].alias("integrated_ticket"), row["mainHits"].alias("integrated_hits"),
@@ -439,7 +440,7 @@ def ledger_advance(spark, sf_dir):
         row["comparators"]["frequency52"]["mainHits"].alias("frequency52_hits"), row["comparators"]["random"]["mainHits"].alias("random_hits"),
         F.aggregate(i["results"], F.lit(0), lambda n, r: n + r["mainHits"]).alias("hits_so_far"),
         i["nextPrediction"].alias("next_integrated"), b["nextPrediction"].alias("next_frequency52"),
-        i["comparators"]["activeBaseline"]["nextPrediction"].alias("next_copy"), i["comparators"]["randomBaseline"]["nextPrediction"].alias("next_random")))
+        i["comparators"]["activeBaseline"]["nextPrediction"].alias("next_copy"), i["comparators"]["randomBaseline"]["nextPrediction"].alias("next_random")), short))
 
 
 @register
