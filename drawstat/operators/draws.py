@@ -7,10 +7,12 @@ draw per calendar day, which bounds every per-series window below (36,525 rows a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawstat.functions.columns import valid_bonus, valid_date, valid_numbers
+from drawstat.functions.columns import valid_bonus, valid_date, valid_numbers, whole_in_range
 from drawstat.settings import Game
 
 
@@ -22,12 +24,14 @@ class DataError(ValueError):
 
 
 def with_violations(raw: DataFrame, game: Game, date_text: str | None = None, check_bonus: bool = True) -> DataFrame:
-    """Add ``violations``, the array of rules a row breaks (empty for a valid row)."""
-    rules: list[tuple[str, Column]] = [("numbers", valid_numbers(F.col("numbers"), game))]
+    """Add ``violations``, the array of rules a row breaks (empty for a valid row). Numbers may be an array or masks."""
+    if "numbers" in raw.columns:
+        rules = [("numbers", valid_numbers(F.col("numbers"), game)), ("bonus", valid_bonus(F.col("bonus"), F.col("numbers"), game) if check_bonus else None)]
+    else:
+        rules = packed_violations(game)
     if date_text is not None:
-        rules.append(("date", valid_date(F.col(date_text))))
-    if check_bonus:
-        rules.append(("bonus", valid_bonus(F.col("bonus"), F.col("numbers"), game)))
+        rules.insert(1, ("date", valid_date(F.col(date_text))))
+    rules = [(name, ok) for name, ok in rules if check_bonus or name != "bonus"]
     flags = F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules])
     return raw.withColumn("violations", F.array_compact(flags))
 
@@ -55,19 +59,78 @@ def between_dates(draws: DataFrame, first: str, last: str) -> DataFrame:
 # --------------------------------------------------------------- deduplication
 
 
+HALF = 45  # numbers in the lower of two bit masks; a set of 1..90 is two bigints
+
+
+def packed(raw: DataFrame) -> DataFrame:
+    """Replace ``numbers`` by the masks ``low`` and ``high`` and by ``odd``, which holds the array itself where it is not an
+    ascending set of 1..90 (and is NULL otherwise). Rows that have masks already only lack ``odd``."""
+    if "numbers" not in raw.columns:
+        return raw.withColumn("odd", F.lit(None).cast("array<int>"))
+    regular = F.coalesce(F.forall("numbers", lambda n: n.between(1, 2 * HALF)) & (F.array_sort(F.array_distinct("numbers")) == F.col("numbers")), F.lit(False))
+
+    def mask(first: int) -> Column:
+        inside = F.filter("numbers", lambda n: n.between(first, first + HALF - 1))
+        return F.when(regular, F.aggregate(inside, F.lit(0).cast("bigint"), lambda m, n: m.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), (n - first).cast("int")))))
+
+    return raw.select(*[c for c in raw.columns if c != "numbers"], mask(1).alias("low"), mask(1 + HALF).alias("high"),
+                      F.when(~regular, F.col("numbers")).alias("odd"))
+
+
+def unpacked(low: Column, high: Column) -> Column:
+    """The ascending numbers of two masks."""
+    def listed(mask: Column, first: int) -> Column:
+        # a narrow loop over the bits; one expression per bit would outgrow what the JVM compiles
+        held = F.filter(F.sequence(F.lit(first), F.lit(first + HALF - 1)), lambda n: F.getbit(mask, n - first) == 1)
+        return F.coalesce(held, F.array().cast("array<int>"))
+
+    return F.concat(listed(low, 1), listed(high, 1 + HALF))
+
+
+def packed_violations(game: Game) -> list[tuple[str, Column]]:
+    """The rules for numbers and bonus on masks."""
+    held = F.coalesce(F.bit_count("low"), F.lit(0)) + F.coalesce(F.bit_count("high"), F.lit(0))
+    drawn = F.when(F.col("bonus") <= HALF, F.getbit("low", F.col("bonus") - 1)).otherwise(F.getbit("high", F.col("bonus") - 1 - HALF))
+    # outside 1..90 there is no bit to look at
+    free = F.when(F.col("bonus").between(1, 2 * HALF), F.coalesce(drawn, F.lit(0).cast("tinyint")) == 0).otherwise(F.lit(True))
+    return [("numbers", held == game.pick), ("bonus", whole_in_range(F.col("bonus"), game.pool) & F.coalesce(free, F.lit(False)))]
+
+
 def dedup_by_date(raw: DataFrame, keep: str = "first", compare: tuple[str, ...] = ("numbers", "bonus"),
                   keys: tuple[str, ...] = ("draw_date",)) -> DataFrame:
     """One row per key: the first or last row in ``source_ord`` order, with the number of raw rows and
-    whether they disagree on the ``compare`` columns. Only min/max style aggregates, so a date holding a
-    third of all rows is combined before the shuffle."""
-    payload = [c for c in raw.columns if c not in keys]
-    pick = F.min_by if keep == "first" else F.max_by
-    compared = F.struct(*compare)
-    kept = raw.groupBy(*keys).agg(
-        pick(F.struct(*payload), F.col("source_ord")).alias("kept"),
-        F.count("*").alias("n_rows"),
-        (F.min(compared) != F.max(compared)).alias("conflict"))
-    return kept.select(*keys, *[F.col(f"kept.{c}").alias(c) for c in payload], "n_rows", "conflict")
+    whether they disagree on the ``compare`` columns.
+
+    Numbers travel as masks, texts as grouping keys, everything else as single values next to their order, so the raw
+    rows pass only through aggregates of fixed size that are hashed and combined before the shuffle; a date
+    holding a third of all rows is a few rows per task. What is left, one row per key and text, is compared as
+    rows. An order that is no single value (a place in a file) takes the rows there as they are."""
+    columns = [c if c not in ("low", "high") else "numbers" for c in raw.columns if c != "high"]
+    payload = [c for c in columns if c not in keys]
+    pick, ends = (F.min_by, F.min) if keep == "first" else (F.max_by, F.max)
+    rows = packed(raw)
+    fixed = {c for c, t in rows.dtypes if t in ("tinyint", "smallint", "int", "bigint", "date", "timestamp", "timestamp_ntz", "boolean", "double", "float")}
+    parts = [c for c in compare for c in (("low", "high", "odd") if c == "numbers" else (c,))]
+    values = [c for c in rows.columns if c in fixed and c not in keys and c != "source_ord"]
+    others = [c for c in rows.columns if c not in fixed and c not in keys and c != "source_ord"]
+    if "source_ord" in fixed:
+        mine = [c for c in parts if c in fixed]
+        rows = rows.groupBy(*keys, *others).agg(
+            F.count("*").alias("_n"), *[pick(c, "source_ord").alias(c) for c in values],
+            *[f(c).alias(f"_{n}_{c}") for c in mine for n, f in (("min", F.min), ("max", F.max), ("held", F.count))], ends("source_ord").alias("source_ord"))
+        differ = [(F.min(f"_min_{c}") < F.max(f"_max_{c}")) | (F.sum(f"_held_{c}").between(1, F.sum("_n") - 1)) for c in mine]
+    else:
+        rows, differ = rows.withColumn("_n", F.lit(1).cast("bigint")), []
+        mine = []
+    rest = [c for c in parts if c not in mine]
+    whole = [F.min(F.struct(c)) != F.max(F.struct(c)) for c in rest]
+    conflict = reduce(Column.__or__, [F.coalesce(d, F.lit(False)) for d in (*differ, *whole)])
+    kept = rows.groupBy(*keys).agg(pick(F.struct("source_ord", *values, *others), F.col("source_ord")).alias("kept"), F.sum("_n").alias("n_rows"),
+                                   conflict.alias("conflict"))
+    numbers = F.when(F.col("kept.odd").isNotNull(), F.col("kept.odd")).when(
+        F.col("kept.low").isNotNull() | F.col("kept.high").isNotNull(), unpacked(F.col("kept.low"), F.col("kept.high")))
+    return kept.select(*keys, *[(numbers if c == "numbers" else F.col(f"kept.{c}")).alias(c) for c in payload], "n_rows", "conflict")
 
 
 def require_no_conflict(deduped: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from drawstat.functions.columns import gross_return, net_profit, overlap, payout_status, prize_category
 from drawstat.functions.prng import random_ticket
 from drawstat.operators.backtest import horizon_scores
-from drawstat.operators.draws import with_next_draw
+from drawstat.operators.draws import packed, unpacked, with_next_draw
 from drawstat.operators.tickets import capped_tickets
 from drawstat.settings import FORWARD_SEED, FORWARD_TARGET, HISTORY_WINDOW, Game
 
@@ -62,15 +62,21 @@ def intake(announcements: DataFrame, keys: tuple[str, ...] = ("draw_date",)) ->
     nothing, different ones are conflicts, invalid ones are refused.
 
     Equal announcements are counted before dates are compared, so a date announced millions of times is
-    reduced to its few distinct contents ahead of the second shuffle."""
-    content = announcements.groupBy(*keys, "numbers", "bonus", (F.size("violations") == 0).alias("valid")).agg(
+    reduced to its few distinct contents ahead of the second shuffle. Given masks instead of arrays, both steps
+    hash rows of fixed size and nothing is sorted."""
+    masks = "numbers" not in announcements.columns
+    content = packed(announcements).groupBy(*keys, "low", "high", "odd", "bonus", (F.size("violations") == 0).alias("valid")).agg(
         F.count("*").alias("n"), F.min("source_ord").alias("first_ord"))
+    ord_of_valid = F.when(F.col("valid"), F.col("first_ord"))
+    carried = ["low", "high", "bonus", "n", *([] if masks else ["odd"])]
     summary = content.groupBy(*keys).agg(
-        F.min_by(F.when(F.col("valid"), F.struct("numbers", "bonus", "first_ord", "n")),
-                 F.when(F.col("valid"), F.col("first_ord"))).alias("recorded"),
+        *[F.min_by(c, ord_of_valid).alias(c) for c in carried], F.min(ord_of_valid).alias("first_ord"),
         F.sum("n").alias("announced"), F.sum(F.when(F.col("valid"), F.col("n")).otherwise(0)).alias("n_valid"))
+    numbers = F.when(F.col("first_ord").isNotNull(), unpacked(F.col("low"), F.col("high")))
+    if not masks:
+        numbers = F.coalesce("odd", numbers)
     return summary.select(
-        *keys, "recorded.numbers", "recorded.bonus", "recorded.first_ord", "announced",
+        *keys, numbers.alias("numbers"), "bonus", "first_ord", "announced",
         (F.col("announced") - F.col("n_valid")).alias("refused"),
-        F.coalesce(F.col("recorded.n") - 1, F.lit(0)).alias("repeated"),
-        F.coalesce(F.col("n_valid") - F.col("recorded.n"), F.lit(0)).alias("conflicting"))
+        F.coalesce(F.col("n") - 1, F.lit(0)).alias("repeated"),
+        F.coalesce(F.col("n_valid") - F.col("n"), F.lit(0)).alias("conflicting"))

@@ -13,7 +13,7 @@ from drawstat.operators.tickets import capped_tickets
 from drawstat.settings import BASELINE_WINDOW, FORWARD_SEED, FORWARD_TARGET, HISTORY_WINDOW, HORIZONS, SINGLE_GAME
 from drawstat.sources.documents import BASELINE_LEDGER, INTEGRATED_RESULT, LEDGER, LIVE_DRAW, RESULT, as_struct, predictions_long
 from drawstat.sources.sinks import create_json
-from drawstat.sources.tables import NO_PRIORITY, raw_announcements, table
+from drawstat.sources.tables import NO_PRIORITY, packed_announcements, table
 from drawstat.streaming.storage import shared_folder, stored
 
 SHORTEST = HISTORY_WINDOW + 2  # a warm-up, a draw that is processed already and the new one
@@ -34,7 +34,7 @@ def _document(fields: dict[str, Column], schema: str) -> Column:
 
 def valid_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first valid draw of every date per priority, indexed and written."""
-    raw = raw_announcements(spark, sf_dir).withColumn("source", F.coalesce("source", F.lit(NO_PRIORITY)))
+    raw = packed_announcements(spark, sf_dir).withColumn("source", F.coalesce("source", F.lit(NO_PRIORITY)))
     valid = with_violations(raw, SINGLE_GAME).filter(F.size("violations") == 0).drop("violations")
     unique = dedup_by_date(valid, "first", keys=("source", "draw_date")).withColumnRenamed("source", "series")
     indexed = with_index(unique.select("series", "draw_date", "numbers", "bonus", (F.col("source_ord") % 90 + 1).cast("int").alias("superstar")))

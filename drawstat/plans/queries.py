@@ -26,7 +26,7 @@ from drawstat.settings import (AUDIT_SEED, BINNED_MODELS, HISTORY_WINDOW, SHIFT_
 from drawstat.sources.archive import parse_lines, to_lines
 from drawstat.sources.documents import nested_document
 from drawstat.sources.pages import extract_cells, parse_draw_tables
-from drawstat.sources.tables import order_days, priority_series, raw_announcements, single_series, table
+from drawstat.sources.tables import order_days, packed_announcements, priority_series, raw_announcements, single_series, table
 from drawstat.streaming.ledger_stream import LedgerRules, ledger_stream, run_available
 from drawstat.streaming.storage import shared_folder
 
@@ -91,7 +91,7 @@ def announcement_checks(spark, sf_dir):
 
 @register
 def announcement_violations(spark, sf_dir):
-    return dr.violation_counts(dr.with_violations(raw_announcements(spark, sf_dir), SINGLE_GAME))
+    return dr.violation_counts(dr.with_violations(packed_announcements(spark, sf_dir), SINGLE_GAME))
 
 
 @register
@@ -110,27 +110,27 @@ def draws_between(spark, sf_dir):
 
 @register
 def dedup_first(spark, sf_dir):
-    return rounded(dr.dedup_by_date(raw_announcements(spark, sf_dir), "first"))
+    return rounded(dr.dedup_by_date(packed_announcements(spark, sf_dir), "first"))
 
 
 @register
 def dedup_last(spark, sf_dir):
-    return rounded(dr.dedup_by_date(raw_announcements(spark, sf_dir), "last"))
+    return rounded(dr.dedup_by_date(packed_announcements(spark, sf_dir), "last"))
 
 
 @register
 def dedup_last_numbers_only(spark, sf_dir):
-    return rounded(dr.dedup_by_date(raw_announcements(spark, sf_dir), "last", compare=("numbers",), keys=("source", "draw_date")))
+    return rounded(dr.dedup_by_date(packed_announcements(spark, sf_dir), "last", compare=("numbers",), keys=("source", "draw_date")))
 
 
 @register
 def coverage(spark, sf_dir):
-    return dr.coverage(dr.dedup_by_date(raw_announcements(spark, sf_dir), "last"))
+    return dr.coverage(dr.dedup_by_date(packed_announcements(spark, sf_dir), "last"))
 
 
 @register
 def announcement_intake(spark, sf_dir):
-    return rounded(lg.intake(dr.with_violations(raw_announcements(spark, sf_dir), SINGLE_GAME)))
+    return rounded(lg.intake(dr.with_violations(packed_announcements(spark, sf_dir), SINGLE_GAME)))
 
 
 # -------------------------------------------------------------------- frequencies

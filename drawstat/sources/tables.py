@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from drawstat.operators.draws import HALF, unpacked
 from drawstat.settings import SINGLE_GAME, WHEEL_GAME, Game
 
 
@@ -20,35 +21,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order that has lines: key, customer, date, priority and its sorted distinct numbers."""
+def order_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order that has lines: key, customer, date, priority and the set of its numbers as two bit masks, which
+    are combined in fixed memory before the shuffle."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 90).alias("n"))
-    # a set of 90 numbers is two bit masks, which are combined in fixed memory before the shuffle
-    one, half = F.lit(1).cast("bigint"), 45
+    one = F.lit(1).cast("bigint")
     sets = lines.groupBy("l_orderkey").agg(
-        F.bit_or(F.when(F.col("n") < half, F.call_function("shiftleft", one, F.col("n").cast("int")))).alias("low"),
-        F.bit_or(F.when(F.col("n") >= half, F.call_function("shiftleft", one, (F.col("n") - half).cast("int")))).alias("high"))
-
-    def listed(mask: str, base: int) -> Column:
-        # a narrow loop over the bits; one expression per bit would outgrow what the JVM compiles
-        return F.filter(F.sequence(F.lit(base), F.lit(base + half - 1)), lambda n: F.getbit(F.col(mask), n - base) == 1)
-
-    numbers = F.concat(listed("low", 1), listed("high", 1 + half))
+        F.bit_or(F.when(F.col("n") < HALF, F.call_function("shiftleft", one, F.col("n").cast("int")))).alias("low"),
+        F.bit_or(F.when(F.col("n") >= HALF, F.call_function("shiftleft", one, (F.col("n") - HALF).cast("int")))).alias("high"))
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("order_date"))
+    none = F.lit(0).cast("bigint")
     return orders.join(sets, orders.o_orderkey == sets.l_orderkey).select(
-        "o_orderkey", "o_custkey", "o_orderpriority", "order_date", numbers.alias("numbers"))
+        "o_orderkey", "o_custkey", "o_orderpriority", "order_date", F.coalesce("low", none).alias("low"), F.coalesce("high", none).alias("high"))
+
+
+def order_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``order_masks`` with the sorted distinct numbers instead of masks."""
+    rows = order_masks(spark, sf_dir)
+    return rows.select("o_orderkey", "o_custkey", "o_orderpriority", "order_date", unpacked(F.col("low"), F.col("high")).alias("numbers"))
+
+
+def packed_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_announcements`` with the numbers as masks, for what reduces them before anyone reads the numbers."""
+    return order_masks(spark, sf_dir).select(
+        F.col("o_orderpriority").alias("source"), F.col("o_orderkey").alias("source_ord"), F.col("order_date").alias("draw_date"), "low", "high",
+        (F.col("o_custkey") % 90 + 1).cast("int").alias("bonus"))
 
 
 def raw_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw row per order, as unvalidated sources would report them: several per date, some conflicting,
     many with a wrong count of numbers."""
-    return order_numbers(spark, sf_dir).select(
-        F.col("o_orderpriority").alias("source"),
-        F.col("o_orderkey").alias("source_ord"),
-        F.col("order_date").alias("draw_date"),
-        "numbers",
-        (F.col("o_custkey") % 90 + 1).cast("int").alias("bonus"))
+    rows = packed_announcements(spark, sf_dir)
+    return rows.select("source", "source_ord", "draw_date", unpacked(F.col("low"), F.col("high")).alias("numbers"), "bonus")
 
 
 def _draws(numbers: DataFrame, series: Column, day: Column, game: Game) -> DataFrame:
