@@ -126,6 +126,20 @@ def match_saved(predictions: DataFrame, actual: DataFrame) -> DataFrame:
     return matched.withColumn("method_total", F.sum("hit_count").over(Window.partitionBy("method")))
 
 
+def match_next(predictions: DataFrame, draws: DataFrame) -> DataFrame:
+    """Saved tickets (series, method, saved_on, ticket) of any number of dates, each with the first draw after its date
+    (draw_date, numbers) and its hits; NULL where no later draw is held.
+
+    Both sides are laid into one order of time per series, the draws of a day before its tickets, and every ticket looks
+    ahead to the next draw: one shuffle, whatever the number of dates."""
+    tickets = predictions.select("series", F.col("saved_on").alias("at"), F.lit(1).alias("kind"), "method", "ticket")
+    held = draws.select("series", F.col("draw_date").alias("at"), F.lit(0).alias("kind"), F.struct("draw_date", "numbers").alias("draw"))
+    ahead = Window.partitionBy("series").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    both = tickets.unionByName(held, allowMissingColumns=True).withColumn("next", F.last("draw", ignorenulls=True).over(ahead))
+    return both.filter("kind = 1").select("series", "method", F.col("at").alias("saved_on"), "ticket", "next.draw_date", "next.numbers").withColumn(
+        "hit_count", F.when(F.col("draw_date").isNotNull(), overlap(F.col("ticket"), F.col("numbers"))))
+
+
 def bonus_flags(tickets: DataFrame) -> DataFrame:
     """Hits of single-game tickets with bonus and superstar flags (ticket, numbers, bonus, superstar)."""
     return tickets.select("*", overlap(F.col("ticket"), F.col("numbers")).alias("hit_count"),

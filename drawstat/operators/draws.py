@@ -51,6 +51,13 @@ def require_valid(checked: DataFrame) -> DataFrame:
     return checked.drop("violations")
 
 
+def split_rejects(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that break no rule, and the others as a side table with the broken rules as one text."""
+    rules = F.array_join(F.array_sort("violations"), ",")
+    return (checked.filter(F.size("violations") == 0).drop("violations"),
+            checked.filter(F.size("violations") > 0).withColumn("rules", rules).drop("violations"))
+
+
 def between_dates(draws: DataFrame, first: str, last: str) -> DataFrame:
     """Inclusive date range; reaches the scan of a stored table as a pushed filter."""
     return draws.filter(F.col("draw_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))

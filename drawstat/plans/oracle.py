@@ -619,3 +619,28 @@ SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
 ORACLE["json_nested"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
 ORACLE["decade_counts"] = with_(DAILY) + """SELECT series, CAST((number - 1) // 10 AS INTEGER) AS decade, count(*) AS occurrences
 FROM hits GROUP BY 1, 2"""
+
+ORACLE["archive_rejects"] = with_(DAILY) + """SELECT rules, count(*) AS n_rows, true AS refused FROM (
+SELECT CASE draw_idx % 11 WHEN 3 THEN 'numbers' WHEN 5 THEN 'date' WHEN 7 THEN 'numbers' WHEN 9 THEN 'bonus,numbers' ELSE '' END AS rules
+FROM dr JOIN bonus USING (series, draw_date)) GROUP BY 1"""
+ORACLE["archive_without_bonus"] = with_(DAILY) + "SELECT series, draw_idx, n_draws, draw_date, numbers FROM dr"
+ORACLE["coverage_audit"] = with_(DAILY) + """SELECT audit, CASE off WHEN 0 THEN 'ACCEPTED' ELSE 'REFUSED' END AS outcome, min(draw_date) AS first_date,
+max(draw_date) AS last_date, count(*) + off AS recorded_draws, CASE off WHEN 0 THEN count(*) END AS held_draws
+FROM dr, (VALUES ('recorded', 0), ('changed', 1)) AS v(audit, off) GROUP BY audit, off"""
+ORACLE["page_hashes"] = with_(WEEKLY, """
+html AS (SELECT draw_idx AS page, '<table><tr><th>head</th></tr><TR><td><a href=' || chr(39) || 'estrazione.php?c=' || draw_idx || chr(39) || '>n. '
+    || (draw_idx + 1) || '</a></td><td>' || strftime(draw_date, '%d/%m/%Y') || '</td>' || string_agg('<td class=' || chr(39) || 'n' || chr(39) || '>' || chr(10)
+    || array_to_string(['<b>' || n || '</b>' FOR n IN nums], '&nbsp;') || '</td>', '' ORDER BY series) || '</TR></table>' || chr(10) AS text
+    FROM dr GROUP BY draw_idx, draw_date)""") + """
+SELECT page, sha256(text) AS sha256, true AS staged_as_recorded, page < max(page) OVER () AS changed_as_recorded FROM html"""
+ORACLE["update_receipts"] = with_(FIRST_VALID + SHORT) + f"""
+SELECT series, position, outcome, n_draws - {OPENED} - 1 + position AS processed_before, n_draws - {OPENED} AS processed_after, position = 1 AS unchanged
+FROM (SELECT DISTINCT series, n_draws FROM dd WHERE {LONG_ENOUGH}), (VALUES (0, 'PROCESSED'), (1, 'ALREADY_PROCESSED')) AS v(position, outcome)
+UNION ALL BY NAME SELECT series, 'HISTORY_SHORT' AS outcome FROM short"""
+ORACLE["summary_lines"] = with_(WEEKLY) + """SELECT '{"series":"' || series || '","draws":' || count(*) || ',"first":"' || min(draw_date) || '","last":"'
+|| max(draw_date) || '","note":null}' AS line FROM dr GROUP BY series"""
+ORACLE["dated_predictions"] = with_(DAILY, SCORES, tickets("scores", ("integrated", "frequency52"), 6, f"draw_idx >= {HISTORY_WINDOW}"), """
+frozen AS (SELECT tk.series, d.draw_date - early AS saved_on, tk.method || '_ticket' || CASE early WHEN 0 THEN '' ELSE '_early' END AS method, ticket, ticket_nums
+    FROM tk JOIN dd d ON d.series = tk.series AND d.draw_idx = tk.draw_idx - 1, (SELECT unnest([0, 10])::INTEGER AS early))""") + """
+SELECT f.series, method, saved_on, ticket, dr.draw_date, dr.numbers, CASE WHEN dr.draw_date IS NOT NULL THEN CAST(len(list_intersect(ticket_nums, nums)) AS INTEGER) END AS hit_count
+FROM frozen f ASOF LEFT JOIN dr ON f.series = dr.series AND f.saved_on < dr.draw_date"""

@@ -23,12 +23,13 @@ from drawstat.plans import files, ledgers
 from drawstat.plans.ledgers import bad_announcements
 from drawstat.settings import (AUDIT_SEED, BINNED_MODELS, HISTORY_WINDOW, SHIFT_REPLICATES, SHIFT_SEED,
                                SINGLE_GAME, WHEEL_GAME, WHEEL_SHIFT_REPLICATES, WHEEL_SHIFT_SEED)
+from drawstat.sources import sinks
 from drawstat.sources.archive import parse_lines, to_lines
 from drawstat.sources.documents import nested_document
 from drawstat.sources.pages import extract_cells, parse_draw_tables
 from drawstat.sources.tables import order_days, packed_announcements, priority_series, raw_announcements, single_series, table
 from drawstat.streaming.ledger_stream import LedgerRules, ledger_stream, run_available
-from drawstat.streaming.storage import shared_folder
+from drawstat.streaming.storage import shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -500,7 +501,7 @@ def rendered_rows(draws: DataFrame, names: list[str]) -> DataFrame:
     html = F.concat(F.lit("<table><tr><th>head</th></tr><TR><td><a href='estrazione.php?c="), F.col("idx").cast("string"),
                     F.lit("'>n. "), (F.col("idx") + 1).cast("string"), F.lit("</a></td><td>"),
                     F.date_format("draw_date", "dd/MM/yyyy"), F.lit("</td>"), *tds, F.lit("</TR></table>"))
-    return rows.select(html.alias("html"))
+    return rows.select("idx", html.alias("html"))
 
 
 @register
@@ -521,6 +522,50 @@ def prepared_archive(spark, sf_dir):
     return rounded(files.prepared_archive(single_series(spark, sf_dir)))
 
 
+@register
+def archive_rejects(spark, sf_dir):
+    return files.archive_rejects(daily(spark, sf_dir))
+
+
+@register
+def archive_without_bonus(spark, sf_dir):
+    return rounded(files.archive_without_bonus(single_series(spark, sf_dir)))
+
+
+@register
+def coverage_audit(spark, sf_dir):
+    return files.coverage_audit(stored(single_series(spark, sf_dir), "draws"))
+
+
+@register
+def page_hashes(spark, sf_dir):
+    draws = weekly(spark, sf_dir)
+    return files.page_hashes(rendered_rows(draws, series_names(draws)).select(F.col("idx").alias("page"), "html"))
+
+
+@register
+def update_receipts(spark, sf_dir):
+    return files.update_receipts(spark, sf_dir)
+
+
+@register
+def summary_lines(spark, sf_dir):
+    """One line of JSON per series of the weekly archive, as printed to a console."""
+    held = weekly(spark, sf_dir).groupBy("series").agg(F.count("*").alias("draws"), F.min("draw_date").alias("first"), F.max("draw_date").alias("last"))
+    return sinks.summary_lines(held.withColumn("note", F.lit(None).cast("string")))
+
+
+@register
+def dated_predictions(spark, sf_dir):
+    """The tickets saved after every draw, and dated ten days earlier, matched with the first later draw."""
+    draws = stored(daily(spark, sf_dir), "draws")
+    frozen = stored(bt.walk_forward(draws, SINGLE_GAME, include_next=True).select("series", "draw_idx", "integrated_ticket", "frequency52_ticket"), "tickets")
+    saved = frozen.join(draws.select("series", (F.col("draw_idx") + 1).alias("draw_idx"), F.col("draw_date").alias("saved_on")), ["series", "draw_idx"])
+    long = saved.unpivot(["series", "saved_on"], ["integrated_ticket", "frequency52_ticket"], "method", "ticket")
+    early = long.withColumn("saved_on", F.date_sub("saved_on", 10)).withColumn("method", F.concat("method", F.lit("_early")))
+    return rounded(bt.match_next(long.unionByName(early), draws))
+
+
 @register
 def page_files(spark, sf_dir):
     draws = weekly(spark, sf_dir)

@@ -77,6 +77,18 @@ def parse_lines(lines: DataFrame, header: str, game: Game = SINGLE_GAME, bonus:
     return to_draws(split.select(*kept, *[F.col("fields")[i].alias(n) for i, n in enumerate(names)]), game, bonus)
 
 
+def lax_lines(lines: DataFrame, header: str, game: Game = SINGLE_GAME, bonus: bool = True) -> DataFrame:
+    """Archive lines in a column ``line`` without any check of their width: fields that are missing are NULL, further ones are
+    ignored. The line itself stays as ``source``, for whoever reads the rejects."""
+    names = header.removeprefix("\ufeff").split(",")
+    fields = F.split(F.rtrim(F.col("line")), ",", -1)
+    rows = lines.select(F.col("line").alias("source"), *[F.get(fields, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    for name in archive_columns(game, bonus):
+        if name not in names:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
+    return to_draws(rows, game, bonus)
+
+
 def to_lines(draws: DataFrame) -> DataFrame:
     """Draws back to archive lines (date, numbers, bonus). A missing bonus is an empty field, read back as NULL."""
     return draws.withColumn("line", F.concat_ws(",", F.date_format("draw_date", "yyyy-MM-dd"),

@@ -145,6 +145,49 @@ def test_changing_the_outcome_keeps_its_prediction(make_draws):
     assert (results[0]["m_hits"], results[1]["m_hits"]) == (6, 0)
 
 
+def test_a_cap_without_enough_numbers_stops_the_job(make_draws):
+    """Two decades of three with one number each cannot fill a ticket of five."""
+    game = Game(pool=6, pick=5, cap=1, decade=3)
+    rows = make_draws([[1, 2, 3, 4, 5]] * 4)
+    with pytest.raises(Exception, match="no ticket satisfies the cap"):
+        bt.walk_forward(rows, game, warmup=2).collect()
+
+
+def test_bins_outside_the_bitmaps_stop_the_job(make_draws):
+    table = featured(make_draws, [[1, 2, 3, 11, 12, 13]] * 4, [(0, 0, 0)] * 3 + [(12, 0, 0)])
+    with pytest.raises(Exception, match="no bin of"):
+        bt.binned_backtest(table, SINGLE_GAME, {"m": ("MoonPhase",)}, 2, 30).collect()
+
+
+def test_masks_equal_arrays(spark):
+    """Dedup of rows with arrays, regular or not, and with texts, against a plain loop."""
+    rng = np.random.default_rng(3)
+    pools = [[1, 2, 3], [3, 2, 1], [1, 1, 2], [45, 46, 90], [], [0, 5], [91], [1, None], None]
+    rows = [(int(rng.integers(6)), str(rng.integers(3)) if i % 5 else None, i, pools[int(rng.integers(len(pools)))], int(rng.integers(3)) if i % 4 else None)
+            for i in rng.permutation(300).tolist()]
+    frame = spark.createDataFrame(rows, "draw_date int, source string, source_ord bigint, numbers array<int>, bonus int").repartition(5)
+    for keep, best in (("first", min), ("last", max)):
+        for compare, part in ((("numbers", "bonus"), lambda r: (str(r[3]), r[4])), (("numbers",), lambda r: str(r[3]))):
+            found = {r["draw_date"]: r for r in dr.dedup_by_date(frame, keep, compare).collect()}
+            for key in {r[0] for r in rows}:
+                mine = [r for r in rows if r[0] == key]
+                kept = best(mine, key=lambda r: r[2])
+                assert tuple(found[key][c] for c in ("source", "source_ord", "numbers", "bonus", "n_rows")) == (*kept[1:], len(mine))
+                assert found[key]["conflict"] == (len({part(r) for r in mine}) > 1)
+    one = spark.createDataFrame([(1, 1, [3, 2, 1], 4), (1, 2, [1, 2, 3], 4)], "draw_date int, source_ord bigint, numbers array<int>, bonus int")
+    assert dr.dedup_by_date(one).first()["conflict"]
+
+
+def test_saved_tickets_meet_the_next_draw(spark):
+    tickets = [("s", "m", date(2024, 1, d), [1, 2, d]) for d in (1, 3, 3, 9)] + [("t", "m", date(2024, 1, 1), [7])]
+    draws = [("s", date(2024, 1, 3), [1, 2, 3]), ("s", date(2024, 1, 5), [1, 8, 9])]
+    found = bt.match_next(spark.createDataFrame(tickets, "series string, method string, saved_on date, ticket array<int>"),
+                          spark.createDataFrame(draws, "series string, draw_date date, numbers array<int>")).collect()
+    assert sorted((r["series"], r["saved_on"].day, r["draw_date"] and r["draw_date"].day, r["hit_count"]) for r in found if r["draw_date"]) == [
+        ("s", 1, 3, 2), ("s", 3, 5, 1), ("s", 3, 5, 1)]
+    assert sorted((r["series"], r["hit_count"]) for r in found if r["draw_date"] is None) == [("s", None), ("t", None)]
+
+
 def test_shift_lists(spark):
     sizes = spark.createDataFrame([(210,)], "n int")
     distinct = sizes.select(shift_list(F.col("n"), 199, 20261002, True)).first()[0]

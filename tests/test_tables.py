@@ -60,3 +60,20 @@ def test_ranges_reach_the_scan(spark, tmp_path):
     with contextlib.redirect_stdout(text):
         between_dates(spark.read.parquet(path), "2024-01-03", "2024-01-05").explain("formatted")
     assert "GreaterThanOrEqual(draw_date" in text.getvalue()
+
+
+@pytest.mark.parametrize("name", ["dedup_first", "dedup_last", "dedup_last_numbers_only", "coverage", "announcement_intake"])
+def test_raw_announcements_are_hashed_in_fixed_size(spark, sf_dir, name):
+    """What stands on the raw rows of an order, up to the second shuffle after the join, sorts nothing and keeps no objects."""
+    result = QUERIES[name](spark, sf_dir)
+    aggregates = [line for line in result._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(" in line]
+    raw = [line for line in aggregates if "l_orderkey" in line or "partial_" in line and "source_ord" in line or "partial_count(1)" in line and "low" in line]
+    assert raw and all("HashAggregate" in line and "Object" not in line for line in raw)
+    if name == "announcement_intake":
+        assert all("HashAggregate" in line and "Object" not in line for line in aggregates)
+
+
+def test_numbers_stay_a_narrow_expression(spark, sf_dir):
+    """The numbers of an order are one loop over the bits of two masks, not an expression per bit."""
+    text = QUERIES["announcement_checks"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("getbit") < 20
