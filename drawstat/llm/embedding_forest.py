@@ -29,14 +29,15 @@ from drawstat.llm.common import components, keep, slots
 COSINE = 0.93
 LEAF_ROWS = 128       # where a tree ends
 TREES = 6
-BAND = 1.0
-SHRINK = 2 / 3        # a node of which no cut leaves at most this share on either side is compared as it is
+BAND = 0.7
+SHRINK = 0.6          # a node of which no cut leaves at most this share on either side is compared as it is
 CANDIDATES = 4        # random directions a node chooses from
-CUTS = (0.3, 0.4, 0.5, 0.6, 0.7)
-LEVELS = 6            # levels of a tree settled by one sample
+CUTS = (0.35, 0.5, 0.65)
+LEVELS = 8            # levels of a tree settled by one sample
 SAMPLE_ROWS = 4096
 FEWEST = 48           # a node with fewer sampled vectors is sampled anew before it is split
 ROUNDS = 12           # after these, what is left is compared as it is
+ROUTE_ROWS = 8192     # vectors of a node that one task sends on
 BLOCK_ROWS = 4096     # vectors of a leaf that one task compares with each other, or with as many others
 _LEAF, _OPEN = 0, 1
 _KEYS = ("label", "dims", "tree", "node")
@@ -135,34 +136,38 @@ def send(x: np.ndarray, tree: int, node: int, half: float, chosen: list[int], cu
 
 
 def _split(active: DataFrame, cosine: float, band: float, leaf_rows: int, sample_rows: int) -> DataFrame:
-    """One round: settle the next levels of every open node on its sample and route all its rows. The unit travels on
-    only with rows whose node stays open."""
-    names = [c.split()[0] for c in _ROUTED.split(", ")]
-    types = pa.schema(list(zip(names, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32()))))
+    """One round: settle the next levels of every open node on its sample and route all its rows, some thousands of a node
+    in a task. The unit travels on only with rows whose node stays open."""
+    schema = pa.schema([("label", pa.int32()), ("dims", pa.int32()), ("tree", pa.int32()), ("node", pa.int64()), ("rep", pa.int64()),
+                        ("unit", pa.binary()), ("open", pa.int32())])
+    many = F.ceil(F.col("n") / ROUTE_ROWS).cast("int")
 
     def fit(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
         label, dims, tree, node = key
-        x = _units(sample.sort_values("rep")["unit"], dims)
-        grown = grow(x, int(sample["n"].iloc[0]), tree, node, half_band(cosine, dims, band), leaf_rows)
-        return pd.DataFrame([(label, dims, tree, node, *grown)], columns=[*_KEYS, "chosen", "cut", "opens"])
+        x, n = _units(sample.sort_values("rep")["unit"], dims), int(sample["n"].iloc[0])
+        grown = grow(x, n, tree, node, half_band(cosine, dims, band), leaf_rows)
+        return pd.DataFrame([(label, dims, tree, node, n, *grown)], columns=[*_KEYS, "n", "chosen", "cut", "opens"])
 
     share = F.pmod(F.xxhash64("rep", "tree", "node"), F.lit(1 << 20)) < F.lit(float(sample_rows << 20)) / F.col("n")
     fitted = keep(active.filter(share).groupBy(*_KEYS).applyInPandas(
-        fit, "label int, dims int, tree int, node bigint, chosen array<int>, cut array<double>, opens array<int>"), "splits")
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for (label, dims, tree, node), rows in batch.to_pandas().groupby(list(_KEYS), sort=False):
-                first = rows.iloc[0]
-                ended = send(_units(rows["unit"], dims), tree, node, half_band(cosine, dims, band), first["chosen"], first["cut"])
-                for k, mine in ended.items():
-                    part, still = rows.iloc[mine], int(first["opens"][k])
-                    child = (int(node) * 1_000_003 + k + 1) % (1 << 62)
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame(
-                        {"label": part["label"], "dims": part["dims"], "tree": part["tree"], "node": np.int64(child), "rep": part["rep"],
-                         "unit": part["unit"] if still else None, "open": np.int32(still)}), schema=types, preserve_index=False)
-
-    return active.drop("n").join(fitted, list(_KEYS)).mapInArrow(route, _ROUTED)
+        fit, "label int, dims int, tree int, node bigint, n bigint, chosen array<int>, cut array<double>, opens array<int>"), "splits")
+
+    def route(key: tuple, rows: pa.Table, splits: pa.Table) -> pa.Table:
+        label, dims, tree, node, _ = (k.as_py() for k in key)
+        chosen, cut, opens = (splits.column(c)[0].as_py() for c in ("chosen", "cut", "opens"))
+        units = rows.column("unit").to_pylist()
+        ended = send(_units(units, dims), tree, node, half_band(cosine, dims, band), chosen, cut)
+        at, sizes = np.concatenate(list(ended.values())), list(map(len, ended.values()))
+        child = np.repeat(np.array([(node * 1_000_003 + k + 1) % (1 << 62) for k in ended], np.int64), sizes)
+        still = np.repeat(np.array([opens[k] for k in ended], np.int32), sizes)
+        kept = pa.array([units[i] if s else None for i, s in zip(at.tolist(), still.tolist())], pa.binary())
+        fixed = [pa.array(np.full(len(at), v, np.int32)) for v in (label, dims, tree)]
+        return pa.Table.from_arrays([*fixed, pa.array(child), rows.column("rep").combine_chunks().take(pa.array(at)), kept, pa.array(still)], schema=schema)
+
+    salted = active.withColumn("salt", F.pmod(F.xxhash64("rep"), many).cast("int")).drop("n")
+    given = fitted.select(*_KEYS, "chosen", "cut", "opens", F.explode(F.sequence(F.lit(0), many - 1)).alias("salt"))
+    keys = [*_KEYS, "salt"]
+    return salted.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(route, _ROUTED)
 
 
 def leaves(base: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_ROWS, trees: int = TREES, band: float = BAND,
@@ -186,26 +191,28 @@ def leaves(base: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_ROWS,
     return reduce(DataFrame.unionAll, done)
 
 
-def _shared_earlier(rows: list[list[int]], others: list[list[int]] | None, step: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _shared_earlier(rows: list[np.ndarray], others: list[np.ndarray] | None, step: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Membership of rows and others in the leaves that both know, some leaves at a time so that memory is bounded."""
-    owners: dict[int, tuple[list[int], list[int]]] = {}
-    for side, listed in enumerate((rows, rows if others is None else others)):
-        for i, codes in enumerate(listed):
-            for c in codes:
-                owners.setdefault(c, ([], []))[side].append(i)
-    least = 2 if others is None else 1
-    common = [o for o in owners.values() if len(o[0]) >= least and len(o[1]) >= least]
-    for at in range(0, len(common), step):
-        part = common[at:at + step]
-        left = np.zeros((len(rows), len(part)), np.float32)
-        right = left if others is None else np.zeros((len(others), len(part)), np.float32)
-        for k, (a, b) in enumerate(part):
-            left[a, k] = 1
-            right[b, k] = 1
-        yield left, right
-
-
-def compare_block(rep: np.ndarray, copies: np.ndarray, units: np.ndarray, earlier: list[list[int]], cosine: float, first: int | None = None,
+    sides = [rows] if others is None else [rows, others]
+    flat = [np.concatenate([*side, np.empty(0, np.int64)]) for side in sides]
+    owner = [np.repeat(np.arange(len(side)), list(map(len, side))) for side in sides]
+    codes = np.unique(flat[0])
+    if others is None:
+        codes = codes[np.bincount(np.searchsorted(codes, flat[0]), minlength=len(codes)) > 1]
+    else:
+        codes = np.intersect1d(codes, flat[1])
+    for at in range(0, len(codes), step):
+        part, out = codes[at:at + step], []
+        for side, held, who in zip(sides, flat, owner):
+            place = np.minimum(np.searchsorted(part, held), len(part) - 1)
+            known = part[place] == held
+            member = np.zeros((len(side), len(part)), np.float32)
+            member[who[known], place[known]] = 1
+            out.append(member)
+        yield out[0], out[-1]
+
+
+def compare_block(rep: np.ndarray, copies: np.ndarray, units: np.ndarray, earlier: list[np.ndarray], cosine: float, first: int | None = None,
                   block: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Links of every vector that no smaller shared leaf has counted, weighted by copies, and the component of every
     vector among them (as the smallest rep). With ``first`` only pairs of one of the first ``first`` rows and
@@ -280,7 +287,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf_rows: int =
         _, dims, _, low, high = key
         leaf = leaf.sort_values("second", kind="stable") if low != high else leaf
         rep, first = leaf["rep"].to_numpy(), None if low == high else int((~leaf["second"]).sum())
-        earlier = [list(e) for e in leaf["earlier"]]
+        earlier = [np.asarray(e, np.int64) for e in leaf["earlier"]]
         links, label = compare_block(rep, leaf["copies"].to_numpy(), _units(leaf["unit"], dims), earlier, cosine, first)
         return pd.DataFrame({"rep": rep, "links": links, "label": label})[(links > 0) | (rep != label)]
 

@@ -121,7 +121,7 @@ def test_blocks_share_the_pairs():
     rng = np.random.default_rng(3)
     units = rng.normal(size=(60, 5))
     units /= np.linalg.norm(units, axis=1, keepdims=True)
-    rep, copies, earlier = rng.permutation(60), rng.integers(1, 4, 60), [sorted(rng.choice(8, 1).tolist()) for _ in range(60)]
+    rep, copies, earlier = rng.permutation(60), rng.integers(1, 4, 60), [rng.choice(8, 1) for _ in range(60)]
     links, _ = forest.compare_block(rep, copies, units, earlier, 0.8, first=23, block=7)
     close = (units @ units.T >= 0.8) & np.array([[(i < 23) != (j < 23) for j in range(60)] for i in range(60)])
     new = close & np.array([[not set(a) & set(b) for b in earlier] for a in earlier])
@@ -134,9 +134,9 @@ def test_blocks_share_the_pairs():
 
 def test_leaves_count_shared_pairs_once():
     units = np.array([[1.0, 0], [1, 0], [0, 1]])
-    links, label = forest.compare_block(np.array([7, 3, 9]), np.array([1, 2, 1]), units, [[5], [5], [5]], 0.9)
+    links, label = forest.compare_block(np.array([7, 3, 9]), np.array([1, 2, 1]), units, [np.array([5])] * 3, 0.9)
     assert links.tolist() == [0, 0, 0] and label.tolist() == [3, 3, 9]
-    links, _ = forest.compare_block(np.array([7, 3, 9]), np.array([1, 2, 1]), units, [[5], [6], []], 0.9)
+    links, _ = forest.compare_block(np.array([7, 3, 9]), np.array([1, 2, 1]), units, [np.array([5]), np.array([6]), np.empty(0, int)], 0.9)
     assert links.tolist() == [2, 1, 0]
 
 
