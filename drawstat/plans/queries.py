@@ -28,7 +28,7 @@ from drawstat.sources.archive import parse_lines, to_lines
 from drawstat.sources.documents import nested_document
 from drawstat.sources.pages import extract_cells, parse_draw_tables
 from drawstat.sources.tables import order_days, packed_announcements, priority_series, raw_announcements, single_series, table
-from drawstat.streaming.ledger_stream import LedgerRules, ledger_stream, run_available
+from drawstat.streaming.ledger_stream import LedgerRules, run_ledger
 from drawstat.streaming.storage import shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -472,9 +472,7 @@ def stream_ledger(spark, sf_dir):
     announced = orders.join(numbers, "o_orderkey").select(
         F.col("o_orderpriority").alias("series"), F.col("o_orderdate").cast("date").alias("draw_date"), F.lit(None).cast("int").alias("contest"),
         "numbers", "bonus", (F.col("o_orderkey") % 90 + 1).cast("int").alias("superstar"), F.col("o_orderkey").alias("source_ord"))
-    folder = shared_folder(spark, "stream-ledger")
-    run_available(ledger_stream(announced, LedgerRules(consecutive=False)), f"{folder}/table", f"{folder}/checkpoint")
-    return rounded(spark.read.parquet(f"{folder}/table"))
+    return rounded(run_ledger(announced, shared_folder(spark, "stream-ledger"), LedgerRules(consecutive=False)))
 
 
 # ------------------------------------------------------------------- text and documents

@@ -1,10 +1,11 @@
 """Forward ledger as a Structured Streaming operator.
 
-Each series is one keyed state: its last draws (as many as the longest horizon), the processed draws of the
-ledger (at most its target) and the last date and contest. Announcements must arrive in date order across
-triggers (within one trigger they are put in order); a late, skipped, conflicting or invalid one is not dropped but comes out with its outcome, and an
-equal repetition changes nothing. Every accepted draw, the warm-up included, is recognised again as REPEATED or
-CONFLICT whatever its age.
+Announcements are judged with column rules and equal ones counted before anything is kept; what keeps no rule comes
+out at once. Only distinct valid contents reach the keyed state of a series: a value for its head, a list of
+the draws that the longest horizon reaches, and a map from the day of every accepted draw to its content. A late, skipped
+or conflicting announcement is not dropped but comes out with its outcome, and an equal repetition changes nothing.
+Every accepted draw, the warm-up included, is recognised again as REPEATED or CONFLICT whatever its age. Within a run
+the order of files does not matter; a draw before the last accepted one of an earlier run is OUT_OF_ORDER.
 """
 
 from __future__ import annotations
@@ -14,18 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from drawstat.functions.columns import valid_bonus, valid_numbers, whole_in_range
 from drawstat.functions.prng import uniforms_at
 from drawstat.settings import BASELINE_WINDOW, FORWARD_SEED, FORWARD_TARGET, HISTORY_WINDOW, HORIZONS, SINGLE_GAME, Game
+from drawstat.streaming.storage import stored
 
 OUTPUT = ("series string, draw_date date, contest int, outcome string, times bigint, method string, prediction array<int>, "
           "actual array<int>, bonus int, main_hits int, processed_draws int, status string")
-STATE = ("history array<int>, held int, last_day int, last_contest int, days array<int>, contests array<int>, "
-         "numbers array<int>, bonuses array<int>, superstars array<int>")
-
 
 @dataclass(frozen=True)
 class LedgerRules:
@@ -69,78 +70,122 @@ def predictions(history: np.ndarray, processed: int, rules: LedgerRules) -> dict
             "random": sorted(n + 1 for n in chosen)}
 
 
-def ledger_stream(announcements: DataFrame, rules: LedgerRules = LedgerRules()) -> DataFrame:
-    """(series, draw_date, contest, numbers, bonus, superstar, source_ord) -> outcome and result rows.
+CONTENT = ("series", "draw_date", "contest", "numbers", "bonus", "superstar")
+VALID = "series string, draw_date date, contest int, numbers array<int>, bonus int, superstar int, first_ord bigint, times bigint"
+
 
-    Within a trigger equal announcements are counted while the group is read, so a date repeated millions of
-    times takes one entry; the distinct ones are then processed by date and source order."""
+def counted(announcements: DataFrame, rules: LedgerRules) -> DataFrame:
+    """Distinct announcements with how often and since which source order they came, and whether they keep the rules for
+    dates and numbers. One aggregate that combines before it moves, so repetitions never reach the state."""
     game = rules.game
+    valid = (F.col("draw_date").isNotNull() & valid_numbers(F.col("numbers"), game) & valid_bonus(F.col("bonus"), F.col("numbers"), game)
+             & whole_in_range(F.col("superstar"), game.pool))
+    contents = announcements.groupBy(*CONTENT).agg(F.min("source_ord").cast("bigint").alias("first_ord"), F.count("*").alias("times"))
+    return contents.withColumn("valid", valid)
+
+
+def refused(contents: DataFrame) -> DataFrame:
+    """The outcome rows of contents that keep no rule."""
+    known = {"outcome": F.lit("INVALID"), "actual": F.coalesce("numbers", F.array().cast("array<int>"))}
+    wanted = [c.split() for c in OUTPUT.split(", ")]
+    return contents.select(*[known.get(n, F.col(n) if n in contents.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted])
+
+
+class LedgerProcessor(StatefulProcessor):
+    """The ledger of one series: its head, the draws that a horizon still reaches, and every accepted draw by its day."""
+
+    def __init__(self, rules: LedgerRules):
+        self.rules = rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "held int, last_day int, last_contest int")
+        self.recent = handle.getListState("recent", "numbers array<int>")
+        self.known = handle.getMapState("known", "day int", "contest int, numbers array<int>, bonus int, superstar int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rules, out = self.rules, []
+        held, last_day, last_contest = self.head.get() if self.head.exists() else (0, 0, None)
+        before = [list(r[0]) for r in self.recent.get()] if self.recent.exists() else []
+        history = np.array(before, dtype=int).reshape(-1, rules.game.pick)
+        reach, start = max(*rules.windows, rules.baseline), held
 
-    def valid(numbers: tuple[int, ...], bonus: int | None, superstar: int | None) -> bool:
-        return (len(numbers) == game.pick == len(set(numbers)) and all(n is not None and 1 <= n <= game.pool for n in numbers)
-                and bonus is not None and 1 <= bonus <= game.pool and bonus not in numbers
-                and superstar is not None and 1 <= superstar <= game.pool)
-
-    def advance(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple, list[int]] = {}
-        for frame in frames:
-            for day, contest, numbers, bonus, superstar, order in zip(
-                    pd.to_datetime(frame["draw_date"]), frame["contest"], frame["numbers"], frame["bonus"], frame["superstar"],
-                    frame["source_ord"]):
-                content = (None if pd.isna(day) else day.toordinal(), None if pd.isna(contest) else int(contest),
-                           tuple(None if pd.isna(n) else int(n) for n in (numbers if numbers is not None else ())),
-                           None if pd.isna(bonus) else int(bonus), None if pd.isna(superstar) else int(superstar))
-                entry = seen.setdefault(content, [int(order), 0])
-                entry[0] = min(entry[0], int(order))
-                entry[1] += 1
-        if state.exists:
-            flat, held, last_day, last_contest, days, contests, drawn, bonuses, superstars = state.get
-            history = np.array(flat, dtype=int).reshape(-1, game.pick)
-            known = {d: (c, tuple(drawn[i * game.pick:(i + 1) * game.pick]), b, s)
-                     for i, (d, c, b, s) in enumerate(zip(days, contests, bonuses, superstars))}
-        else:
-            history, held, last_day, last_contest, known = np.empty((0, game.pick), dtype=int), 0, 0, None, {}
-        rows = []
-
-        def report(content, outcome, times, method=None, ticket=None, hits=None, processed=None):
-            day, contest, numbers, bonus, _ = content
+        def report(row, outcome, times, method=None, ticket=None, hits=None, processed=None):
             status = None if processed is None else ("COMPLETE" if processed >= rules.target else "ACTIVE")
-            rows.append((key[0], None if day is None else pd.Timestamp.fromordinal(day).date(), contest, outcome, times, method,
-                         ticket, list(numbers), bonus, hits, processed, status))
-
-        reach = max(*rules.windows, rules.baseline)
-        for content, (_, times) in sorted(seen.items(), key=lambda item: (item[0][0] or 0, item[1][0])):
-            day, contest, numbers, bonus, superstar = content
-            processed = max(0, held - rules.warmup)
-            if day is None or not valid(numbers, bonus, superstar):
-                report(content, "INVALID", times)
-            elif day in known:
-                same = known[day] == (contest, numbers, bonus, superstar)
-                report(content, "REPEATED" if same else "CONFLICT", times)
+            out.append((row.series, row.draw_date, row.contest, outcome, times, method, ticket, row.numbers, row.bonus, hits, processed, status))
+
+        contents = pd.concat(list(rows))
+        contents["numbers"] = [list(map(int, n)) for n in contents["numbers"]]
+        contents["contest"] = [None if pd.isna(c) else int(c) for c in contents["contest"].astype(object)]
+        for row in contents.sort_values(["draw_date", "first_ord"]).astype({"contest": object}).itertuples():
+            day, processed = pd.Timestamp(row.draw_date).toordinal(), max(0, held - rules.warmup)
+            contest = None if row.contest is None or pd.isna(row.contest) else int(row.contest)
+            row = row._replace(contest=contest)
+            mine, times = (contest, row.numbers, int(row.bonus), int(row.superstar)), int(row.times)
+            if self.known.containsKey((day,)):
+                there = self.known.getValue((day,))
+                report(row, "REPEATED" if (there[0], list(there[1]), there[2], there[3]) == mine else "CONFLICT", times)
             elif day <= last_day:
-                report(content, "OUT_OF_ORDER", times)
+                report(row, "OUT_OF_ORDER", times)
             elif processed >= rules.target:
-                report(content, "TARGET_REACHED", times)
+                report(row, "TARGET_REACHED", times)
             elif rules.consecutive and last_contest is not None and contest != last_contest + 1:
-                report(content, "CONTEST_GAP", times)
+                report(row, "CONTEST_GAP", times)
             else:
                 if held >= rules.warmup:
                     for method, ticket in predictions(history, processed, rules).items():
-                        report(content, "SCORED", times, method, ticket, len(set(ticket) & set(numbers)), processed + 1)
+                        report(row, "SCORED", times, method, ticket, len(set(ticket) & set(row.numbers)), processed + 1)
                 else:
-                    report(content, "HISTORY", times)
+                    report(row, "HISTORY", times)
                 if times > 1:
-                    report(content, "REPEATED", times - 1)
-                history = np.vstack([history, np.array(numbers, dtype=int)])[-reach:]
+                    report(row, "REPEATED", times - 1)
+                history = np.vstack([history, np.array(row.numbers, dtype=int)])[-reach:]
                 held, last_day, last_contest = held + 1, day, contest
-                known[day] = (contest, numbers, bonus, superstar)  # at most warmup + target entries
-        items = sorted(known.items())
-        state.update((history.ravel().tolist(), held, last_day, last_contest, [d for d, _ in items], [v[0] for _, v in items],
-                      [n for _, v in items for n in v[1]], [v[2] for _, v in items], [v[3] for _, v in items]))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-    return announcements.groupBy("series").applyInPandasWithState(
-        advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+                self.known.updateValue((day,), mine)  # at most warmup + target entries
+        if held > start:
+            self.head.update((held, last_day, last_contest))
+            self.recent.put([(n,) for n in history.tolist()])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def ledger_stream(contents: DataFrame, rules: LedgerRules = LedgerRules()) -> DataFrame:
+    """Distinct valid contents (``VALID``) as a stream -> outcome and result rows. The contents of a trigger are processed by
+    date and source order; the state changes by the accepted draws alone."""
+    return contents.groupBy("series").transformWithStateInPandas(LedgerProcessor(rules), OUTPUT, "append", "none")
+
+
+def run_ledger(announcements: DataFrame, folder: str, rules: LedgerRules = LedgerRules()) -> DataFrame:
+    """Take in what the source holds (series, draw_date, contest, numbers, bonus, superstar, source_ord) and return the whole
+    outcome table below ``folder``.
+
+    Two queries, each with a checkpoint of its own, so a restarted run goes on where the last one committed: the intake
+    counts and judges contents with columns, one overwritten folder per trigger, so that a trigger done twice leaves
+    one result; the ledger reads the valid ones into its state."""
+    spark = announcements.sparkSession
+
+    def intake(batch: DataFrame, number: int) -> None:
+        contents = stored(counted(batch, rules), "contents")
+        contents.filter("valid").drop("valid").write.mode("overwrite").parquet(f"{folder}/valid/trigger={number}")
+        refused(contents.filter("NOT valid")).write.mode("overwrite").parquet(f"{folder}/refused/trigger={number}")
+
+    query = (announcements.writeStream.foreachBatch(intake).option("checkpointLocation", f"{folder}/intake").trigger(availableNow=True).start())
+    query.awaitTermination()
+    try:
+        accepted = spark.readStream.schema(VALID).parquet(f"{folder}/valid/*")
+        provider = "spark.sql.streaming.stateStore.providerClass"
+        before = spark.conf.get(provider)
+        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # what keyed states need
+        try:
+            run_available(ledger_stream(accepted, rules), f"{folder}/results", f"{folder}/ledger")
+        finally:
+            spark.conf.set(provider, before)
+        return spark.read.schema(OUTPUT).parquet(f"{folder}/results").unionByName(spark.read.schema(OUTPUT).parquet(f"{folder}/refused/*"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], OUTPUT)  # nothing has ever arrived
 
 
 def run_available(results: DataFrame, path: str, checkpoint: str) -> None:

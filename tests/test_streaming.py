@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from drawstat.operators import ledger as lg
 from drawstat.settings import SINGLE_GAME
-from drawstat.streaming.ledger_stream import LedgerRules, ledger_stream, run_available, scored
+from drawstat.streaming.ledger_stream import LedgerRules, run_ledger, scored
 from tests import reference_forms as rf
 
 SCHEMA = "series string, draw_date date, contest int, numbers array<int>, bonus int, superstar int, source_ord bigint"
@@ -27,8 +27,7 @@ def run(spark, tmp_path):
     def step(rows, rules=LedgerRules()):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(SCHEMA).parquet(str(source))
-        run_available(ledger_stream(stream, rules), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
-        return spark.read.parquet(str(tmp_path / "out"))
+        return run_ledger(stream, str(tmp_path / "ledger"), rules)
 
     return step
 
@@ -95,3 +94,24 @@ def test_conflicting_bonus_is_a_conflict(spark, run):
     run([announcement(i, d) for i, d in enumerate(draws)], rules)
     other = next(n for n in range(50, 91) if n not in draws[2])
     assert outcomes(run([announcement(2, draws[2], bonus=other)], rules)) == {(START + timedelta(days=2), 3): ("CONFLICT", 1)}
+
+
+def test_files_out_of_order_and_a_hot_series(spark, tmp_path):
+    """One series owns most announcements, all of them repeated; its files hold later draws first."""
+    source = tmp_path / "in"
+    source.mkdir()
+    rules = LedgerRules(windows=(2,), baseline=2, warmup=2, target=50)
+    draws = rf.random_draws(12, seed=5)
+    hot = [announcement(i, d, "hot", order=100 * i) for i, d in enumerate(draws)]
+    for part in (hot[8:], hot[:8] + [announcement(i, d, "cold") for i, d in enumerate(draws[:3])]):
+        spark.createDataFrame(part * 40, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+    table = run_ledger(spark.readStream.schema(SCHEMA).parquet(str(source)), str(tmp_path / "ledger"), rules)
+    counts = {(r["series"], r["outcome"]): (r["n"], r["times"]) for r in table.groupBy("series", "outcome").agg(
+        F.count("*").alias("n"), F.sum("times").alias("times")).collect()}
+    assert counts == {("hot", "HISTORY"): (2, 80), ("hot", "SCORED"): (30, 1200), ("hot", "REPEATED"): (12, 468),
+                      ("cold", "HISTORY"): (2, 80), ("cold", "SCORED"): (3, 120), ("cold", "REPEATED"): (3, 117)}
+
+
+def test_nothing_arrived(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    assert run_ledger(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), str(tmp_path / "ledger")).count() == 0
