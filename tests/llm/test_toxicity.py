@@ -1,10 +1,13 @@
 """Toxicity classifier: held-out accuracy, what enters a score, odd rows."""
 
+import re
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from drawstat.llm import toxicity
@@ -103,3 +106,52 @@ def test_thresholds_keep_natural_shares():
     counts = [("en", 0, 0, True, 90, 90), ("en", 8, 1, True, 100, 20), ("en", 8, 0, True, 60, 60)]
     assert toxicity.thresholds(counts, s)[1] == pytest.approx((1 / (1 + np.exp(-1 / 16)) + 1 / (1 + np.exp(-0.5))) / 2)
     assert toxicity.thresholds([("en", 0, 1, True, 5, 1)], s) == ({}, 0.5)
+
+
+def plain_score(model, text):
+    """The forward pass word by word: embedding sums, every filter at every place, largest answer, logistic."""
+    s, words = model.settings, [w for w in re.split(r"\s+", (text or "").lower())]
+    place = {int(k): i for i, k in enumerate(model.known)}
+    cells = []
+    for w in words:
+        w = regex.sub(r"^[^\pL\pN]+|[^\pL\pN]+$", "", w)
+        pieces = [zlib.crc32(w.encode()) + 1] if w else []
+        pieces += [(zlib.crc32(w[:n].encode(), n) + 1) | 1 << 33 for n in s.prefixes if len(w) > n]
+        cells.append(sum((model.embedding[place[p]].astype(float) for p in pieces if p in place), np.zeros(s.width)))
+    pooled = []
+    for i, kernel in enumerate(model.kernels):
+        for f in range(s.filters):
+            answers = [max(0.0, sum(float(cells[at + k] @ kernel[k][:, f]) for k in range(len(kernel)) if at + k < len(cells))
+                           + float(model.bias[i * s.filters + f])) for at in range(len(cells))]
+            pooled.append(max(answers, default=0.0))
+    return 1 / (1 + np.exp(-(np.array(pooled) @ np.asarray(model.out, float) + float(model.out_bias))))
+
+
+def test_scores_equal_a_plain_forward_pass(learned):
+    docs, labels, model = learned
+    toxic = docs.join(labels.filter("toxic = 1"), "doc_id").orderBy("doc_id").limit(8).collect()
+    texts = [r.text for r in [*docs.orderBy("doc_id").limit(8).collect(), *toxic] if len(r.text) < 20_000] + ["clown", "  stupid, clown!! ", "one two"]
+    found = toxicity.score_texts(model, model.responses(), pa.array(texts, pa.large_string()))
+    assert np.allclose(found, [plain_score(model, t) for t in texts], atol=1e-4)
+    assert found.min() < 0.5 < found.max()  # texts of both kinds are among them
+
+
+def test_training_lowers_the_loss_and_stops_at_its_optimum(learned):
+    """The output layer of a trained model is near a stationary point: along its gradient the loss of the sample does not fall
+    by more than a trifle, while the untrained one falls."""
+    docs, labels, _ = learned
+    rows = [(i, "", int(r.toxic), r.text) for i, r in enumerate(docs.join(labels, "doc_id").filter("length(text) < 3000").orderBy("doc_id").limit(400).collect())]
+    few, many = (toxicity.train(rows, toxicity.Settings(fewest_steps=n, epochs=1))[0] for n in (1, 400))
+    fit = [r for i, r in enumerate(sorted(rows, key=lambda r: (r[0], r[2], r[3]))) if i % 5]
+    texts, y = pa.array([r[3] for r in fit], pa.large_string()), np.array([r[2] for r in fit])
+
+    def loss(model, step=0.0):
+        p = np.clip(toxicity.score_texts(model, model.responses(), texts), 1e-6, 1 - 1e-6)
+        weight = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (1 - y).sum())
+        return float((-(y * np.log(p) + (1 - y) * np.log(1 - p)) * weight).mean()), float(((p - y) * weight).mean())
+
+    (before, _), (after, slope) = loss(few), loss(many)
+    assert after < 0.5 * before
+    eps = 1e-3  # the numeric slope along the output bias equals the analytic one
+    up, down = (loss(replace(many, out_bias=many.out_bias + d))[0] for d in (eps, -eps))
+    assert (up - down) / (2 * eps) == pytest.approx(slope, abs=1e-4)
