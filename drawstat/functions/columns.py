@@ -49,11 +49,6 @@ def choose(n: Column | int, k: Column | int) -> Column:
     return F.when((k_col < 0) | (k_col > n_col), F.lit(0.0)).otherwise(product)
 
 
-def overlap_pmf(game: Game, k: Column) -> Column:
-    """Hypergeometric probability of ``k`` common numbers between two tickets."""
-    return choose(game.pick, k) * choose(game.pool - game.pick, F.lit(game.pick) - k) / choose(game.pool, game.pick)
-
-
 def overlap_at_least_two(game: Game) -> Column:
     rest = game.pool - game.pick
     return 1 - (choose(rest, game.pick) + game.pick * choose(rest, game.pick - 1)) / choose(game.pool, game.pick)
@@ -93,6 +88,7 @@ def net_profit(hits: Column, stake: Column) -> Column:
     return F.when(hits < 2, -stake)
 
 
+# The two states of a payout.
 def payout_status(hits: Column) -> Column:
     return F.when(hits < 2, F.lit("NO_MAIN_PRIZE")).otherwise(F.lit("PENDING_OFFICIAL_QUOTA"))
 
@@ -159,6 +155,7 @@ SPACE_CLASS = "[\\t\\n\\x{0B}\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}
 
 def clean_html(html: Column, unescape_amp: bool = False) -> Column:
     """Tags and no-break spaces become blanks, runs of white space one blank, ends trimmed."""
+    # The patterns of tags, no-break spaces and the ampersand.
     text = F.regexp_replace(html, "<[^>]*>", " ")
     text = F.regexp_replace(text, "&nbsp;|&#160;", " ")
     if unescape_amp:

@@ -6,8 +6,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawstat.settings import BINNED_MODELS
-
 
 def as_struct(fields: str) -> str:
     """A schema of a document as the type of a field."""
@@ -72,8 +70,3 @@ def predictions_long(document: DataFrame, by_series: str = "predictionsByWheel")
     """``map<series, map<method, ticket>>`` to rows (series, method, ticket)."""
     outer = document.select(F.explode(by_series).alias("series", "methods"))
     return outer.select("series", F.explode("methods").alias("method", "ticket"))
-
-
-def models_long(models: dict[str, tuple[str, ...]] = BINNED_MODELS) -> list[tuple[str, str, int]]:
-    """(model, feature, position) rows of a model configuration."""
-    return [(m, f, i) for m, features in models.items() for i, f in enumerate(features)]
